@@ -158,8 +158,8 @@ def _blocks(sizes: np.ndarray):
         yield start, len(sizes)
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int) and decoded (the text that the ids decode to) of every row."""
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, ids (array of int) and decoded (the text that the ids decode to) of every row."""
 
     def run(batches):
         bpe = load(tokenizer_path)
@@ -171,10 +171,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 decoded = pa.array([bpe.decode(np.frombuffer(x, "<i4")) for x in ids], pa.string())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, decoded], ["doc_id", "ids", "decoded"])
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", *keep)]
+                yield pa.RecordBatch.from_arrays([*own, lists, decoded], ["doc_id", *keep, "ids", "decoded"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = "".join(f"{rows.schema[c].name} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInArrow(run, f"doc_id long, {kept}ids array<int>, decoded string")
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

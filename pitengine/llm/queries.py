@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pitengine.llm import bpe, curriculum_mix, exact_dedup, simhash_dedup, token_files, url_filter
+from pitengine.llm import bpe, curriculum_mix, exact_dedup, language_id, license_scan, quality_rules, simhash_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op2_toxicity": toxicity.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_bpe": bpe.query,
+    "op5_license_scan": license_scan.query,
     "op6_curriculum_mix": curriculum_mix.query,
     "op7_url_filter": url_filter.query,
     "op8_simhash_dedup": simhash_dedup.query,
+    "op9_quality_rules": quality_rules.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLES = {
