@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 #: White space up to the next word, and the word: token borders of byte-level BPE always lie between such pieces.
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Pieces whose ids a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
+#: Pieces that go to the library as one text, and characters of a block of texts.
+JOINED_PIECES, BLOCK_CHARS = 20_000, 2_000_000
 
 
 class Encoder:
@@ -57,25 +60,52 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.lengths = np.array([len(names.get(i, "")) for i in range(1 + max(names))], np.int64)  # a byte is a character in byte-level vocabularies
         self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self._library([text])[0]
-        pieces = PIECE.findall(text)
-        try:
-            return b"".join([self.cache[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list(set(pieces).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_PIECES:
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces. Those with white space before and none behind are encoded as one text, for the
+        borders between them stay, and cut again by the tokens' bytes."""
+        joined = [p for p in pieces if p[0].isspace() and not p[-1].isspace()]
+        single = [p for p in pieces if not p[0].isspace() or p[-1].isspace()]
+        self.cache.update(zip(single, self._library(single)))
+        for at in range(0, len(joined), JOINED_PIECES):
+            some = joined[at : at + JOINED_PIECES]
+            ids = np.frombuffer(self._library(["".join(some)])[0], self.type)
+            ends = np.cumsum([len(p.encode()) for p in some])
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            size, flat = self.type.itemsize, ids.tobytes()
+            cuts = (cuts * size).tolist()
+            self.cache.update(zip(some, (flat[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, in the bytes of an integer type that holds the vocabulary."""
+        plain = [not any(a in t for a in self.added) for t in texts]
+        split = [PIECE.findall(t) if p else [] for t, p in zip(texts, plain)]
+        new = set().union(*split).difference(self.cache)
+        if len(new) + len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-            new = list(set(pieces))
-        self.cache.update(zip(new, self._library(new)))
-        return b"".join([self.cache[p] for p in pieces])
+            new = set().union(*split)
+        if new:
+            self._learn(list(new))
+        own = self.cache
+        return [b"".join([own[x] for x in pieces]) if p else self._library([t])[0] for t, p, pieces in zip(texts, plain, split)]
+
+
+def blocks(sizes: np.ndarray):
+    """Bounds of runs of rows with about BLOCK_CHARS characters, at least a row each."""
+    start, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and total + n > BLOCK_CHARS:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 @lru_cache(maxsize=2)
@@ -154,10 +184,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
         shard, writer, encode = TaskContext.get().partitionId(), None, encoder(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], encode.type).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                if writer is None:
-                    writer = ShardWriter(folder, f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}", encode.type, seq_len, batch_rows)
-                writer.add(doc_id, encode(text.as_py()) + end)
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            for a, b in blocks(sizes):
+                part = batch.slice(a, b - a)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode.encode_batch(part.column("text").to_pylist())):
+                    if writer is None:
+                        writer = ShardWriter(folder, f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}", encode.type, seq_len, batch_rows)
+                    writer.add(doc_id, ids + end)
         if writer:
             writer.close()
             row = [[shard], [writer.path], [writer.n_docs], [writer.n_tokens]]
