@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TRACKING = r"^(utm_.*|gclid|fbclid|ref|mc_cid|mc_eid)$"
 
@@ -79,19 +80,19 @@ def canonical_url(value: str | None) -> str | None:
     return urlunsplit((scheme, host, parts.path or "/", urlencode(query), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_urls(urls: pd.Series) -> pd.Series:
     return urls.map(canonical_url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unicode_text(texts: pd.Series) -> pd.Series:
     """NFKC, without zero-width characters, white space collapsed; case stays."""
     tidy = lambda t: None if t is None else " ".join(re.sub("[\u200b\ufeff]", "", unicodedata.normalize("NFKC", t)).split())
     return texts.map(tidy)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_letters(texts: pd.Series) -> pd.Series:
     """NFKD without combining marks, lower case, & as and, all else as single spaces."""
 

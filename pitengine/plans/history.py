@@ -22,11 +22,11 @@ def pit_prior_summary(spark: SparkSession, d: str) -> DataFrame:
     totals = pit.prior_totals(targets, history, ["entity"])
     medians = pit.prior_median(targets, history, ["entity"], "value", "prior_median")
     out = totals.join(medians.withColumnRenamed("_start", "start_date"), ["entity", "start_date"], "left")
-    return out.select("id", "entity", "start_date", "prior_count", F.round(F.col("prior_sum") / F.col("prior_count"), 4).alias("prior_mean"), F.round("prior_median", 4).alias("prior_median"), "prior_last", F.datediff("start_date", "prior_last_start").alias("days_since_last"), (F.col("prior_count") > 0).alias("has_history"))
+    return out.select("id", "entity", "start_date", "prior_count", F.round(F.col("prior_sum") / F.col("prior_count"), 6).alias("prior_mean"), F.round("prior_median", 4).alias("prior_median"), "prior_last", F.datediff("start_date", "prior_last_start").alias("days_since_last"), (F.col("prior_count") > 0).alias("has_history"))
 
 
 PIT_PRIOR_SUMMARY = ENG + """
-SELECT t.id, t.entity, t.start_date, count(h.id) AS prior_count, round(avg(h.gross), 4) AS prior_mean, round(median(h.gross), 4) AS prior_median,
+SELECT t.id, t.entity, t.start_date, count(h.id) AS prior_count, round(avg(h.gross), 6) AS prior_mean, round(median(h.gross), 4) AS prior_median,
        arg_max(h.gross, (h.start_date, h.id)) AS prior_last, date_diff('day', max(h.start_date), t.start_date) AS days_since_last, count(h.id) > 0 AS has_history
 FROM eng t LEFT JOIN eng h ON h.entity = t.entity AND h.pub_date < t.start_date AND h.gross IS NOT NULL
 GROUP BY t.id, t.entity, t.start_date

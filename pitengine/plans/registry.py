@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pitengine.plans import history
+from pitengine.plans import audit, history, ledger
 
-FAMILIES = (history,)
+FAMILIES = (history, ledger, audit)
 QUERIES = {name: run for family in FAMILIES for name, (run, _) in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}
