@@ -12,7 +12,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance; NULL if a coordinate is missing."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return 2 * EARTH_KM * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    return F.when(h.isNotNull(), 2 * EARTH_KM * F.asin(F.least(F.sqrt(h), F.lit(1.0))))  # least() skips NULL
 
 
 def calendar_distance(a: Column, b: Column) -> Column:
