@@ -7,50 +7,18 @@ costs a re-read and never a recomputation with other random bounds or row number
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitengine.session import materialize, new_path, release, shared_dir
+
+__all__ = ["materialize", "new_path", "release", "shared_dir"]
+
 #: The six ASCII white-space characters; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a folder under /tmp serves local sessions; on a cluster that would split the
-    data over the executors' disks, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "/tmp/pitengine-shared"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{re.sub(r'[^A-Za-z0-9_]', '_', name)}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes what this application left in the shared folder; call it when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
