@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitengine.llm._shared import ascii_lower, materialize, table
+from pitengine.llm._shared import materialize, table
 
 THRESHOLD = 0.7
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-][a-z0-9.-]+)?$"
@@ -57,21 +57,20 @@ TEMPLATES = (
 )
 
 
-def segments(text: Column) -> Column:
-    """Lines, and sentences within them, in lower case."""
-    return F.split(F.regexp_replace(ascii_lower(text), r"([.;!?])\s+", "$1\n"), "\n")
+def cleaned(text: Column) -> Column:
+    """A line per segment (line or sentence), in lower case: its terms (runs of letters, digits and inner dots) between spaces."""
+    lines = F.regexp_replace(F.lower(text), r"([.;!?])\s+", "$1\n")
+    return F.regexp_replace(F.regexp_replace(lines, "[^a-z0-9.\n]+", " "), r"\.+(?=[ \n]|$)", "")
 
 
-def terms(segment: Column) -> Column:
-    """Runs of letters, digits and inner dots."""
-    cleaned = F.regexp_replace(F.regexp_replace(segment, "[^a-z0-9.]+", " "), r"\.+( |$)", "$1")
-    return F.filter(F.split(cleaned, " "), lambda t: t != "")
+def terms(line: Column) -> Column:
+    return F.filter(F.split(line, "[ \n]"), lambda t: t != "")
 
 
 def _template_vectors(spark: SparkSession, templates: Sequence[tuple[str, str]], weights: DataFrame) -> DataFrame:
     """template, license, term and weight of a unit vector per template."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    counts = rows.select("template", "license", F.explode(terms(ascii_lower(F.col("text")))).alias("term")).groupBy("template", "license", "term").count()
+    counts = rows.select("template", "license", F.explode(terms(cleaned(F.col("text")))).alias("term")).groupBy("template", "license", "term").count()
     weighed = counts.join(weights, "term").withColumn("w", F.col("count") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
     return weighed.select("template", "license", "term", (F.col("w") / length).alias("weight"))
@@ -83,10 +82,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     files = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
 
     # Corpus counts of the template terms. The templates are a parameter; a few hundred terms bound all that is collected here.
-    wanted = spark.createDataFrame(templates, "license string, text string").select(F.explode(terms(ascii_lower(F.col("text")))).alias("term")).distinct()
+    wanted = spark.createDataFrame(templates, "license string, text string").select(F.explode(terms(cleaned(F.col("text")))).alias("term")).distinct()
     names = sorted(r.term for r in wanted.collect())
-    there = F.array_intersect(terms(ascii_lower(F.col("text"))), F.lit(names))
-    counts = files.select(F.explode(there).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    there = F.array_intersect(F.split(cleaned(F.col("text")), "[ \n]"), F.lit(names))
+    counts = materialize(files.select(F.explode(there).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "license_counts")
     total = files.agg(F.count("*").alias("n")).first().n
     idf = lambda df: F.log((1 + F.lit(total)) / (1 + df)) + 1
     weights = wanted.join(counts, "term", "left").select("term", idf(F.coalesce("df", F.lit(0))).alias("idf"))
@@ -100,7 +99,6 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
         light[v.template] = light.get(v.template, 0.0) + v.weight**2
         if light[v.template] >= threshold**2:
             telling.add(v.term)
-    # a term can be light in one template only if it is light in all: else its presence must be seen
     known = {v.term: v.idf for v in vectors}
     licenses = [name for name, _ in templates]
     dense = {t: [0.0] * len(templates) for t in known}
@@ -118,9 +116,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
         named = F.zip_with(dots, F.lit(licenses), lambda d, name: F.struct((-F.round(d / F.sqrt(squares), 6)).alias("cost"), name.alias("license")))
         return F.struct(F.size(words).alias("n"), F.array_min(named).alias("match"))
 
-    candidates = F.filter(segments(F.col("text")), lambda s: F.arrays_overlap(terms(s), F.lit(sorted(telling))))
+    candidates = F.filter(F.split("clean", "\n"), lambda s: F.arrays_overlap(F.split(s, " "), F.lit(sorted(telling))))
     found = F.filter(F.transform(candidates, best), lambda m: m["match"]["cost"] <= -threshold)
-    rows = files.select("path", F.size(terms(ascii_lower(F.col("text")))).alias("n_terms"), found.alias("found"))
+    rows = files.withColumn("clean", cleaned(F.col("text"))).select("path", "clean", found.alias("found"))
+    rows = rows.select("path", F.when(F.size("found") > 0, F.size(terms(F.col("clean")))).alias("n_terms"), "found")
     held = F.aggregate("found", F.lit(0), lambda acc, m: acc + m["n"])
     base = F.substring_index("path", "/", -1)
     licence_file = (F.size("found") > 0) & (F.rlike(base, F.lit(FILE_NAMES)) | (2 * held >= F.col("n_terms")))

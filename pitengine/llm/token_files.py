@@ -39,7 +39,7 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 #: White space up to the next word, and the word: token borders of byte-level BPE always lie between such pieces.
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Pieces whose ids a worker remembers.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 #: Pieces that go to the library as one text, and characters of a block of texts.
 JOINED_PIECES, BLOCK_CHARS = 20_000, 2_000_000
 
@@ -86,14 +86,13 @@ class Encoder:
         """Ids of each text, in the bytes of an integer type that holds the vocabulary."""
         plain = [not any(a in t for a in self.added) for t in texts]
         split = [PIECE.findall(t) if p else [] for t, p in zip(texts, plain)]
-        new = set().union(*split).difference(self.cache)
-        if len(new) + len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-            new = set().union(*split)
-        if new:
-            self._learn(list(new))
         own = self.cache
-        return [b"".join([own[x] for x in pieces]) if p else self._library([t])[0] for t, p, pieces in zip(texts, plain, split)]
+        new = list(set().union(*split).difference(own))
+        self._learn(new)
+        out = [b"".join(map(own.__getitem__, pieces)) if p else self._library([t])[0] for t, p, pieces in zip(texts, plain, split)]
+        for x in new[max(0, CACHE_PIECES - len(own) + len(new)) :]:  # the first pieces stay: frequent ones are met early
+            del own[x]
+        return out
 
 
 def blocks(sizes: np.ndarray):

@@ -30,7 +30,7 @@ DIVERSITY_REPORT = ENG + """,
 s AS (SELECT unnest([{'d': 'entity', 'v': entity::varchar}, {'d': 'place', 'v': place::varchar}, {'d': 'market', 'v': market::varchar}, {'d': 'series', 'v': series}]) AS s FROM eng),
 c AS (SELECT s.d AS dimension, s.v AS value, count(*) AS n FROM s WHERE s.v IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n, value) AS k, count(*) OVER (PARTITION BY dimension) AS m FROM c)
-SELECT dimension, count(*) AS categories, sum(n)::bigint AS rows, round(max(n) / sum(n)::double, 6) AS top_share, max(n) FILTER (k = m // 2 + 1) AS upper_median, count_if(n = 1) AS singletons FROM r GROUP BY dimension
+SELECT dimension, count(*) AS categories, sum(n)::bigint AS rows, round(max(n) / sum(n)::double, 6) AS top_share, max(n) FILTER (k = m // 2 + 1) AS upper_median, count(*) FILTER (n = 1) AS singletons FROM r GROUP BY dimension
 """
 
 
@@ -65,7 +65,7 @@ def readiness_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 READINESS_VERDICT = ENG + ", g AS (SELECT market, count(*) AS n, count(DISTINCT entity) AS entities, count(DISTINCT place) AS places FROM eng WHERE headcount IS NOT NULL GROUP BY market) SELECT *, CASE WHEN n < 500 OR entities < 60 OR places < 30 THEN 'NOT_READY' ELSE 'READY' END AS verdict, CASE WHEN n < 500 THEN 'TOO_FEW_ROWS' WHEN entities < 60 THEN 'TOO_FEW_ENTITIES' WHEN places < 30 THEN 'TOO_FEW_PLACES' END AS reason FROM g"
 
-_KPIS = (("engagements", "count(*)", 10000), ("with_result", "count(pub_date)", 14000), ("sold_out", "count_if(sold_out)", 7000), ("entities", "count(DISTINCT entity)", 2000), ("places", "count(DISTINCT place)", 50), ("single_show", "count_if(shows = 1)", 1000))
+_KPIS = (("engagements", "count(*)", 10000), ("with_result", "count(pub_date)", 14000), ("sold_out", "count(*) FILTER (sold_out)", 7000), ("entities", "count(DISTINCT entity)", 2000), ("places", "count(DISTINCT place)", 50), ("single_show", "count(*) FILTER (shows = 1)", 1000))
 
 
 def coverage_kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def coverage_ratios(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source", "lang", "docs", "labelled", F.round(ratio_or_zero(F.col("labelled"), F.col("docs")), 6).alias("coverage"), F.round(safe_ratio(F.col("toxic"), F.col("labelled")), 6).alias("toxic_yield"))
 
 
-COVERAGE_RATIOS = "SELECT source, lang, count(*) AS docs, count(quality) AS labelled, round(coalesce(count(quality) / nullif(count(*), 0)::double, 0), 6) AS coverage, round(count_if(toxic = 1) / nullif(count(quality), 0)::double, 6) AS toxic_yield FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang"
+COVERAGE_RATIOS = "SELECT source, lang, count(*) AS docs, count(quality) AS labelled, round(coalesce(count(quality) / nullif(count(*), 0)::double, 0), 6) AS coverage, round(count(*) FILTER (toxic = 1) / nullif(count(quality), 0)::double, 6) AS toxic_yield FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang"
 
 
 def voi_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +273,7 @@ CROSS_SOURCE_AGREEMENT = """
 WITH l AS (SELECT l_partkey, l_suppkey, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY ALL),
 u AS (FROM l UNPIVOT (value FOR field IN (l_quantity, l_discount, l_tax))),
 p AS (SELECT l_partkey, field, count(DISTINCT l_suppkey) AS sources, min(value) AS low, max(value) AS high FROM u GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1)
-SELECT field, count(*) AS compared, count_if(low = high) AS exact, round(avg(high - low), 5) AS mean_spread, round(max((high - low) / nullif(abs(high), 0)), 5) AS max_part FROM p GROUP BY field
+SELECT field, count(*) AS compared, count(*) FILTER (low = high) AS exact, round(avg(high - low), 5) AS mean_spread, round(max((high - low) / nullif(abs(high), 0)), 5) AS max_part FROM p GROUP BY field
 """
 
 
@@ -397,7 +397,7 @@ def retrospective_inputs(spark: SparkSession, d: str) -> DataFrame:
     return claims.groupBy("claim").agg(F.count("*").alias("claims"), F.count_if(visible).alias("visible"), F.count_if(visible & (F.col("claim") == "gross")).alias("leaks"))
 
 
-RETROSPECTIVE_INPUTS = ENG + ", c AS (SELECT id, pub_date, unnest([{'c': 'headcount', 'v': headcount::double}, {'c': 'gross', 'v': gross}, {'c': 'shows', 'v': shows::double}]) AS s FROM eng), v AS (SELECT s.c AS claim, s.v AS value, pub_date <= '1998-01-01' AND s.c <> 'gross' AND s.v IS NOT NULL AS visible FROM c) SELECT claim, count(*) AS claims, count_if(visible) AS visible, count_if(visible AND claim = 'gross') AS leaks FROM v GROUP BY claim"
+RETROSPECTIVE_INPUTS = ENG + ", c AS (SELECT id, pub_date, unnest([{'c': 'headcount', 'v': headcount::double}, {'c': 'gross', 'v': gross}, {'c': 'shows', 'v': shows::double}]) AS s FROM eng), v AS (SELECT s.c AS claim, s.v AS value, pub_date <= '1998-01-01' AND s.c <> 'gross' AND s.v IS NOT NULL AS visible FROM c) SELECT claim, count(*) AS claims, count(*) FILTER (visible) AS visible, count(*) FILTER (visible AND claim = 'gross') AS leaks FROM v GROUP BY claim"
 
 
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:

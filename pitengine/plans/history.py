@@ -196,7 +196,7 @@ def warm_start_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _warm_sql(key: str) -> str:
-    return f"""SELECT '{key}' AS dimension, count(*) AS targets, count_if(n = 0) AS none, count_if(n = 1) AS one, count_if(n = 2) AS two, count_if(n >= 3) AS three_up, count_if(n >= 5) AS five_up
+    return f"""SELECT '{key}' AS dimension, count(*) AS targets, count(*) FILTER (n = 0) AS none, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 2) AS two, count(*) FILTER (n >= 3) AS three_up, count(*) FILTER (n >= 5) AS five_up
 FROM (SELECT t.id, count(h.id) AS n FROM eng t LEFT JOIN eng h ON h.{key} = t.{key} AND h.pub_date < t.start_date GROUP BY t.id)"""
 
 
@@ -214,7 +214,7 @@ def dependency_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 DEPENDENCY_GRAPH = ENG + """
-SELECT t.id, count_if(h.start_date < t.start_date) AS prior, count_if(h.pub_date < t.start_date AND h.gross IS NOT NULL) AS known_prior, count_if(h.start_date > t.start_date) AS downstream
+SELECT t.id, count(*) FILTER (h.start_date < t.start_date) AS prior, count(*) FILTER (h.pub_date < t.start_date AND h.gross IS NOT NULL) AS known_prior, count(*) FILTER (h.start_date > t.start_date) AS downstream
 FROM eng t JOIN eng h ON h.entity = t.entity GROUP BY t.id
 """
 
@@ -227,7 +227,7 @@ def acquisition_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 ACQUISITION_PRIORITY = ENG + """,
-g AS (SELECT t.id, t.entity, t.gross, count_if(h.start_date < t.start_date) AS prior, count_if(h.pub_date < t.start_date AND h.gross IS NOT NULL) AS known_prior, count_if(h.start_date > t.start_date) AS downstream
+g AS (SELECT t.id, t.entity, t.gross, count(*) FILTER (h.start_date < t.start_date) AS prior, count(*) FILTER (h.pub_date < t.start_date AND h.gross IS NOT NULL) AS known_prior, count(*) FILTER (h.start_date > t.start_date) AS downstream
       FROM eng t JOIN eng h ON h.entity = t.entity GROUP BY ALL),
 n AS (SELECT entity, sum(prior - known_prior)::bigint AS unknown_priors, sum(downstream)::bigint AS downstream, round(sum(gross), 2) AS gross FROM g GROUP BY entity)
 SELECT *, row_number() OVER (ORDER BY unknown_priors DESC, downstream DESC, gross DESC, entity) AS place FROM n

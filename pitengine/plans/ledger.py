@@ -215,8 +215,8 @@ def competition_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPETITION_WINDOWS = ENG + """
-SELECT t.id, count_if(h.start_date = t.start_date) - 1 AS within_0, count_if(abs(date_diff('day', t.start_date, h.start_date)) <= 3) - 1 AS within_3, count_if(abs(date_diff('day', t.start_date, h.start_date)) <= 7) - 1 AS within_7,
-       count(*) - 1 AS within_14, count_if(h.pub_date < t.start_date) AS known_14
+SELECT t.id, count(*) FILTER (h.start_date = t.start_date) - 1 AS within_0, count(*) FILTER (abs(date_diff('day', t.start_date, h.start_date)) <= 3) - 1 AS within_3, count(*) FILTER (abs(date_diff('day', t.start_date, h.start_date)) <= 7) - 1 AS within_7,
+       count(*) - 1 AS within_14, count(*) FILTER (h.pub_date < t.start_date) AS known_14
 FROM eng t JOIN eng h ON h.market = t.market AND h.start_date BETWEEN t.start_date - 14 AND t.start_date + 14 GROUP BY t.id
 """
 
@@ -272,7 +272,7 @@ def pit_availability(spark: SparkSession, d: str) -> DataFrame:
 
 PIT_AVAILABILITY = ENG + """,
 c AS (SELECT * FROM (VALUES ('BOOKING', -90), ('ANNOUNCEMENT', -30), ('EVENT_DATE', 0), ('RESULT', 60)) c(name, days))
-SELECT name, count(*) AS events, count_if(days >= 0) AS exact_cutoffs, count_if(days >= 0 AND pub_date <= start_date + days) AS known_strict, count_if(pub_date <= start_date + days) AS known_conservative FROM eng, c GROUP BY name
+SELECT name, count(*) AS events, count(*) FILTER (days >= 0) AS exact_cutoffs, count(*) FILTER (days >= 0 AND pub_date <= start_date + days) AS known_strict, count(*) FILTER (pub_date <= start_date + days) AS known_conservative FROM eng, c GROUP BY name
 """
 
 
@@ -295,7 +295,7 @@ _DAILY = SNAP + ", daily AS (SELECT key, seen_at::date AS day, sum(price) AS val
 PIT_WINDOWS = _DAILY + """,
 b AS (SELECT c.key, c.cutoff, value, CASE WHEN day + 2 < cutoff THEN date_diff('day', day, cutoff) END AS back FROM cut c LEFT JOIN daily d ON d.key = c.key)
 SELECT key, cutoff, round(sum(value) FILTER (back BETWEEN 1 AND 7), 4) AS sum_7d, round(sum(value) FILTER (back BETWEEN 1 AND 30), 4) AS sum_30d, round(sum(value) FILTER (back BETWEEN 1 AND 90), 4) AS sum_90d,
-       round(sum(value) FILTER (back BETWEEN 1 AND 365), 4) AS sum_365d, count_if(back >= 1) AS days_observed FROM b GROUP BY ALL
+       round(sum(value) FILTER (back BETWEEN 1 AND 365), 4) AS sum_365d, count(*) FILTER (back >= 1) AS days_observed FROM b GROUP BY ALL
 """
 
 
@@ -324,7 +324,7 @@ def calendar_densify(spark: SparkSession, d: str) -> DataFrame:
 CALENDAR_DENSIFY = SNAP + """,
 daily AS (SELECT key, seen_at::date AS day, sum(price) AS value FROM snap GROUP BY ALL),
 s AS (SELECT key, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::date AS day FROM daily GROUP BY key)
-SELECT key, count(*) AS days, count_if(value IS NULL) AS missing, count_if(value = 0) AS zero, round(count(value) / count(*)::double, 6) AS completeness FROM s LEFT JOIN daily USING (key, day) GROUP BY key
+SELECT key, count(*) AS days, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (value = 0) AS zero, round(count(value) / count(*)::double, 6) AS completeness FROM s LEFT JOIN daily USING (key, day) GROUP BY key
 """
 
 

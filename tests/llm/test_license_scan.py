@@ -10,7 +10,7 @@ def words(segment):
 
 
 def low(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return (text or "").lower()
 
 
 def plain(files):
