@@ -7,8 +7,8 @@ Every batch but the last has ``batch_rows`` sequences and nulls occur nowhere, s
 any sequence as a slice of the file's own bytes. The documents of a shard follow one another across
 sequences; a sidecar Arrow stream file (``.docs``) has doc_id, start and n_tokens within the shard.
 
-Documents are range-partitioned and sorted by id before they are encoded; each task writes its own
-shard, and the number of tokens of the shards before it (a running sum over one row per shard) turns a
+Documents are range-partitioned by quantiles of their ids (a pass over the id column alone) and sorted
+by id before they are encoded; each task writes its own shard, and the number of tokens of the shards before it (a running sum over one row per shard) turns a
 start within the shard into a start in the whole stream. Files are written under a name that only the
 attempt knows and the manifest names those of successful attempts, so lost executors leave at most
 files that nothing refers to.
@@ -20,6 +20,7 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 import zlib
@@ -29,15 +30,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitengine.llm._shared import materialize, new_path, shuffle_partitions, table
 
 SEQ_LEN, BATCH_ROWS, END_ID = 2048, 64, 2
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
-#: White space up to the next word, and the word: token borders of byte-level BPE always lie between such pieces.
-PIECE = re.compile(r"\s*\S+|\s+")
+#: A space that has white space before it and white space or the end behind it: no border of tokens.
+LOOSE = re.compile(r" (?<=\s )(?:\s|$)")
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 1_000_000
 #: Pieces that go to the library as one text, and characters of a block of texts.
@@ -47,9 +48,9 @@ JOINED_PIECES, BLOCK_CHARS = 20_000, 2_000_000
 class Encoder:
     """Ids of whole texts, by the tokenizers library.
 
-    The library encodes each distinct piece of a text once per worker: pieces start at a run of white space
-    and end before the next, and no token of the byte-level pattern crosses such a border. A text that holds
-    the string of an added token goes to the library as it is.
+    The library encodes each distinct piece of a text once per worker. Texts are cut before each space; the byte-level
+    pattern has a border there unless the space lies inside a run of white space (``LOOSE``). Texts with such a space
+    or with the string of an added token go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -62,17 +63,18 @@ class Encoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.lengths = np.array([len(names.get(i, "")) for i in range(1 + max(names))], np.int64)  # a byte is a character in byte-level vocabularies
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of pieces with a space before them
+        self.loose: set[str] = set()  # pieces that may touch a loose space
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces. Those with white space before and none behind are encoded as one text, for the
-        borders between them stay, and cut again by the tokens' bytes."""
-        joined = [p for p in pieces if p[0].isspace() and not p[-1].isspace()]
-        single = [p for p in pieces if not p[0].isspace() or p[-1].isspace()]
-        self.cache.update(zip(single, self._library(single)))
+        """Remembers the ids of pieces, each with a space before it. Those without white space at their ends are encoded
+        as one text, for the borders between them stay, and cut again by the tokens' bytes."""
+        joined = [" " + p for p in pieces if not loose_end(p)]
+        single = [p for p in pieces if loose_end(p)]
+        self.cache.update(zip(single, self._library([" " + p for p in single])))
         for at in range(0, len(joined), JOINED_PIECES):
             some = joined[at : at + JOINED_PIECES]
             ids = np.frombuffer(self._library(["".join(some)])[0], self.type)
@@ -80,21 +82,47 @@ class Encoder:
             cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             size, flat = self.type.itemsize, ids.tobytes()
             cuts = (cuts * size).tolist()
-            self.cache.update(zip(some, (flat[a:b] for a, b in zip([0, *cuts], cuts))))
+            self.cache.update(zip((p[1:] for p in some), (flat[a:b] for a, b in zip([0, *cuts], cuts))))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, in the bytes of an integer type that holds the vocabulary."""
-        plain = [not any(a in t for a in self.added) for t in texts]
-        split = [PIECE.findall(t) if p else [] for t, p in zip(texts, plain)]
-        own = self.cache
-        new = list(set().union(*split).difference(own))
+        split = [[] if any(a in t for a in self.added) else t.split(" ") for t in texts]
+        heads = [pieces.pop(0) if pieces else None for pieces in split]
+        own, distinct = self.cache, set().union(*split)
+        new = list(distinct.difference(own))
+        self.loose.update(filter(loose_end, new))
+        if not self.loose.isdisjoint(distinct):
+            for k, t in enumerate(texts):
+                if heads[k] is not None and LOOSE.search(t):
+                    heads[k], split[k] = None, []
         self._learn(new)
-        out = [b"".join(map(own.__getitem__, pieces)) if p else self._library([t])[0] for t, p, pieces in zip(texts, plain, split)]
+        first = self._library([t if h is None else h for t, h in zip(texts, heads)])
+        out = [h + b"".join(map(own.__getitem__, pieces)) for h, pieces in zip(first, split)]
         for x in new[max(0, CACHE_PIECES - len(own) + len(new)) :]:  # the first pieces stay: frequent ones are met early
             del own[x]
+            self.loose.discard(x)
         return out
 
 
+def loose_end(piece: str) -> bool:
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
+def bounded_ids(ids: DataFrame, n: int) -> list[int]:
+    """At most n - 1 ascending ids that cut the rows into n ranges of about the same number."""
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("cuts")).first().cuts if n > 1 else None
+    return sorted(set(cuts or ()))
+
+
+def range_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many cuts lie below the id (0 for null), by one search among every m-th cut and one among the m cuts there."""
+    m = math.isqrt(len(cuts)) + 1
+    below = lambda some: F.size(F.filter(some, lambda c: c < doc_id))
+    array = lambda some: F.lit(some) if some else F.array().cast("array<bigint>")
+    coarse = below(array(cuts[m - 1 :: m])) * m
+    return coarse + below(F.slice(array(cuts), coarse + 1, m))
+
+
 def blocks(sizes: np.ndarray):
     """Bounds of runs of rows with about BLOCK_CHARS characters, at least a row each."""
     start, total = 0, 0
@@ -197,7 +225,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    n = shuffle_partitions(spark)
+    cuts = bounded_ids(rows.select("doc_id"), n)
+    dealt = rows.repartitionById(n, range_of(F.col("doc_id"), cuts)).sortWithinPartitions("doc_id", "text")
     manifest = materialize(dealt.mapInArrow(run, MANIFEST), "token_manifest")
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))  # one row per shard

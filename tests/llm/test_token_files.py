@@ -48,5 +48,24 @@ def test_empty_table(spark, no_docs):
 def test_forgetting_pieces_changes_nothing(monkeypatch):
     monkeypatch.setattr(T, "CACHE_PIECES", 5)
     encode, tok = T.Encoder(PATH), Tokenizer.from_file(PATH)
-    for text in ("a b c d e f g", "  lead\n\ntrail \t", "x\u00a0y \u2003z", "a b h"):
+    for text in ("a b c d e f g", "  lead\n\ntrail \t", "x\u00a0y \u2003z", "a b h", "a  b   c", "a \n  b \n \n c ", " d", "e  ", "!\x1c! \x1f ?", "  ", ""):
         assert np.frombuffer(encode.encode_batch([text])[0], "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_ranges(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 9, 50):
+        cuts = list(range(0, 10 * n, 10))
+        rows = spark.range(-5, 510).select(T.range_of(F.col("id"), cuts).alias("k"), "id").collect()
+        assert [r.k for r in rows] == [sum(c < r.id for c in cuts) for r in rows]
+
+
+def test_pieces_agree_with_whole_texts():
+    import random
+
+    encode, tok, rnd = T.Encoder(PATH), Tokenizer.from_file(PATH), random.Random(5)
+    for _ in range(40):
+        texts = ["".join(rnd.choice(["a", "bc", "Ü", "1", "!", " ", " ", " ", "\n", "\t", "\u00a0", "'s", "<|endoftext|>" if rnd.random() < 0.02 else "x"]) for _ in range(rnd.randrange(40))) for _ in range(50)]
+        got = [np.frombuffer(x, "<u2").tolist() for x in encode.encode_batch(texts)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
