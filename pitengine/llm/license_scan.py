@@ -134,7 +134,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     dirs = rows.where("own IS NULL AND dir IS NOT NULL").select("dir").distinct()
     above = dirs.withColumn("up", F.explode(F.sequence(F.lit(0), depth))).withColumn("from", F.when(depth - F.col("up") <= 0, "").otherwise(F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.greatest(depth - F.col("up"), F.lit(1))), "/")))
     near = above.join(given.withColumnRenamed("dir", "from"), "from").groupBy("dir").agg(F.min(F.struct("up", "from", "given")).alias("near"))
-    out = rows.join(near, "dir", "left")
+    # a written table: with the aggregation below the join, Spark could not split the rows of a hot directory
+    out = rows.join(materialize(near, "license_inherited"), "dir", "left")
     mine = F.col("own").isNotNull()
     return out.select(
         "path",
