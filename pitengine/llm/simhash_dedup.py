@@ -14,9 +14,11 @@ as n links and not n * n pairs, and no link between groups is lost. A table valu
 salt. Components are found by alternating star contraction over the links, with a written table after
 each round.
 
-Defined cases: null and white-space texts have fingerprint zero and link like any other. A null id
-sorts above every id, so it names a component only if no member has an id. Rows that repeat an id are
-members of their own. An empty table gives an empty result.
+A node is the fingerprint itself; the smallest id names a component once it is found.
+
+Defined cases: null and white-space texts have fingerprint zero and link like any other. A component
+without an id has no name. Rows that repeat an id are members of their own, and are dropped by id and
+text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ HOT = 2048
 HOT_BROADCAST = 50_000
 #: Rows, and comparisons, of a numpy block.
 BLOCK_ROWS, BLOCK_PAIRS = 50_000, 2_000_000
-MAX_ID = np.iinfo(np.int64).max
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED, block: int = 1 << 16) -> int:
@@ -60,15 +61,15 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED, block: int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, row (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches):
         for batch in batches:
             marks = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(marks.view(np.int64))], ["doc_id", "row", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -192,21 +193,36 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _named(rows: DataFrame, by: str, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, row and the class by) with first, the least (doc_id, row) of the component; NULL if it has no id."""
+    own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    classes = materialize(rows.groupBy(by).agg(own.alias("own")), "classes")
+    roots = components(edges)
+    grouped = classes.join(roots, classes[by] == roots["node"], "left").select(by, "own", F.coalesce("root", by).alias("root"))
+    first = grouped.groupBy("root").agg(F.min("own").alias("first"))
+    return rows.join(grouped.join(first, "root").select(by, "first"), by)
+
+
+def _without_copies(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows of near whose id and text are not the first of their component."""
+    gone = near.where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "row") != F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_row")), "left_anti")
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return _named(rows, "fp", links(rows.select("fp", F.col("fp").alias("node")).distinct()))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(MAX_ID)).alias("node")), "classes")
-    roots = components(links(classes))
-    named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    out = rows.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("root") < MAX_ID, F.col("root")).alias("component_id"))
+    near = _components_of(docs, id_col, text_col, shingle)
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one document per component, the one whose id names it; all columns kept. Rows without an id stay."""
-    near = simhash_components(docs, id_col, text_col, shingle)
-    gone = near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
+    return _without_copies(docs, _components_of(docs, id_col, text_col, shingle), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

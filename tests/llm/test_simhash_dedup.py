@@ -74,3 +74,15 @@ def test_odd_rows(odd_docs, no_docs):
     left = S.drop_near_copies(odd_docs)
     assert left.columns == odd_docs.columns and {r.doc_id for r in left.collect()} == {1, 5, 7, 9, 10, None}
     assert S.simhash_components(no_docs).count() == 0 == S.drop_near_copies(no_docs).count()
+
+
+def test_null_and_repeated_ids_join_nothing(spark):
+    rnd = random.Random(8)
+    texts = [[f"w{rnd.randrange(10**6)}" for _ in range(2000)] for _ in range(4)]
+    near = lambda k: " ".join(texts[k][:-1] + ["other"])
+    own = lambda k: " ".join(texts[k])
+    # null ids near to 1 and 2; the repeated id 5 near to 3 in one row and unrelated in the next
+    rows = [(1, own(0)), (None, near(0)), (2, own(1)), (None, near(1)), (3, own(2)), (5, near(2)), (5, own(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.component_id) for r in S.simhash_components(docs).collect()) == [("1", 1), ("2", 2), ("3", 3), ("5", 3), ("5", 5), ("None", 1), ("None", 2)]
+    assert sorted((str(r.doc_id), r.text) for r in S.drop_near_copies(docs).collect()) == sorted((str(i), t) for i, t in rows if t != near(2))
