@@ -16,6 +16,13 @@ each round.
 
 A node is the fingerprint itself; the smallest id names a component once it is found.
 
+``drop_near_copies`` links texts by the Jaccard similarity of their sets of 5-word shingles instead, from
+``LEAST_SHARED`` up. There two fingerprints may differ in a sixth of their bits, beyond any ball that can be
+enumerated whole, so its fingerprints are ``WORDS`` * 64 bits of the set, in ``WORDS`` * 4 segments, and a segment's
+ball is enumerated over its two least certain bits (four probes). Candidates are verified on the shingle sets; of a
+dense group a task hands on ``FORESTS`` successive spanning forests, nearest pairs first, so a pair that is left out
+has that many separate paths of nearer pairs.
+
 Defined cases: null and white-space texts have fingerprint zero and link like any other. A component
 without an id has no name. Rows that repeat an id are members of their own, and are dropped by id and
 text. An empty table gives an empty result.
@@ -34,6 +41,10 @@ from pitengine.llm._shared import materialize, shuffle_partitions, table
 SEED, MAX_DISTANCE = 42, 4
 #: First bit and width of the segments, and the radius of the ball that is enumerated in each.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: Of drop_near_copies: words of a fingerprint, most bits that candidates differ in (in the first word, in all), forests handed on.
+WORDS, FIRST_DISTANCE, WIDE_DISTANCE, FORESTS = 6, 18, 90, 4
+#: Least Jaccard similarity of shingle sets, as a fraction.
+LEAST_SHARED = (4, 5)
 #: Stored fingerprints under one table value that a task compares at a time.
 HOT = 2048
 #: Hot table values that may be broadcast (16 bytes each); with more of them the salts come by a shuffled join.
@@ -103,9 +114,43 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """FORESTS successive minimum spanning forests of the pairs (a, b) at distances d; all pairs if they are few."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low, high = np.minimum(both[: len(a)], both[len(a) :]), np.maximum(both[: len(a)], both[len(a) :])
+    _, once = np.unique(low * len(nodes) + high, return_index=True)
+    once = once[np.argsort(d[once], kind="stable")]
+    low, high, d = low[once], high[once], d[once]
+    if len(low) > FORESTS * len(nodes):
+        chosen = np.zeros(len(low), bool)
+        for _ in range(FORESTS):
+            label, rest = np.arange(len(nodes)), np.flatnonzero(~chosen)
+            while True:
+                rest = rest[label[low[rest]] != label[high[rest]]]
+                if not len(rest):
+                    break
+                best = np.full(len(nodes), len(low))
+                np.minimum.at(best, label[low[rest]], rest)
+                np.minimum.at(best, label[high[rest]], rest)
+                pick = np.unique(best[best < len(low)])
+                chosen[pick] = True
+                members, ends = _forest(label[low[pick]], label[high[pick]])
+                to = np.arange(len(nodes))
+                to[members] = ends
+                label = to[label]
+        low, high, d = low[chosen], high[chosen], d[chosen]
+    return nodes[low], nodes[high], d
+
+
 class _Compare:
     """Compares the probes of a sorted task with the stored entries of the same table value."""
 
+    radius = MAX_DISTANCE
+
+    def few(self, a, b, d):
+        """What is handed on of the links (a, b) at distances d."""
+        return (*_forest(a, b), d[:0])
+
     def __init__(self):
         self.key, self.fp, self.node = None, np.zeros(0, np.int64), np.zeros(0, np.int64)  # stored under the last value seen
 
@@ -125,22 +170,30 @@ class _Compare:
             mine = np.repeat(np.arange(at, to), n[at:to])
             skip = np.repeat(total[at:to] - n[at:to] - (total[at - 1] if at else 0), n[at:to])
             theirs = np.arange(len(mine)) - skip + first[mine]
-            near = np.bitwise_count((own_fp[mine] ^ fps[theirs]).view(np.uint64)) <= MAX_DISTANCE
+            distance = np.bitwise_count((own_fp[mine] ^ fps[theirs]).view(np.uint64))
+            near = distance <= self.radius
             near &= own_node[mine] != nodes[theirs]
             if near.any():
-                found.append(_forest(own_node[mine[near]], nodes[theirs[near]]))
+                found.append(self.few(own_node[mine[near]], nodes[theirs[near]], distance[near]))
             at = to
         if len(key):
             mask = keys == key[-1]
             self.key, self.fp, self.node = key[-1], fps[mask], nodes[mask]
         if not found:
             return None
-        a, b = _forest(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+        a, b, _ = self.few(*(np.concatenate(x) for x in zip(*found)))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _links(batches):
-    compare = _Compare()
+class _Candidates(_Compare):
+    radius = FIRST_DISTANCE
+
+    def few(self, a, b, d):
+        return _nearest(a, b, d)
+
+
+def _links(batches, compare=None):
+    compare = compare or _Compare()
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_ROWS):
             part = batch.slice(at, BLOCK_ROWS)
@@ -151,10 +204,14 @@ def _links(batches):
 
 def links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of distinct fingerprints (fp, node) that join all that are near."""
-    spark = classes.sparkSession
-    entries = _entries(classes)
     counts = [classes.select(F.lit(k).alias("segment"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << w) - 1).alias("value")) for k, (low, w, _) in enumerate(SEGMENTS)]
-    hot = counts[0].union(counts[1]).union(counts[2]).groupBy("segment", "value").count().where(F.col("count") > HOT)
+    return _dealt(_entries(classes), counts[0].union(counts[1]).union(counts[2])).mapInArrow(_links, "a long, b long")
+
+
+def _dealt(entries: DataFrame, stored: DataFrame) -> DataFrame:
+    """Entries by table value (key), a task's in order; stored: segment and value of each stored entry."""
+    spark = entries.sparkSession
+    hot = stored.groupBy("segment", "value").count().where(F.col("count") > HOT)
     hot = materialize(hot.select("segment", "value", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "hot_segments")
     n_hot = hot.count()
     if n_hot:
@@ -168,7 +225,7 @@ def links(classes: DataFrame) -> DataFrame:
     # segment and value take 24 bits, the salt the rest
     key = F.shiftleft(F.col("salt").cast("long"), 24) + F.shiftleft(F.col("segment").cast("long"), 22) + F.col("value")
     dealt = entries.select(key.alias("key"), "probe", "fp", "node").repartition(shuffle_partitions(spark), "key")
-    return dealt.sortWithinPartitions("key", "probe").mapInArrow(_links, "a long, b long")
+    return dealt.sortWithinPartitions("key", "probe")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,8 +254,8 @@ def _named(rows: DataFrame, by: str, edges: DataFrame) -> DataFrame:
     """rows (doc_id, row and the class by) with first, the least (doc_id, row) of the component; NULL if it has no id."""
     own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
     classes = materialize(rows.groupBy(by).agg(own.alias("own")), "classes")
-    roots = components(edges)
-    grouped = classes.join(roots, classes[by] == roots["node"], "left").select(by, "own", F.coalesce("root", by).alias("root"))
+    roots = components(edges).withColumnRenamed("node", "_node")
+    grouped = classes.join(roots, classes[by] == roots["_node"], "left").select(by, "own", F.coalesce("root", by).alias("root"))
     first = grouped.groupBy("root").agg(F.min("own").alias("first"))
     return rows.join(grouped.join(first, "root").select(by, "first"), by)
 
@@ -220,9 +277,90 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+def shingle_set(text: str | None, shingle: int = 5, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (of all words, if they are fewer)."""
+    words = (text or "").encode().lower().split()
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
+    starts = np.append(0, ends[:-1] + 1)[: max(len(words) - shingle + 1, min(len(words), 1))].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist() if words else []
+    return np.unique(np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of a shingle set (WORDS integers), and the two least certain bits of each 16-bit segment."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 rows fit a byte
+        z = hashes[at : at + 255, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((z ^ z >> np.uint64(31)).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    margin = 2 * ones - len(hashes)
+    return np.packbits(margin > 0, bitorder="little").view(np.int64), np.argsort(np.abs(margin).reshape(-1, 16), axis=1, kind="stable")[:, :2].astype(np.int8)
+
+
+def _set_node(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def _lists(values: np.ndarray, width: int) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * width, pa.array(values.reshape(-1)))
+
+
+def _wide_entries(batches):
+    """Stored and probing entries of classes (node, words, doubtful), as of _entries, with the segment within value."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            words = part.column("words").flatten().to_numpy().reshape(-1, WORDS)
+            flips = (1 << part.column("doubtful").flatten().to_numpy().astype(np.int64)).reshape(len(words), -1, 2)
+            own = words.view(np.uint16).astype(np.int64) + (np.arange(4 * WORDS) << 16)
+            one, two = flips[..., 0], flips[..., 1]
+            value = np.stack([own, own, own ^ one, own ^ two, own ^ one ^ two], axis=2)
+            probe = np.broadcast_to(np.arange(5) > 0, value.shape).reshape(-1)
+            each = lambda c, n=4 * WORDS * 5: np.repeat(c, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(value.size, np.int32)), pa.array(value.reshape(-1)), pa.array(probe), pa.array(each(words[:, 0])), pa.array(each(part.column("node").to_numpy()))], ["segment", "value", "probe", "fp", "node"])
+
+
+def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Links (a, b) between nodes of rows (node, row, words, doubtful) whose shingle sets are similar."""
+    classes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words"), F.first("doubtful").alias("doubtful")), "set_classes")
+    entries = classes.select("node", "words", "doubtful").mapInArrow(_wide_entries, "segment int, value long, probe boolean, fp long, node long")
+    pairs = _dealt(entries, entries.where(~F.col("probe")).select("segment", "value")).mapInArrow(lambda batches: _links(batches, _Candidates()), "a long, b long")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
+    apart = sum((F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)), F.lit(0))
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= WIDE_DISTANCE).select("a", "b"), "candidates")
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "row"), "node").select("row")
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text")).join(wanted, "row", "left_semi").dropDuplicates(["row", "text"])
+    held = materialize(texts.select("text").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle_sets")
+    side = lambda c: held.select(F.col("node").alias(c), F.col("shingles").alias(f"in_{c}"))
+    shared = F.size(F.array_intersect("in_a", "in_b"))
+    part, whole = LEAST_SHARED
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(whole * shared >= part * (F.size("in_a") + F.size("in_b") - shared)).select("a", "b")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs with one document per component, the one whose id names it; all columns kept. Rows without an id stay."""
-    return _without_copies(docs, _components_of(docs, id_col, text_col, shingle), id_col, text_col)
+    """docs with one document per component of similar shingle sets, the one of the least id; all columns kept. Rows without an id stay."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            marks = [wide_fingerprint(x) for x in found]
+            words = np.array([w for w, _ in marks], np.int64).reshape(-1, WORDS)
+            doubtful = np.array([x.reshape(-1) for _, x in marks], np.int8).reshape(-1, 8 * WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([_set_node(x) for x in found], pa.int64()), _lists(words, WORDS), _lists(doubtful, 8 * WORDS)], ["doc_id", "row", "node", "words", "doubtful"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
+    rows = materialize(rows.mapInArrow(run, "doc_id long, row long, node long, words array<long>, doubtful array<byte>"), "wide_fingerprints")
+    near = _named(rows.select("doc_id", "row", "node"), "node", similar_sets(docs, rows, text_col, shingle))
+    return _without_copies(docs, near, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

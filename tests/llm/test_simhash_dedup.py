@@ -86,3 +86,36 @@ def test_null_and_repeated_ids_join_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((str(r.doc_id), r.component_id) for r in S.simhash_components(docs).collect()) == [("1", 1), ("2", 2), ("3", 3), ("5", 3), ("5", 5), ("None", 1), ("None", 2)]
     assert sorted((str(r.doc_id), r.text) for r in S.drop_near_copies(docs).collect()) == sorted((str(i), t) for i, t in rows if t != near(2))
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_pairs_from_similarity_of_four_fifths_go(spark):
+    rnd, rows = random.Random(21), []
+    for k in range(200):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        for at in rnd.sample(range(300), 1 + k % 9):  # each changed word takes up to five shingles
+            other[at] = "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = {2 * k + 1 for k in range(200) if similar(plain_set(rows[2 * k][1]), plain_set(rows[2 * k + 1][1]))}
+    left = {r.doc_id for r in S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - left
+    assert 100 < len(want) < 200 and gone <= want and len(gone) >= 0.97 * len(want)
+
+
+def test_forests_join_what_all_pairs_join():
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(0, 60, 3000), rnd.integers(0, 60, 3000)
+    a, b = a[a != b], b[a != b]
+    d = rnd.integers(0, 18, len(a))
+    x, y, _ = S._nearest(a, b, d)
+    assert len(x) <= S.FORESTS * 59 and {*map(tuple, np.stack([x, y], 1))} <= {(min(p), max(p)) for p in zip(a, b)}
+    assert len(S._forest(x, y)[0]) == len(S._forest(a, b)[0])
