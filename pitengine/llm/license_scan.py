@@ -1,131 +1,121 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance by directory.
 
-A text is cut into segments (lines and sentences). A segment's terms are weighed by their count and by how few
-documents of the corpus hold them; its cosine to each template, a sentence of a licence's usual notice, gives its
-licence. Only template terms have non-zero weights in a template, so the dot products are sums over few terms;
-terms outside the templates lengthen the segment with the weight of a term that no document holds.
-
-Most segments are never weighed: the template terms are split so that those of low weight alone cannot lift any template over
-``THRESHOLD``, and a segment without one of the others is left out before. Segments are weighed where their row is, without a
-shuffle; the corpus counts of the template terms are one small aggregation.
-
-A file is a licence file if its base name is one of ``FILE_NAMES`` or segments with a licence hold at least half of its
-terms. A directory's licence is the best of its licence files'. A file without a licence of its own inherits from the
+A text is a sequence of terms (runs of letters and digits, with inner dots). Each template, a licence's tag, notice, header or text,
+is held against windows of as many terms as it has, a start every eighth of that, wherever lines break. The terms are weighed by
+their count in the window and by how few documents of the corpus hold them; the cosine of window and template,
+``THRESHOLD`` at least, gives a licence, and the greatest one the text's. Terms of the window that the template doesn't have lengthen
+it with the weight of a term that no document holds.
+
+Most texts are never cut into windows: a window of cosine c needs template terms whose squared weights sum to c squared, so a text
+without them is left out exactly, first by a look at the terms that are needed in any case, then by the sums. Texts are handled by a
+digest, so copies are weighed once, and a window's terms are counted by grouping: the work grows with a text's length and not with its square.
+
+A file is a licence file if its base name is like ``FILE_NAMES`` or the template of its licence has at least half as many terms as
+the file. A directory's licence is the best of its licence files'. A file without a licence of its own inherits from the
 nearest directory above it that has one; the directories are joined by path, each distinct one once.
 
 Only DataFrame functions are used. Defined cases: null and empty texts have no licence of their own and may inherit one; a null path has
 no directory and inherits nothing; a file at the top lies in the directory ``''``. Equal cosines go to the licence first in
-code-point order. Repeated rows are files of their own. Empty tables work; extra columns are ignored.
+code-point order. A very long text is scanned whole. Repeated rows are files of their own. Empty tables work; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import json
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitengine.llm._shared import materialize, table
-
-THRESHOLD = 0.7
-FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-][a-z0-9.-]+)?$"
-#: A licence's usual notices, one sentence each.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "You may not use this file except in compliance with the License."),
-    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-
-
-def cleaned(text: Column) -> Column:
-    """A line per segment (line or sentence), in lower case: its terms (runs of letters, digits and inner dots) between spaces."""
-    lines = F.regexp_replace(F.lower(text), r"([.;!?])\s+", "$1\n")
-    return F.regexp_replace(F.regexp_replace(lines, "[^a-z0-9.\n]+", " "), r"\.+(?=[ \n]|$)", "")
-
-
-def terms(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \n]"), lambda t: t != "")
-
-
-def _template_vectors(spark: SparkSession, templates: Sequence[tuple[str, str]], weights: DataFrame) -> DataFrame:
-    """template, license, term and weight of a unit vector per template."""
-    rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    counts = rows.select("template", "license", F.explode(terms(cleaned(F.col("text")))).alias("term")).groupBy("template", "license", "term").count()
-    weighed = counts.join(weights, "term").withColumn("w", F.col("count") * F.col("idf"))
+from pitengine.llm._shared import LOWER, UPPER, ascii_lower, materialize, table
+from pitengine.llm.license_texts import templates as usual_templates
+
+THRESHOLD = 0.8
+#: Starts of windows in a template's length.
+STARTS = 8
+TERM = r"[a-z0-9]+(?:[.][a-z0-9]+)*"
+FILE_NAMES = r"^(licen[cs]e|copying|notice|unlicense)([.-][a-z0-9.-]+)?$"
+TEMPLATES = usual_templates()
+
+
+def terms(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+
+
+def _rows(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str, int, str, int]]:
+    """template, license, its number of terms, term, count."""
+    lower = str.maketrans(UPPER, LOWER)
+    out = []
+    for k, (name, text) in enumerate(templates):
+        found = re.findall(TERM, text.translate(lower))
+        out += [(k, name, len(found), term, n) for term, n in sorted(Counter(found).items())]
+    return out
+
+
+def _weights(spark: SparkSession, templates: Sequence[tuple[str, str]], counts: DataFrame, total: int) -> DataFrame:
+    """template, license, n, step, term, idf and weight, a unit vector per template. Templates are a parameter, some thousand rows."""
+    rows = spark.createDataFrame(_rows(templates), "template int, license string, n int, term string, tf int")
+    idf = F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    rows = rows.join(counts, "term", "left").withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    return weighed.select("template", "license", "term", (F.col("w") / length).alias("weight"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / STARTS).cast("int"))
+    return rows.select("template", "license", "n", step.alias("step"), "term", "idf", (F.col("w") / length).alias("weight"))
+
+
+def _needed(weights: list, threshold: float) -> list[str]:
+    """Terms of which a window of that cosine has one at least: all but a template's lightest, as far as these don't reach it together."""
+    light: dict[int, float] = {}
+    needed = set()
+    for v in sorted(weights, key=lambda v: (v.weight, v.term)):
+        light[v.template] = light.get(v.template, 0.0) + v.weight**2
+        if light[v.template] >= threshold**2 - 1e-9:
+            needed.add(v.term)
+    return sorted(needed)
+
+
+def _matches(files: DataFrame, seen: DataFrame, weights: DataFrame, needed: list[str], total: int, threshold: float) -> DataFrame:
+    """digest, own (cost, license, n) of every text with a window of that cosine."""
+    small = F.broadcast(weights)  # one row per term of each template
+    held = seen.where(F.arrays_overlap("there", F.lit(needed))).groupBy("digest").agg(F.first("there").alias("there"))
+    held = held.select("digest", F.explode("there").alias("term")).join(small.select("template", "term", "weight"), "term")
+    enough = held.groupBy("digest", "template").agg(F.sum(F.col("weight") * F.col("weight")).alias("mass")).where(F.col("mass") >= threshold**2 - 1e-9)
+    wanted = materialize(enough.groupBy("digest").agg(F.collect_set("template").alias("wanted")), "license_candidates")
+    texts = files.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text").join(wanted, "digest", "left_semi")
+    texts = texts.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest")
+    words = texts.select("digest", "wanted", terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
+    words = words.select("digest", "wanted", "length", F.posexplode("terms").alias("pos", "term")).join(small, "term").where(F.array_contains("wanted", F.col("template")))
+    low = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("n") + 1) / F.col("step")).cast("int"))
+    spread = words.withColumn("start", F.explode(F.sequence(low, F.floor(F.col("pos") / F.col("step")).cast("int")))).withColumn("start", F.col("start") * F.col("step"))
+    counted = spread.groupBy("digest", "template", "license", "n", "start", "length", "term", "idf", "weight").agg(F.count("*").alias("tf"))
+    each = F.col("tf") * F.col("idf")
+    scored = counted.groupBy("digest", "template", "license", "n", "start", "length").agg(F.sum(each * F.col("weight")).alias("dot"), F.sum(each * each).alias("squares"), F.sum("tf").alias("held"))
+    unknown = F.log(F.lit(1.0 + total)) + 1
+    others = F.least(F.col("n"), F.col("length") - F.col("start")) - F.col("held")
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("squares") + others * unknown * unknown), 6)
+    best = scored.withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
+    return best.groupBy("digest").agg(F.min(F.struct((-F.col("cosine")).alias("cost"), "license", (-F.col("n")).alias("n"))).alias("own"))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per file: path, license, how (own, inherited, none), score, is_license_file, and the directory it came from."""
     spark = files.sparkSession
     files = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-
-    # Corpus counts of the template terms. The templates are a parameter; a few hundred terms bound all that is collected here.
-    wanted = spark.createDataFrame(templates, "license string, text string").select(F.explode(terms(cleaned(F.col("text")))).alias("term")).distinct()
-    names = sorted(r.term for r in wanted.collect())
-    there = F.array_intersect(F.split(cleaned(F.col("text")), "[ \n]"), F.lit(names))
-    counts = materialize(files.select(F.explode(there).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "license_counts")
-    total = files.agg(F.count("*").alias("n")).first().n
-    idf = lambda df: F.log((1 + F.lit(total)) / (1 + df)) + 1
-    weights = wanted.join(counts, "term", "left").select("term", idf(F.coalesce("df", F.lit(0))).alias("idf"))
-    vectors = materialize(_template_vectors(spark, templates, weights), "license_templates").join(weights, "term").collect()
-
-    # Terms, from the lightest, that stay below the threshold together in every template are no reason to weigh a segment.
-    unknown = spark.range(1).select(idf(F.lit(0)).alias("idf")).first().idf
-    light: dict[int, float] = {}
-    telling = set()
-    for v in sorted(vectors, key=lambda v: (v.idf, v.term)):
-        light[v.template] = light.get(v.template, 0.0) + v.weight**2
-        if light[v.template] >= threshold**2:
-            telling.add(v.term)
-    known = {v.term: v.idf for v in vectors}
-    licenses = [name for name, _ in templates]
-    dense = {t: [0.0] * len(templates) for t in known}
-    for v in vectors:
-        dense[v.term][v.template] = v.weight * v.idf
-    table_of = F.from_json(F.lit(json.dumps(dense)), "map<string,array<double>>")
-    idf_of = F.from_json(F.lit(json.dumps(known)), "map<string,double>")
-
-    def best(segment: Column) -> Column:
-        words = terms(segment)
-        # each occurrence adds its weight times the term's count: a sum over occurrences of tf * idf is a dot product with tf
-        dots = F.aggregate(words, F.array_repeat(F.lit(0.0), len(templates)), lambda acc, t: F.coalesce(F.zip_with(acc, F.try_element_at(table_of, t), lambda a, b: a + b), acc))
-        tf = lambda t: F.size(F.filter(words, lambda u: u == t))
-        squares = F.aggregate(F.array_distinct(words), F.lit(0.0), lambda acc, t: acc + F.pow(tf(t) * F.coalesce(F.try_element_at(idf_of, t), F.lit(unknown)), F.lit(2.0)))
-        named = F.zip_with(dots, F.lit(licenses), lambda d, name: F.struct((-F.round(d / F.sqrt(squares), 6)).alias("cost"), name.alias("license")))
-        return F.struct(F.size(words).alias("n"), F.array_min(named).alias("match"))
-
-    candidates = F.filter(F.split("clean", "\n"), lambda s: F.arrays_overlap(F.split(s, " "), F.lit(sorted(telling))))
-    found = F.filter(F.transform(candidates, best), lambda m: m["match"]["cost"] <= -threshold)
-    rows = files.withColumn("clean", cleaned(F.col("text"))).select("path", "clean", found.alias("found"))
-    rows = rows.select("path", F.when(F.size("found") > 0, F.size(terms(F.col("clean")))).alias("n_terms"), "found")
-    held = F.aggregate("found", F.lit(0), lambda acc, m: acc + m["n"])
-    base = F.substring_index("path", "/", -1)
-    licence_file = (F.size("found") > 0) & (F.rlike(base, F.lit(FILE_NAMES)) | (2 * held >= F.col("n_terms")))
+    names = sorted({r[3] for r in _rows(templates)})
+    seen = files.select("path", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), terms(F.col("text")).alias("terms"))
+    seen = materialize(seen.select("path", "digest", F.size("terms").alias("n_terms"), F.array_intersect("terms", F.lit(names)).alias("there")), "license_terms")
+    total = seen.count()
+    counts = seen.select(F.explode("there").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = materialize(_weights(spark, templates, counts, total), "license_weights")
+    needed = _needed(weights.select("template", "term", "weight").collect(), threshold)
+    found = materialize(_matches(files, seen, weights, needed, total, threshold), "license_matches")
+
+    base = ascii_lower(F.substring_index("path", "/", -1))
+    licence_file = F.col("own").isNotNull() & (F.rlike(base, F.lit(FILE_NAMES)) | (-2 * F.col("own.n") >= F.col("n_terms")))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
-    own = F.array_min(F.col("found.match"))
-    rows = rows.select("path", folder.alias("dir"), own.alias("own"), F.coalesce(licence_file, F.lit(False)).alias("is_license_file"))
+    rows = seen.select("path", "digest", "n_terms").join(found, "digest", "left")
+    rows = rows.select("path", folder.alias("dir"), "own", F.coalesce(licence_file, F.lit(False)).alias("is_license_file"))
     rows = materialize(rows, "license_files")
 
     given = rows.where("is_license_file AND dir IS NOT NULL").groupBy("dir").agg(F.min("own").alias("given"))
@@ -153,3 +143,45 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     found = scan(docs.select(path.alias("path"), "text"))
     return found.select(F.try_to_number(F.substring_index("path", "/", -1), F.lit("9999999999999999999")).cast("long").alias("doc_id"), "path", "license", "how", "score", "is_license_file", "license_dir")
+
+
+def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for ``query``: every window of every document against every template, and directories by prefix."""
+    values = ", ".join(f"({k}, '{name}', {n}, '{term}', {tf})" for k, name, n, term, tf in _rows(templates))
+    names = FILE_NAMES.replace("'", "''")
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || coalesce(doc_id::varchar, '-') AS path,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents),
+parts(template, license, n, term, tf) AS (VALUES {values}),
+dfs AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT rid, unnest(terms) AS term FROM docs) GROUP BY term),
+total AS (SELECT count(*) AS c FROM docs),
+idfs AS (SELECT p.*, ln((1.0::double + c) / (1 + coalesce(df, 0))) + 1 AS idf FROM parts p LEFT JOIN dfs USING (term), total),
+weights AS (SELECT *, greatest(1, n // {STARTS}) AS step, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM idfs),
+words AS (SELECT rid, len(terms) AS length, unnest(range(len(terms))) AS pos, unnest(terms) AS term FROM docs),
+spread AS (
+  SELECT rid, length, template, license, n, term, idf, weight, step * unnest(range(greatest(0, ceil((pos - n + 1) / step::double)::bigint), pos // step + 1)) AS start
+  FROM words JOIN weights USING (term)),
+counted AS (SELECT rid, length, template, license, n, start, term, idf, weight, count(*) AS f FROM spread GROUP BY ALL),
+scored AS (
+  SELECT rid, license, n, round(sum(f * idf * weight) / sqrt(sum(f * idf * f * idf) + (least(n, length - start) - sum(f)) * (SELECT (ln(1.0::double + c) + 1) ** 2 FROM total)), 6) AS cosine
+  FROM counted GROUP BY rid, length, template, license, n, start),
+own AS (
+  SELECT rid, license, n, cosine FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, license, n DESC) AS k FROM scored WHERE cosine >= {threshold}) WHERE k = 1),
+files AS (
+  SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, license, cosine,
+         coalesce(license IS NOT NULL AND (regexp_matches(translate(split_part(path, '/', -1), '{UPPER}', '{LOWER}'), '{names}') OR 2 * n >= len(terms)), false) AS is_license_file
+  FROM docs LEFT JOIN own USING (rid)),
+given AS (
+  SELECT dir, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) AS k FROM files WHERE is_license_file) WHERE k = 1),
+near AS (
+  SELECT dir, g_dir, license, cosine FROM (
+    SELECT d.dir, g.dir AS g_dir, g.license, g.cosine, row_number() OVER (PARTITION BY d.dir ORDER BY length(g.dir) DESC) AS k
+    FROM (SELECT DISTINCT dir FROM files) d JOIN given g ON d.dir = g.dir OR starts_with(d.dir, g.dir || '/')) WHERE k = 1)
+SELECT doc_id, path, coalesce(f.license, g.license) AS license, CASE WHEN f.license IS NOT NULL THEN 'own' WHEN g.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       coalesce(f.cosine, g.cosine) AS score, is_license_file, CASE WHEN f.license IS NOT NULL THEN f.dir ELSE g_dir END AS license_dir
+FROM files f LEFT JOIN near g ON g.dir = f.dir
+"""
+
+
+ORACLE = oracle()

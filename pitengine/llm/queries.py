@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
     "op6_curriculum_mix": curriculum_mix.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
 }
