@@ -1,39 +1,39 @@
-"""Language ID with a bit-sliced Bloom filter over character 3-grams.
+"""Language ID with a bit-sliced Bloom filter over character 4-grams.
 
-The filter is a table of ``BITS`` positions; each position holds a bit per language. A 3-gram that belongs to a
-language sets the language's bit at ``HASHES`` positions. The AND of the masks at a 3-gram's positions
-is the set of all languages that contain it, found in one look-up whatever the number of languages. A text's 3-grams
-are looked up in bulk; the hits of each language (a popcount of its bit) are corrected for the false positives that
-its fill makes, and the language with most hits wins.
+The filter is a table of positions; each position holds a bit per language. A 4-gram that occurs in a training text of a
+language sets the language's bit at ``HASHES`` positions. The AND of the masks at a 4-gram's positions is the set of
+all languages that contain it, found in one look-up whatever the number of languages. A text's 4-grams are looked up in
+bulk; the hits of each language (a popcount of its bit) are corrected for the false positives that its fill makes, and the
+language with most hits wins.
 
-A 3-gram belongs to a language if it makes up at least ``LEAST_RATE`` of its 3-grams there and at least
-``SHARE`` of the largest rate that it has in any language. Rates come from at most about
-``MAX_TRAIN`` texts a language outside fold 0, picked by a digest of their id; each language keeps at most
-``MAX_GRAMS`` 3-grams, which bounds the table that tasks receive (8 bytes times ``BITS`` for 64 languages).
+Every 4-gram of the training texts is in the filter. These are at most about ``MAX_TRAIN`` texts a language outside fold 0, picked by
+a digest of their id. The filter is sized from the 4-grams of the language that has most, so that its fill stays under
+``FILL``; tasks build it in parts, and the driver merges and broadcasts as many integers as it has positions, which the
+training sample bounds.
 
-Only letters count: all else parts words, case is folded, and a 3-gram whose middle is no letter is left out.
-Defined cases: null texts and texts without a letter are ``und`` with score 0. A text whose 3-grams are all
+Only letters count: all else parts words, case is folded, and each letter is the third of exactly one 4-gram.
+Defined cases: null texts and texts without a letter are ``und`` with score 0. A text whose 4-grams are all
 unknown gets the language with the most training texts and score 0. Equal hits go to the language first in code-point order.
 Rows without a language are never learned from, rows with a null id neither. Without training rows all is ``und``.
-Repeated rows are predicted each; extra columns are ignored.
+A very long text is read whole, in a block of its own. Repeated rows are predicted each; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitengine.llm._shared import fold, materialize, table
 
-BITS, HASHES = 1 << 20, 3
-MAX_TRAIN, MAX_GRAMS = 3000, 30_000
-LEAST_RATE, SHARE = 2e-5, 0.2
+GRAM, HASHES, FILL = 4, 3, 0.3
+LEAST_BITS = 16
+MAX_TRAIN = 3000
 NONE = "und"
 #: Code points of a block of texts that are looked up together.
 BLOCK = 1_000_000
@@ -43,7 +43,7 @@ BLOCK = 1_000_000
 class Filter:
     languages: list[str]
     fallback: int
-    masks: np.ndarray  # (languages / 64, BITS), unsigned 64-bit
+    masks: np.ndarray  # (languages / 64, positions), unsigned 64-bit
     false_rate: np.ndarray  # of each language
 
 
@@ -59,45 +59,70 @@ def has_letter(text: str | None) -> bool:
 
 
 def codes(text: str) -> np.ndarray:
-    """Lower-case code points with a space at either end; what is no letter is a space."""
-    points = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Lower-case code points between two spaces and one; what is no letter is a space."""
+    points = np.frombuffer(("  " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(_letters()[points], points, 32)
 
 
-def positions(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """The places of 3-grams in the filter."""
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of code points, given by columns."""
+    h = np.zeros(len(columns[0]), np.uint64)
     with np.errstate(over="ignore"):
-        h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + c.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return [(h >> np.uint64(20 * k)) & np.uint64(BITS - 1) for k in range(HASHES)]
+        for c in columns:
+            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def letters_at(points: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(points != 32)
+
+
+def gram_hashes(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 4-gram around each letter (two code points before it and one behind) of texts as of ``codes``."""
+    return hashed([points[at + k] for k in range(-2, GRAM - 2)])
+
+
+def positions(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of hashed 4-grams in a filter of size positions, a power of two."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return [(h + np.uint64(k) * step) & np.uint64(size - 1) for k in range(HASHES)]
+
+
+def size_for(grams: int) -> int:
+    """The least power of two that ``grams`` 4-grams fill to FILL at most."""
+    return 1 << max(LEAST_BITS, math.ceil(math.log2(max(grams, 1) * HASHES / FILL)))
+
+
+def sliced(languages: list[str], fallback: str, masks: np.ndarray) -> Filter:
+    fill = [np.count_nonzero(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / masks.shape[1] for k in range(len(languages))]
+    return Filter(languages, languages.index(fallback), masks, np.array(fill) ** HASHES)
 
 
 def build(grams: dict[str, list[str]], fallback: str) -> Filter:
-    """The filter of the 3-grams of each language."""
+    """The filter of given 4-grams of each language, on one machine."""
     languages = sorted(grams)
-    masks = np.zeros((-(-len(languages) // 64), BITS), np.uint64)
-    fill = np.zeros(len(languages))
+    size = size_for(max(map(len, grams.values())))
+    masks = np.zeros((-(-len(languages) // 64), size), np.uint64)
     for k, language in enumerate(languages):
-        points = np.array([[*map(ord, g)] for g in grams[language]], np.uint32).reshape(-1, 3)
-        at = np.unique(np.concatenate(positions(*points.T)))
-        masks[k // 64, at] |= np.uint64(1 << k % 64)
-        fill[k] = len(at) / BITS
-    return Filter(languages, languages.index(fallback), masks, fill**HASHES)
+        points = np.array([[*map(ord, g)] for g in grams[language]], np.uint32).reshape(-1, GRAM)
+        masks[k // 64, np.concatenate(positions(hashed(list(points.T)), size))] |= np.uint64(1 << k % 64)
+    return sliced(languages, fallback, masks)
 
 
 def hits(texts: list[str], model: Filter) -> tuple[np.ndarray, np.ndarray]:
-    """Number of 3-grams of each text, and how many of them each language holds."""
+    """Number of 4-grams of each text, and how many of them each language holds."""
     each = [codes(t) for t in texts]
     flat = np.concatenate(each)
-    owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    inside = (flat[1:-1] != 32) & (owner[:-2] == owner[2:])
-    owner = owner[1:-1][inside]
-    at = positions(flat[:-2][inside], flat[1:-1][inside], flat[2:][inside])
+    at = letters_at(flat)
+    owner = np.repeat(np.arange(len(each)), [len(x) for x in each])[at]
+    places = positions(gram_hashes(flat, at), model.masks.shape[1])
     n = np.bincount(owner, minlength=len(texts))
     found = np.zeros((len(texts), len(model.languages)))
     for word, masks in enumerate(model.masks):
-        held = masks[at[0]] & masks[at[1]] & masks[at[2]]
+        held = masks[places[0]] & masks[places[1]] & masks[places[2]]
         for bit in range(min(64, len(model.languages) - 64 * word)):
             found[:, 64 * word + bit] = np.bincount(owner[(held >> np.uint64(bit)) & np.uint64(1) == 1], minlength=len(texts))
     return n, found
@@ -121,39 +146,44 @@ def predict(texts: list[str | None], model: Filter | None) -> tuple[list[str], l
     return languages, scores
 
 
-def _count(batches):
-    counts: dict[str, Counter] = {}
+def _grams(batches):
+    """The distinct 4-grams (hashed) of each language in a batch."""
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            own = counts.setdefault(lang, Counter())
-            points = codes(text)
-            keep = np.flatnonzero(points[1:-1] != 32)
-            keys = (points[keep].astype(np.uint64) << np.uint64(42)) | (points[keep + 1].astype(np.uint64) << np.uint64(21)) | points[keep + 2]
-            own.update(dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)))))
-    rows = [(lang, key, n) for lang, own in counts.items() for key, n in own.items()]
-    lang, key, n = zip(*rows) if rows else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, max_grams: int = MAX_GRAMS) -> Filter | None:
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        own: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            points = codes(text.as_py())
+            own.setdefault(lang, []).append(np.unique(gram_hashes(points, letters_at(points))))
+        for lang, found in own.items():
+            h = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64))], ["lang", "gram"])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Filter | None:
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((fold("_id") != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r.lang: r["count"] for r in rows.select("_id", "lang").groupBy("lang").count().collect()}  # one row per language
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r.lang: r.n for r in counted.collect()}  # one row per language
     if not sizes:
         return None
+    languages = sorted(sizes)
+    spark = docs.sparkSession
+    limits = spark.createDataFrame([(lang, int(min(1.0, max_train / sizes[lang]) * (1 << 32)), k // 64, int(np.uint64(1 << k % 64).astype(np.int64))) for k, lang in enumerate(languages)], "lang string, most long, word int, mask long")
     part = F.conv(F.substring(F.md5(F.col("_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    limit = F.lit(0).cast("long")
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, int(min(1.0, max_train / n) * (1 << 32))).otherwise(limit)
-    counts = materialize(rows.where(part < limit).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language_grams")
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    rated = counts.withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
-    own = rated.where((F.col("rate") >= LEAST_RATE) & (F.col("rate") >= SHARE * F.col("most")))
-    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))).where(F.col("place") <= max_grams)
-    grams: dict[str, list[str]] = {lang: [] for lang in sizes}
-    for r in ranked.select("lang", "gram").toLocalIterator():  # at most max_grams a language
-        grams[r.lang].append(chr(r.gram >> 42) + chr(r.gram >> 21 & 0x1FFFFF) + chr(r.gram & 0x1FFFFF))
-    return build(grams, min(sizes, key=lambda x: (-sizes[x], x)))
+    chosen = rows.withColumn("part", part).join(limits.select("lang", "most"), "lang").where("part < most").select("lang", "text")
+    grams = materialize(chosen.mapInArrow(_grams, "lang string, gram long").distinct(), "language_grams")
+    size = size_for(grams.groupBy("lang").count().agg(F.max("count")).first()[0] or 1)
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(positions(batch.column("gram").to_numpy().view(np.uint64), size)).astype(np.int64)
+            again = lambda c: pa.chunked_array([batch.column(c)] * HASHES).combine_chunks()
+            yield pa.RecordBatch.from_arrays([again("word"), again("mask"), pa.array(at)], ["word", "mask", "place"])
+
+    marked = grams.join(limits.select("lang", "word", "mask"), "lang").select("word", "mask", "gram")
+    merged = marked.mapInArrow(places, "word int, mask long, place long").groupBy("word", "place").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most size rows for 64 languages
+    masks = np.zeros((-(-len(languages) // 64), size), np.uint64)
+    masks[merged["word"].to_numpy(), merged["place"].to_numpy()] = merged["mask"].to_numpy(np.int64).view(np.uint64)
+    return sliced(languages, min(sizes, key=lambda x: (-sizes[x], x)), masks)
 
 
 def identify(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
