@@ -3,27 +3,33 @@
 Each text gives five statistics; a transformed vector of them is held against a minimum-covariance-determinant
 estimate of its group and rejected if its squared Mahalanobis distance is above a chi-square quantile.
 
-The estimate is found by concentration steps over all rows of the group: from coordinate-wise medians and
-median deviations, rows are ranked by distance, the nearest ``KEPT`` part gives the next mean and covariance, and so on
-for ``STEPS`` rounds. Medians and ranks come from counts in fine bins, so a group of any size needs a few
-thousand counts and no ordering; means and covariances come from sums. Text is read once; the rounds read a
-written table of five numbers a row. As many statistics are zero in most texts, a small variance is added
-to each coordinate, which keeps the covariance from collapsing on them.
-
-A group is the rows of one language and source. Groups under ``LEAST_GROUP`` rows are joined by language,
-and languages that are still under it all together. Rows that fail the base limits are in no estimate.
-
-Defined cases: null, empty and white-space texts have no word and fail. Null languages and sources are groups
-like others. A group in which fewer rows than ``LEAST_GROUP`` are left rejects none. Repeated rows count each; empty
-tables work; extra columns are ignored.
+The estimate is the fast algorithm for large data. A sample of about ``START_ROWS`` rows of the group, picked by a digest of the
+row, gives starts: coordinate-wise medians, and ``TRIALS`` small random subsets, each improved by concentration steps in numpy; the
+``STARTS`` of least determinant go on. Then come concentration steps over all rows of the group: rows are ranked by
+distance, the nearest ``KEPT`` part gives the next mean and covariance, until no determinant changes any more (``ROUNDS`` at
+most); the start of least determinant is the group's estimate. Ranks come from counts in bins of distance (``PER_OCTAVE`` to a
+doubling, without a last one), so a group of any size needs some hundred counts and no ordering; means and covariances come
+from sums. Text is read once; the rounds read a written table of five numbers a row.
+
+As many statistics are zero in most texts, a small variance (``FLOORS``) is added to each coordinate, which keeps the covariance
+from collapsing on them. It is set so that a row that is at the edge of the base limits in repeated words, or repeats 16 lines, or
+has symbols in 5 % of its characters, or words 1.6 times as long as its group's, is rejected for that alone. A group's
+covariance is pulled towards the mean of all groups' as ``PRIOR`` rows would, so a small group needs no rule of its own: a
+group of one row keeps it, and the pull fades with size. Rows that fail the base limits are in no estimate.
+
+Defined cases: null, empty and white-space texts have no word and fail. A very long text is read whole. Null languages and sources are
+groups like others. Repeated rows count each; equal distances share a bin and are kept or left together. Empty
+tables work; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,13 +38,14 @@ from pitengine.llm._shared import materialize, table
 
 SPACES, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-KEPT, STEPS, LEAST_GROUP = 0.75, 3, 100
+KEPT, PRIOR = 0.75, 20
+START_ROWS, TRIALS, STARTS, ROUNDS = 600, 20, 2, 25
 TAIL = 1e-5
 #: Variance added to each coordinate, as a standard deviation: log words, log word length, symbols, repeated lines, repeated words.
-FLOORS = (0.5, 0.08, 0.3, 0.8, 0.8)
+FLOORS = (0.5, 0.08, 0.3, 0.5, 0.69)
 P = len(FLOORS)
-#: Bins a unit of a coordinate, and of a distance; distances beyond the last bin share it.
-COORDINATE_BINS, DISTANCE_BINS, LAST_BIN = 100, 50, 20_000
+#: Bins of a distance to a doubling (of 1/16 plus the distance).
+PER_OCTAVE = 16
 X = [f"x{k}" for k in range(P)]
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -117,42 +124,64 @@ def vector() -> list[Column]:
     ]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds group: language and source, or language, or nothing, as far as there are enough rows."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = rows.withColumn("_lang", name("lang")).withColumn("_source", name("source"))
-    counts = rows.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    small = F.sum(F.when(F.col("n") < LEAST_GROUP, F.col("n"))).over(Window.partitionBy("_lang"))
-    both, own = F.concat("_lang", F.lit("\x01"), "_source"), F.concat("_lang", F.lit("\x01*"))
-    group = F.when(F.col("n") >= LEAST_GROUP, both).when(small >= LEAST_GROUP, own).otherwise(F.lit("*"))
-    return rows.join(counts.select("_lang", "_source", group.alias("group")), ["_lang", "_source"], "left").drop("_lang", "_source")
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Per group its size, coordinate-wise medians, and variances by the median deviation."""
-    bins = F.array(*(F.struct(F.lit(k).alias("k"), F.round(F.col(x) * COORDINATE_BINS).cast("int").alias("bin")) for k, x in enumerate(X)))
-    counts = rows.select("group", F.explode(bins).alias("b")).groupBy("group", "b.k", "b.bin").agg(F.count("*").alias("n"))
-    of, half = Window.partitionBy("group", "k"), F.sum("n").over(Window.partitionBy("group", "k")) / 2
-    middle = lambda by: F.min(F.when(F.col("below") >= F.col("half"), F.col(by))).over(of)
-    counts = counts.withColumn("half", half).withColumn("below", F.sum("n").over(of.orderBy("bin"))).withColumn("median", middle("bin"))
-    counts = counts.withColumn("off", F.abs(F.col("bin") - F.col("median")))
-    counts = counts.withColumn("below", F.sum("n").over(of.orderBy("off").rangeBetween(Window.unboundedPreceding, 0))).withColumn("spread", middle("off"))
-    each = counts.groupBy("group", "k").agg(F.sum("n").alias("n"), F.first("median").alias("median"), F.first("spread").alias("spread"))
-    one = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c) / COORDINATE_BINS))
+def _regular(cov: np.ndarray) -> np.ndarray:
+    return cov + np.diag(np.square(FLOORS))
+
+
+def _nearest(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the nearest KEPT part of x."""
+    d = x - mean
+    distance = np.einsum("ij,jk,ik->i", d, np.linalg.inv(_regular(cov)), d)
+    near = x[np.argsort(distance, kind="stable")[: math.ceil(KEPT * len(x))]]
+    return near.mean(axis=0), np.cov(near.T, bias=True) * CONSISTENCY
+
+
+def starts(x: np.ndarray, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The STARTS estimates (log determinant, mean, covariance) of least determinant that medians and random subsets lead to."""
+    rng = np.random.default_rng(seed)
+    median = np.median(x, axis=0)
     # 1.4826: the standard deviation of normal data as a multiple of their median deviation
-    return each.groupBy("group").agg(F.max("n").alias("n"), F.array(*(one("median", k) for k in range(P))).alias("mean"), F.array(*(F.pow(1.4826 * one("spread", i), F.lit(2)) if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("cov"))
+    tried = [(median, np.diag(np.square(1.4826 * np.median(np.abs(x - median), axis=0))))]
+    for _ in range(TRIALS):
+        some = x[rng.choice(len(x), min(len(x), P + 1), replace=False)]
+        tried.append((some.mean(axis=0), np.cov(some.T, bias=True)))
+    size = lambda cov: float(np.linalg.slogdet(_regular(cov))[1])
+    short = sorted((size(c), k, m, c) for k, (m, c) in enumerate(_nearest(x, *_nearest(x, *t)) for t in tried))[: 2 * STARTS]
+    out = []
+    for last, k, m, c in short:
+        for _ in range(ROUNDS):
+            m, c = _nearest(x, m, c)
+            last, before = size(c), last
+            if last >= before - 1e-9:
+                break
+        out.append((last, k, m, c))
+    return [(d, m, c) for d, _, m, c in sorted(out, key=lambda t: t[:2])[:STARTS]]
+
+
+def _first_estimates(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """group, start, n, mean, cov of each start of each group."""
+    part = F.conv(F.substring(F.md5(F.concat_ws(",", *(F.col(x).cast("string") for x in ("doc_id", *X)))), 1, 8), 16, 10).cast("long")
+    some = rows.join(sizes, "group").where(part < F.least(F.lit(1.0), START_ROWS / F.col("n")) * (1 << 32))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", *X])
+        found = starts(frame[X].to_numpy(float), zlib.crc32(frame["group"].iloc[0].encode("utf-8", "surrogatepass")))
+        return pd.DataFrame({"group": frame["group"].iloc[0], "start": range(len(found)), "n": frame["n"].iloc[0], "mean": [m.tolist() for _, m, _ in found], "cov": [c.reshape(-1).tolist() for _, _, c in found]})
+
+    return some.groupBy("group").applyInPandas(run, "group string, start int, n long, mean array<double>, cov array<double>")  # about START_ROWS rows
 
 
 def _with_inverse(groups: DataFrame) -> DataFrame:
-    """Adds the inverse of the covariance with the floors on its diagonal. Each row is a group and is handled alone."""
+    """Adds the inverse and the log determinant of the covariance with the floors on its diagonal. Each row is handled alone."""
 
     def run(batches):
         for batch in batches:
             cov = np.array(batch.column("cov").to_pylist(), float).reshape(-1, P, P) + np.diag(np.square(FLOORS))
-            inverse = np.linalg.inv(cov).reshape(len(cov), P * P) if len(cov) else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "n", "mean")), pa.array(list(inverse), pa.list_(pa.float64()))], ["group", "n", "mean", "inverse"])
+            inverse = list(np.linalg.inv(cov).reshape(len(cov), P * P)) if len(cov) else []
+            size = np.linalg.slogdet(cov)[1] if len(cov) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "start", "n", "mean", "cov")), pa.array(inverse, pa.list_(pa.float64())), pa.array(size, pa.float64())], ["group", "start", "n", "mean", "cov", "inverse", "size"])
 
-    return groups.mapInArrow(run, "group string, n long, mean array<double>, inverse array<double>")
+    return groups.mapInArrow(run, "group string, start int, n long, mean array<double>, cov array<double>, inverse array<double>, size double")
 
 
 def _distance() -> Column:
@@ -165,37 +194,49 @@ def _distance() -> Column:
     return total
 
 
+def _bin() -> Column:
+    return F.floor(PER_OCTAVE * F.log2(1 + 16 * F.greatest(_distance(), F.lit(0.0)))).cast("int")
+
+
 def _step(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Means and covariances of the nearest KEPT part of each group."""
-    near = rows.join(groups, "group").withColumn("bin", F.least(F.floor(_distance() * DISTANCE_BINS), F.lit(LAST_BIN)).cast("int"))
-    counts = near.groupBy("group", "bin").agg(F.count("*").alias("m"))
-    below = F.sum("m").over(Window.partitionBy("group").orderBy("bin"))
-    last = counts.withColumn("below", below).join(groups.select("group", "n"), "group").where(F.col("below") >= KEPT * F.col("n")).groupBy("group").agg(F.min("bin").alias("last"))
-    last = materialize(groups.join(last, "group"), "quality_limits")
-    inner = rows.join(last, "group").withColumn("bin", F.least(F.floor(_distance() * DISTANCE_BINS), F.lit(LAST_BIN)).cast("int")).where("bin <= last")
-    sums = [F.avg(x).alias(f"m_{x}") for x in X]
+    """Means and covariances of the nearest KEPT part of each group, from each start's estimate."""
+    keys = ["group", "start"]
+    counts = rows.join(groups, "group").groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    below = F.sum("m").over(Window.partitionBy(*keys).orderBy("bin"))  # some hundred bins at most
+    last = counts.withColumn("below", below).where(F.col("below") >= KEPT * F.col("n")).groupBy(*keys).agg(F.min("bin").alias("last"))
+    inner = rows.join(materialize(groups.join(last, keys), "quality_limits"), "group").where(_bin() <= F.col("last"))
     # centred on the last mean, so that products keep their digits
     centred = [F.col(x) - F.col("mean")[k] for k, x in enumerate(X)]
-    products = [F.avg(centred[i] * centred[j]).alias(f"p_{i}_{j}") for i in range(P) for j in range(i, P)]
     shifts = [F.avg(c).alias(f"s_{i}") for i, c in enumerate(centred)]
-    found = inner.groupBy("group").agg(F.max("n").alias("n"), *sums, *products, *shifts)
+    products = [F.avg(centred[i] * centred[j]).alias(f"p_{i}_{j}") for i in range(P) for j in range(i, P)]
+    found = inner.groupBy(*keys).agg(F.max("n").alias("n"), F.first("mean").alias("old"), *products, *shifts)
     cov = [(F.col(f"p_{min(i, j)}_{max(i, j)}") - F.col(f"s_{i}") * F.col(f"s_{j}")) * CONSISTENCY for i in range(P) for j in range(P)]
-    return found.select("group", "n", F.array(*(f"m_{x}" for x in X)).alias("mean"), F.array(*cov).alias("cov"))
+    return found.select(*keys, "n", F.array(*(F.col("old")[k] + F.col(f"s_{k}") for k in range(P))).alias("mean"), F.array(*cov).alias("cov"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """group, n, mean, inverse of each group of rows (group and coordinates)."""
-    groups = materialize(_with_inverse(_start(rows)), "quality_groups")
-    for _ in range(STEPS):
-        groups = materialize(_with_inverse(_step(rows, groups)), "quality_groups")
-    return groups
+    """group, n, mean, inverse of each group of rows (group, doc_id and coordinates)."""
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    groups = materialize(_with_inverse(_first_estimates(rows, sizes)), "quality_groups")
+    for _ in range(ROUNDS):
+        after = materialize(_with_inverse(_step(rows, groups)), "quality_groups")
+        before, groups = groups, after
+        moved = after.join(before.select("group", "start", F.col("size").alias("old")), ["group", "start"]).where(F.abs(F.col("size") - F.col("old")) > 1e-6)
+        if moved.limit(1).count() == 0:
+            break
+    best = groups.groupBy("group").agg(F.min_by(F.struct("start", "n", "mean", "cov"), F.struct("size", "start")).alias("best")).select("group", "best.*")
+    all_groups = best.agg(*(F.try_divide(F.sum(F.col("n") * F.col("cov")[k]), F.sum("n")).alias(f"c{k}") for k in range(P * P))).first()
+    pooled = [c or 0.0 for c in all_groups]
+    pulled = F.array(*((F.col("n") * F.col("cov")[k] + PRIOR * pooled[k]) / (F.col("n") + PRIOR) for k in range(P * P)))
+    return materialize(_with_inverse(best.withColumn("cov", pulled)).select("group", "n", "mean", "inverse"), "quality_estimates")
 
 
 def quality(docs: DataFrame, **columns: str) -> DataFrame:
-    """doc_id, the statistics, base_failed, kept and distance (null where there is no estimate) of every row."""
+    """doc_id, the statistics, base_failed, kept and distance (null where a group has no row within the base limits) of every row."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     rows = with_statistics(docs, **columns).withColumn("base_failed", base_failed()).withColumns(dict(zip(X, vector())))
-    rows = materialize(_grouped(materialize(rows, "quality_statistics")), "quality_rows")
-    groups = estimates(rows.where(~F.col("base_failed")).select("group", *X)).where(F.col("n") >= LEAST_GROUP)
+    rows = materialize(rows.withColumn("group", F.concat(name("lang"), F.lit("\x01"), name("source"))).drop("lang", "source"), "quality_rows")
+    groups = estimates(rows.where(~F.col("base_failed")).select("group", "doc_id", *X))
     judged = rows.join(groups.select("group", "mean", "inverse"), "group", "left").withColumn("distance", F.round(_distance(), 6))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
