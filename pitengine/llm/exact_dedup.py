@@ -1,30 +1,37 @@
 """Exact dedup with a cuckoo-filter index of live digests.
 
-Texts are compared by SHA-256 and byte length. The work runs in two rounds of the same index:
+The work runs in two rounds of the same index:
 
 1. each input task builds an index over its own rows, so a text that holds a third of all rows
-   leaves a task as one row (a map-side combine);
+   leaves a task as one row (a map-side combine); when the index is full, its digests that were met once are handed
+   on and deleted from the filter, and those with copies stay live;
 2. the combined rows are shuffled by digest; each task merges its digests in an index again.
 
 A task's index is a table of buckets with four slots. A slot holds a 16-bit fingerprint and a
-reference to the stored content (digest, byte length, count, largest row). A fingerprint hit counts
-only after the stored digest and length were compared, so false positives of the filter never merge
-different texts. When an insertion finds no place, the table doubles and is filled again from the
-stored keys. Digests whose last copy is deleted leave the filter.
+reference to a stored key (digest, byte length) with its count and largest row. A fingerprint hit counts
+only after the stored key was compared. When an insertion finds no place, the table doubles and is filled again
+from the stored keys. Digests whose last copy is deleted leave the filter.
+
+Digests with copies are then verified against the content: their texts are dealt into buckets by digest, and a digest is good if the
+least and the greatest text of its bucket are equal. Rows of a digest that stands for different texts are grouped by
+the texts themselves.
 
 Defined cases: a null text counts as the empty text. A null id sorts below every id. Rows that repeat
-an id are rows of their own: of equal (text, id) rows exactly one is kept. An empty table gives an
-empty result. Extra columns of the input are ignored here and survive in ``drop_exact_copies``.
+an id are rows of their own: of equal (text, id) rows exactly one is kept. A very long text is handled whole, by its digest. An
+empty table gives an empty result. Extra columns of the input, whatever their names, are ignored here and survive in
+``drop_exact_copies``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitengine.llm._shared import materialize, shuffle_partitions, table
+from pitengine.llm._shared import materialize, shuffle_partitions, table, unused
 
 SLOTS, MAX_KICKS = 4, 200
 #: Live digests that a map-side index gathers before it hands them on and starts afresh.
@@ -186,7 +193,10 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _entries(index: CuckooIndex) -> pa.RecordBatch:
-    keys, count, best = index.live()
+    return _batch(*index.live())
+
+
+def _batch(keys: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys[:, :4]).tobytes())])
     ids = pa.array(best[:, 0], mask=best[:, 0] == NO_ID)
     return pa.RecordBatch.from_arrays(
@@ -204,19 +214,27 @@ def _merge(limit: int | None):
                 best = np.column_stack([ids, batch.column("keep_row").to_numpy()])
                 index.add(_keys(batch), batch.column("group_size").to_numpy(), best)
             if limit and len(index) > limit:
-                yield _entries(index)
-                index = CuckooIndex()
+                keys, count, best = index.live()
+                cold = count == 1
+                if 2 * cold.sum() < len(count):
+                    cold[:] = True
+                yield _batch(keys[cold], count[cold], best[cold])
+                index.remove(keys[cold], count[cold])
         yield _entries(index)
 
     return run
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of docs: id, digest, byte length, and a row number that is unique in the result."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        digest(text).alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.monotonically_increasing_id().alias("row"),
     )
@@ -255,33 +273,51 @@ def apply_changes(index: DataFrame, added: DataFrame, deleted: DataFrame) -> Dat
     return dealt.mapInArrow(run, "digest binary, n_bytes long, group_size long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Singletons need no partner, so only digests of two rows and more are joined back; Spark splits the
-    rows of a hot digest there, as the index has one row for it.
-    """
-    rows = materialize(digests(docs, id_col, text_col), "digests")
+def _verdict(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, digest, n_bytes, keep_id, group_size, kept of every row."""
+    rows = materialize(digests(docs, id_col, text_col, digest), "digests")
     groups = materialize(build_index(rows).where("group_size > 1"), "groups")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    content = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    buckets = content.join(groups.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi").groupBy("digest", "n_bytes").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    mixed = materialize(buckets.where("least <> greatest").select("digest", "n_bytes"), "mixed_digests")
     joined = rows.join(groups, ["digest", "n_bytes"], "left")
-    return joined.select(
+    out = joined.select(
         "doc_id",
+        "digest",
+        "n_bytes",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    if mixed.limit(1).count() == 0:
+        return out
+    same = Window.partitionBy("digest", "text")
+    apart = content.join(mixed, ["digest", "n_bytes"], "left_semi")
+    first = F.row_number().over(same.orderBy(F.col("doc_id").desc_nulls_last()))
+    apart = apart.select("doc_id", "digest", "n_bytes", F.max("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"), (first == 1).alias("kept"))
+    return out.join(mixed, ["digest", "n_bytes"], "left_anti").select(*apart.columns).unionByName(apart)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (the digest).
+
+    Singletons need no partner, so only digests of two rows and more are joined back; Spark splits the
+    rows of a hot digest there, as the index has one row for it.
+    """
+    return _verdict(docs, id_col, text_col, digest).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies, all columns kept. Rows equal in id and text leave one row."""
     verdict = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = verdict.where(~same_id).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    its_id, its_digest, whole = unused(docs, "its_id", "its_digest", "whole_text")
+    gone = verdict.where(~same_id).select(F.col("doc_id").alias(its_id), F.unhex("text_sha256").alias(its_digest))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col(its_id)) & (sha256(text) == F.col(its_digest)), "left_anti")
     if verdict.where(same_id).limit(1).count():  # an id repeats with its text
-        left = left.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates([id_col, "_text"]).drop("_text")
+        left = left.withColumn(whole, text).dropDuplicates([id_col, whole]).drop(whole)
     return left
 
 

@@ -1,6 +1,8 @@
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, digest string"
+#: Names that the operators use for columns of their own.
+CLASHING = "_id _digest _text _mix_id _mix_due its_id its_digest whole_text its_row mix_due mix_number mix_id mix_no_source mix_source mix_mark fp node first group start n mean x0 toxic part".split()
 
 
 @pytest.fixture(scope="session")
@@ -29,3 +31,11 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(odd_docs):
+    """The odd rows with columns that are named as the operators name their own."""
+    from pyspark.sql import functions as F
+
+    return odd_docs.select("*", *(F.col("doc_id").alias(n) for n in CLASHING))

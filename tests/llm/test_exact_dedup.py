@@ -61,3 +61,26 @@ def test_changes_keep_live_digests(spark):
     live = X.apply_changes(index, text(["d", "b"]), text(["a", "c", "zz"]))
     names = {hashlib.sha256(x.encode()).digest(): x for x in "abcd"}
     assert {names[bytes(r.digest)]: r.group_size for r in live.collect()} == {"a": 1, "b": 2, "d": 1}
+
+
+def test_digests_that_meet_are_told_apart_by_content(odd_docs):
+    """With a digest of one digit almost all texts of a length meet, and the content decides."""
+    weak = lambda t: F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(t.cast("binary"), 256), 1, 1), F.repeat(F.lit("0"), 62)))
+    docs = odd_docs.sparkSession.createDataFrame([(k, "abcdefgh"[k % 8]) for k in range(90)] + [(None, "a"), (7, "a")], "doc_id long, text string")
+    got = X.exact_dedup(docs, digest=weak).collect()
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == [w[:3] for w in want]
+    assert sum(r.kept for r in got) == 8
+
+
+def test_full_index_hands_on_and_deletes_what_was_met_once(spark, monkeypatch):
+    monkeypatch.setattr(X, "COMBINE_KEYS", 50)
+    docs = spark.createDataFrame([(k, f"text {k % 300 if k % 2 else 'hot'}") for k in range(2000)], "doc_id long, text string")
+    got = X.exact_dedup(docs).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_drop_with_clashing_names(clashing_docs):
+    left = X.drop_exact_copies(clashing_docs)
+    assert left.schema == clashing_docs.schema
+    assert left.count() == clashing_docs.select(F.coalesce("text", F.lit(""))).distinct().count()
