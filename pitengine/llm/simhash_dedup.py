@@ -7,11 +7,15 @@ its segment values, and probes the tables of the first two segments with the bal
 its own value (22 probes each) and the third with its value alone. Fingerprints that meet in a table
 are compared in full. The tables hold distinct fingerprints: copies meet once, as one entry.
 
+From ``WIDE_FROM`` distinct fingerprints on, a value of 21 bits is shared by so many that candidates outgrow probes; there
+two segments of 32 bits do the same (at most two bits differ in the first, or at most one in the second: 529 and 33
+probes). Both plans find every link.
+
 Stored and probing entries of a table value are shuffled to one task and compared in numpy blocks.
 A task hands on a spanning forest of the links it verified, so a dense group of n fingerprints leaves
 as n links and not n * n pairs, and no link between groups is lost. A table value that more than
-``HOT`` fingerprints share is dealt over several tasks: its stored entries by salt, its probes to each
-salt. Components are found by alternating star contraction over the links, with a written table after
+``HOT`` fingerprints share is dealt over a grid of tasks: stored entries over its rows and probes over its columns, so that no
+task compares more than about ``HOT`` with ``HOT``. Components are found by alternating star contraction over the links, with a written table after
 each round.
 
 A node is the fingerprint itself; the smallest id names a component once it is found.
@@ -23,24 +27,29 @@ ball is enumerated over its two least certain bits (four probes). Candidates are
 dense group a task hands on ``FORESTS`` successive spanning forests, nearest pairs first, so a pair that is left out
 has that many separate paths of nearer pairs.
 
-Defined cases: null and white-space texts have fingerprint zero and link like any other. A component
-without an id has no name. Rows that repeat an id are members of their own, and are dropped by id and
-text. An empty table gives an empty result.
+Defined cases: null and white-space texts have fingerprint zero and link like any other. A very long text is hashed whole, block by
+block. A component without an id has no name. Rows that repeat an id are members of their own, and are dropped by id and
+text. An empty table gives an empty result. Extra columns, whatever their names, are ignored by ``simhash_components`` and
+kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitengine.llm._shared import materialize, shuffle_partitions, table
+from pitengine.llm._shared import materialize, shuffle_partitions, table, unused
 
 SEED, MAX_DISTANCE = 42, 4
 #: First bit and width of the segments, and the radius of the ball that is enumerated in each.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+WIDE_SEGMENTS, WIDE_FROM = ((0, 32, 2), (32, 32, 1)), 1 << 25
 #: Of drop_near_copies: words of a fingerprint, most bits that candidates differ in (in the first word, in all), forests handed on.
 WORDS, FIRST_DISTANCE, WIDE_DISTANCE, FORESTS = 6, 18, 90, 4
 #: Least Jaccard similarity of shingle sets, as a fraction.
@@ -83,15 +92,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
-def _entries(classes: DataFrame) -> DataFrame:
+def ball(width: int, radius: int) -> list[int]:
+    """All values of width bits with radius ones at most."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def _entries(classes: DataFrame, segments: Sequence[tuple[int, int, int]]) -> DataFrame:
     """Stored (probe false) and probing entries: segment, value, probe, fp, node."""
-    tables, probes = [], []
-    for k, (low, width, radius) in enumerate(SEGMENTS):
+    out = None
+    for k, (low, width, radius) in enumerate(segments):
         own = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
-        tables.append(F.struct(F.lit(k).alias("segment"), own.alias("value"), F.lit(False).alias("probe")))
-        for flip in [0, *(1 << b for b in range(width))] if radius else [0]:
-            probes.append(F.struct(F.lit(k).alias("segment"), own.bitwiseXOR(flip).alias("value"), F.lit(True).alias("probe")))
-    return classes.select(F.explode(F.array(*tables, *probes)).alias("e"), "fp", "node").select("e.*", "fp", "node")
+        stored = classes.select(F.lit(k).alias("segment"), own.alias("value"), F.lit(False).alias("probe"), "fp", "node")
+        flips = classes.withColumn("flip", F.explode(F.lit(ball(width, radius)).cast("array<bigint>")))
+        probes = flips.select(F.lit(k).alias("segment"), own.bitwiseXOR(F.col("flip")).alias("value"), F.lit(True).alias("probe"), "fp", "node")
+        out = stored.union(probes) if out is None else out.union(stored).union(probes)
+    return out
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,28 +217,34 @@ def _links(batches, compare=None):
                 yield out
 
 
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, segments: Sequence[tuple[int, int, int]] | None = None) -> DataFrame:
     """Links (a, b) between nodes of distinct fingerprints (fp, node) that join all that are near."""
-    counts = [classes.select(F.lit(k).alias("segment"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << w) - 1).alias("value")) for k, (low, w, _) in enumerate(SEGMENTS)]
-    return _dealt(_entries(classes), counts[0].union(counts[1]).union(counts[2])).mapInArrow(_links, "a long, b long")
+    segments = segments or (SEGMENTS if classes.count() < WIDE_FROM else WIDE_SEGMENTS)
+    entries = _entries(classes, segments)
+    return _dealt(entries).mapInArrow(_links, "a long, b long")
 
 
-def _dealt(entries: DataFrame, stored: DataFrame) -> DataFrame:
-    """Entries by table value (key), a task's in order; stored: segment and value of each stored entry."""
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Entries by table value (key), a task's in order: a hot value's stored entries in rows and its probes in columns of a grid."""
     spark = entries.sparkSession
-    hot = stored.groupBy("segment", "value").count().where(F.col("count") > HOT)
-    hot = materialize(hot.select("segment", "value", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "hot_segments")
+    hot = materialize(entries.where(~F.col("probe")).groupBy("segment", "value").agg(F.count("*").alias("stored")).where(F.col("stored") > HOT), "hot_segments")
     n_hot = hot.count()
     if n_hot:
-        entries = entries.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, ["segment", "value"], "left")
-        one = F.array(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("salts") - 1)
-        salts = F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(F.col("probe"), every).otherwise(one)
-        entries = entries.withColumn("salt", F.explode(salts))
+        near = lambda: F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
+        probes = entries.where("probe").join(near(), ["segment", "value"]).groupBy("segment", "value").agg(F.max("stored").alias("stored"), F.count("*").alias("probes"))
+        parts = lambda c: F.ceil(F.col(c) / HOT).cast("int")
+        hot = materialize(probes.select("segment", "value", parts("stored").alias("rows"), parts("probes").alias("columns")), "hot_segments")
+        entries = entries.join(near(), ["segment", "value"], "left")
+        digest = F.xxhash64("fp")
+        row, column = F.pmod(digest, F.col("rows")).cast("int"), F.pmod(digest, F.col("columns")).cast("int")
+        along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: row * F.col("columns") + c)
+        down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: r * F.col("columns") + column)
+        cells = F.when(F.col("rows").isNull(), F.array(F.lit(0))).when(F.col("probe"), down).otherwise(along)
+        entries = entries.withColumn("cell", F.explode(cells))
     else:
-        entries = entries.withColumn("salt", F.lit(0))
-    # segment and value take 24 bits, the salt the rest
-    key = F.shiftleft(F.col("salt").cast("long"), 24) + F.shiftleft(F.col("segment").cast("long"), 22) + F.col("value")
+        entries = entries.withColumn("cell", F.lit(0))
+    # a value takes 32 bits, the segment two, the cell the rest
+    key = F.shiftleft(F.col("cell").cast("long"), 34) + F.shiftleft(F.col("segment").cast("long"), 32) + F.col("value")
     dealt = entries.select(key.alias("key"), "probe", "fp", "node").repartition(shuffle_partitions(spark), "key")
     return dealt.sortWithinPartitions("key", "probe")
 
@@ -235,7 +256,6 @@ def components(edges: DataFrame) -> DataFrame:
     ones too (small star); it ends when the edges stay as they were, each node then naming its root.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    seen = None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -243,11 +263,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "large_star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        edges = materialize(small.select("e.*").where("a != b").distinct(), "small_star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == seen:
+        before, edges = edges, materialize(small.select("e.*").where("a != b").distinct(), "small_star")
+        # both tables are without repeated rows: of equal size and without a difference, they are equal
+        if before.count() == edges.count() and edges.join(before, ["a", "b"], "left_anti").limit(1).count() == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
 
 
 def _named(rows: DataFrame, by: str, edges: DataFrame) -> DataFrame:
@@ -262,13 +281,15 @@ def _named(rows: DataFrame, by: str, edges: DataFrame) -> DataFrame:
 
 def _without_copies(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs without the rows of near whose id and text are not the first of their component."""
-    gone = near.where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "row") != F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    return docs.join(gone, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_row")), "left_anti")
+    its_id, its_row = unused(docs, "its_id", "its_row")
+    gone = near.where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "row") != F.col("first"))).select(F.col("doc_id").alias(its_id), F.col("row").alias(its_row)).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col(its_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(its_row)), "left_anti")
 
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    return _named(rows, "fp", links(rows.select("fp", F.col("fp").alias("node")).distinct()))
+    classes = materialize(rows.select("fp", F.col("fp").alias("node")).distinct(), "fingerprint_classes")
+    return _named(rows, "fp", links(classes))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -326,7 +347,7 @@ def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int)
     """Links (a, b) between nodes of rows (node, row, words, doubtful) whose shingle sets are similar."""
     classes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words"), F.first("doubtful").alias("doubtful")), "set_classes")
     entries = classes.select("node", "words", "doubtful").mapInArrow(_wide_entries, "segment int, value long, probe boolean, fp long, node long")
-    pairs = _dealt(entries, entries.where(~F.col("probe")).select("segment", "value")).mapInArrow(lambda batches: _links(batches, _Candidates()), "a long, b long")
+    pairs = _dealt(entries).mapInArrow(lambda batches: _links(batches, _Candidates()), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: classes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
     apart = sum((F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)), F.lit(0))

@@ -44,8 +44,14 @@ def test_components_match_all_pairs(spark, sf):
     assert {i: c for i, (_, c) in got.items()} == roots([(i, f) for i, (f, _) in got.items()])
 
 
+def test_drop_with_clashing_names(clashing_docs):
+    left = S.drop_near_copies(clashing_docs)
+    assert left.schema == clashing_docs.schema and {r.doc_id for r in left.collect()} == {1, 5, 7, 9, 10, None}
+
+
+@pytest.mark.parametrize("segments", [S.SEGMENTS, S.WIDE_SEGMENTS])
 @pytest.mark.parametrize("hot", [2048, 3])
-def test_links_of_chains_and_dense_groups(spark, monkeypatch, hot):
+def test_links_of_chains_and_dense_groups(spark, monkeypatch, hot, segments):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "BLOCK_ROWS", 40)
     monkeypatch.setattr(S, "BLOCK_PAIRS", 50)
@@ -60,7 +66,7 @@ def test_links_of_chains_and_dense_groups(spark, monkeypatch, hot):
     fps |= {base ^ (1 << b) for b in range(64)} | {0}
     rows = list(enumerate(rnd.sample(sorted(fps), len(fps))))
     classes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in rows], "fp long, node long")
-    got = {r.node: r.root for r in S.components(S.links(classes)).collect()}
+    got = {r.node: r.root for r in S.components(S.links(classes, segments)).collect()}
     assert {i: got.get(i, i) for i, _ in rows} == roots(rows)
 
 
