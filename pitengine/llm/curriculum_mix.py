@@ -13,10 +13,10 @@ The running sums of words need no task that holds a source: each source is cut b
 the digest into many buckets, small sums per bucket give the bucket's offset, and only the rows of one
 bucket are ordered together. The bucket number only decides the partitions and not the order.
 
-Defined cases: a null text has size 0, and rows of size 0 are never taken. A null source is a source of
-its own, after all others; it never equals the empty string. Rows that repeat an id are taken as rows of
-their own, in the order of size. A null id is ordered last. Empty tables, and tables without words, give
-targets of 0. Extra columns are ignored by ``mix`` and kept by ``training_stream``.
+Defined cases: a null text has size 0, and rows of size 0 are never taken. A very long text counts as any other. A null source is a
+source of its own, after all others; it never equals the empty string. Rows that repeat an id are taken as rows of
+their own, in the order of size. Rows without an id come last, in the order of a digest of their text. Empty tables, and tables
+without words, give targets of 0. Extra columns, whatever their names, are ignored by ``mix`` and kept by ``training_stream``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitengine.llm._shared import WORD, materialize, shuffle_partitions, table
+from pitengine.llm._shared import WORD, materialize, shuffle_partitions, table, unused
 
 WEIGHTS, RATIO, CAP = (5, 2, 1), 1.5, 2
 #: For the sources of each weight: knots (training time, relative rate) of the schedule.
@@ -78,18 +78,29 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         source.isNull().alias("no_source"),
         F.coalesce(source, F.lit("")).alias("source"),
-        F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("g")).alias("turn"),
+        F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.concat(F.lit("g"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))).alias("turn"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, ratio: float = RATIO, cap: int = CAP) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, and for each of the ``cap`` passes
-    pass_k (words taken) and position_k (training time of its middle, null where nothing is taken)."""
+    pass_k (words taken) and position_k (training time of its middle, null where nothing is taken). Range-sorted by the
+    position of the first pass; rows that are not taken come last."""
+    out = _plan(docs, id_col, text_col, source_col, weights, schedules, ratio, cap).drop("no_source", "source", "mark")
+    order = [F.col("position_1").asc_nulls_last(), F.col("doc_id")]
+    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+
+
+def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, ratio: float = RATIO, cap: int = CAP) -> DataFrame:
+    """The columns of ``mix`` with no_source, source and mark (a hash of the text)."""
     rows = materialize(sizes(docs, id_col, text_col, source_col), "sizes")
     wanted, n = rows.count() // BUCKET_ROWS, LEAST_BUCKETS
     while n < min(wanted, MOST_BUCKETS):
         n *= 2
-    head = F.when(F.col("turn") == "g", (1 << 32) - 1).otherwise(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"))
+    # rows without an id (their turn starts with g) have as many buckets again, behind the others
+    digits = lambda at: F.conv(F.substring("turn", at, 8), 16, 10).cast("long")
+    head = F.when(F.col("turn").startswith("g"), (1 << 32) + digits(2)).otherwise(digits(1))
     rows = rows.withColumn("bucket", (head / F.lit((1 << 32) // n)).cast("long"))
     keys = ["no_source", "source", "bucket"]
     buckets = materialize(rows.groupBy(keys).agg(F.sum("size").alias("words")), "buckets")
@@ -97,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     along = Window.partitionBy("no_source", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*keys, F.coalesce(F.sum("words").over(along), F.lit(0).cast("long")).alias("offset"))
     offsets = materialize(offsets.join(shares, ["no_source", "source"]), "offsets")
-    inside = Window.partitionBy(*keys).orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy("turn", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_start", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     rows = rows.join(offsets, keys).withColumn("_start", F.col("_start") + F.col("offset"))
     passes, positions = [], []
@@ -107,25 +118,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         passes.append(took.alias(f"pass_{k + 1}"))
         used = F.least(F.try_divide(at + took / F.lit(2.0), F.col("target")), F.lit(1.0))
         positions.append(F.when(took > 0, F.round(_by_source(schedules, used), 6)).alias(f"position_{k + 1}"))
-    out = rows.select("doc_id", "size", "source_size", "target", "no_source", "source", *passes, *positions)
+    out = rows.select("doc_id", "size", "source_size", "target", "no_source", "source", "mark", *passes, *positions)
     taken = sum((F.col(f"pass_{k + 2}") for k in range(cap - 1)), F.col("pass_1"))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(f"pass_{k + 1}" for k in range(cap)), *(f"position_{k + 1}" for k in range(cap)))
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(f"pass_{k + 1}" for k in range(cap)), *(f"position_{k + 1}" for k in range(cap)), "no_source", "source", "mark")
 
 
-def training_stream(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def training_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs in training order, all columns kept: a row for each pass that takes at least half of its document.
 
-    Documents are left whole, so a source misses its target by half a document at most.
-    Rows that repeat an id share one plan, the one that takes most, so that none multiplies another.
+    Documents are left whole, so a source misses its target by half a document at most. Each row has its own plan, found by
+    id, source and text; rows that are equal in these share out their plans in any order.
     """
-    plan = mix(docs, id_col=id_col, **options)
     n = options.get("cap", CAP)
-    due_at = F.array(*(F.when(2 * F.col(f"pass_{k + 1}") >= F.col("size"), F.col(f"position_{k + 1}")) for k in range(n)))
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.array_compact(due_at).alias("_mix_due"))
-    plan = plan.groupBy("_mix_id").agg(F.max("_mix_due").alias("_mix_due"))
-    stream = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id"))).withColumn("_mix_due", F.explode("_mix_due"))
-    ordered = stream.repartitionByRange(shuffle_partitions(docs.sparkSession), "_mix_due", id_col).sortWithinPartitions("_mix_due", id_col)
-    return ordered.drop("_mix_id", "_mix_due")
+    due, number, theirs_number, *names = unused(docs, "mix_due", "mix_number", "mix_own_number", *(f"mix_{again}{k}" for again in ("", "again_") for k in ("id", "no_source", "source", "mark")))
+    names, again_names = names[:4], names[4:]
+    wanted = F.array_compact(F.array(*(F.when(2 * F.col(f"pass_{k + 1}") >= F.col("size"), F.col(f"position_{k + 1}")) for k in range(n))))
+    plan = _plan(docs, id_col, text_col, source_col, **options)
+    keys = ["doc_id", "no_source", "source", "mark"]
+    plan = materialize(plan.select(*(F.col(k).alias(name) for k, name in zip(keys, names)), wanted.alias(due)), "training_plan")
+    source = F.col(source_col).cast("string")
+    own = [F.col(id_col), source.isNull(), F.coalesce(source, F.lit("")), F.xxhash64(F.col(text_col).cast("string"))]
+    planned, again = [F.col(name) for name in names], [F.col(name) for name in again_names]
+    same = lambda a, b: a[0].eqNullSafe(b[0]) & (a[1] == b[1]) & (a[2] == b[2]) & (a[3] == b[3])
+    repeated = plan.groupBy(*names).count().where("count > 1").select(*(F.col(name).alias(other) for name, other in zip(names, again_names)))
+    repeated = materialize(repeated, "repeated_plans")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if repeated.limit(1).count() == 0:
+        stream = docs.join(plan, same(own, planned)).select(*columns, due)
+    else:
+        stream = docs.join(plan.join(repeated, same(planned, again), "left_anti"), same(own, planned)).select(*columns, due)
+        rank = lambda parts: F.row_number().over(Window.partitionBy(*parts).orderBy(parts[0]))
+        several = plan.join(repeated, same(planned, again), "left_semi").withColumn(number, rank(planned))
+        theirs = docs.join(repeated, same(own, again), "left_semi").withColumn(theirs_number, rank(own))
+        stream = stream.unionByName(theirs.join(several, same(own, planned) & (F.col(theirs_number) == F.col(number))).select(*columns, due))
+    stream = stream.withColumn(due, F.explode(due))
+    ordered = stream.repartitionByRange(shuffle_partitions(docs.sparkSession), due, id_col).sortWithinPartitions(due, id_col)
+    return ordered.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +180,7 @@ def oracle() -> str:
     took = lambda k: f"greatest(least(cast(floor(target + 0.5::double) as bigint) - (start + {k - 1} * source_size), size), 0)::bigint AS pass_{k}"
     return f"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size FROM documents),
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size FROM documents),
 names AS (SELECT source, sum(size)::bigint AS source_size FROM docs GROUP BY source),
 weighed AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class,
@@ -165,7 +193,7 @@ levels AS (
 targets AS (
   SELECT source, source_size, class, least(cap, w * (SELECT max(level) FROM levels WHERE level <= full_at)) AS target FROM levels),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::varchar), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM docs),
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(md5(doc_id::varchar), 'g' || md5(coalesce(text, ''))), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM docs),
 passes AS (
   SELECT doc_id, size, source_size, target, class, start, {took(1)}, {took(2)}
   FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source)

@@ -76,3 +76,25 @@ def test_training_stream_is_sorted_and_keeps_columns(spark, sf, odd_docs, no_doc
         at = due
     assert C.training_stream(odd_docs).columns == odd_docs.columns
     assert C.training_stream(no_docs).count() == 0 == C.mix(no_docs).count()
+
+
+def test_each_row_of_a_repeated_id_has_its_own_plan(spark, clashing_docs):
+    texts = ["a b c d e f", "g h i j k l m n", "o p q", "o p q"]
+    rows = [(1, texts[0], "s1"), (1, texts[1], "s2"), (1, texts[2], "s1"), (1, texts[3], "s1"), (None, texts[0], "s1"), (2, " ".join("x" * 9), "s3"), (3, "one two", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = C._plan(docs).collect()
+    want = sum(2 * p >= r.size > 0 for r in plan for p in (r.pass_1, r.pass_2) if p)
+    got = C.training_stream(docs).collect()
+    assert len(got) == want and {tuple(r) for r in got} <= set(rows)
+    for k, (i, text, source) in enumerate(rows):
+        if k in (0, 1, 4, 5, 6):
+            own = [r for r in plan if r.doc_id == i and r.size == len(text.split()) and r.source == (source or "")]
+            times = sum(2 * p >= r.size > 0 for r in own[:1] for p in (r.pass_1, r.pass_2) if p)
+            assert len(own) == 1 and sum(tuple(r) == (i, text, source) for r in got) == times
+    assert C.training_stream(clashing_docs).columns == clashing_docs.columns
+
+
+def test_result_is_sorted_by_position(spark, sf):
+    at = [r.position_1 for r in C.mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    known = [x for x in at if x is not None]
+    assert known == sorted(known) and at[: len(known)] == known
