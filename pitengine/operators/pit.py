@@ -2,15 +2,28 @@
 
 Dates are compared by day, so history is first summed per key and publication day; running totals over these
 days answer all additive questions (count, sum, last). A key's window then holds days and not
-rows, however many rows a key has. Only exact medians join a target's day with the rows before it.
+rows, however many rows a key has.
+
+Order statistics are answered in one pass over a key's rows in order of publication (``as_of_fold``), whose state is kept
+between questions; no target meets the rows before it. A key with more than ``HOT_ROWS`` rows is cut by value into bins of
+about that many: running counts per bin find the bin and the rank in it that a question asks for, and each bin is a pass of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Callable, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from pitengine.session import materialize
+
+#: Rows of a key that one pass takes in.
+HOT_ROWS = 1 << 16
 
 
 def prior_totals(targets: DataFrame, history: DataFrame, keys: Sequence[str], start: str = "start_date", published: str = "pub_date", value: str = "value", order: Sequence[str] = ("start_date", "id")) -> DataFrame:
@@ -29,17 +42,79 @@ def prior_totals(targets: DataFrame, history: DataFrame, keys: Sequence[str], st
     return joined.withColumn("prior_count", F.coalesce("prior_count", F.lit(0).cast("long"))).withColumn("prior_last", F.col("_last._v")).withColumn("prior_last_start", F.col(f"_last.{order[0]}")).drop("_day", "_asked", "_last")
 
 
-def prior_rows(targets: DataFrame, history: DataFrame, keys: Sequence[str], columns: Sequence[str | Column], start: str = "start_date", published: str = "pub_date") -> DataFrame:
-    """Each distinct (keys, start) of targets with the columns of all rows published before it."""
-    days = targets.select(*keys, F.col(start).alias("_start")).where(F.col("_start").isNotNull()).distinct()
-    past = history.where(F.col(published).isNotNull()).select(*keys, F.col(published).alias("_pub"), *columns)
-    return days.join(past, list(keys)).where(F.col("_pub") < F.col("_start")).drop("_pub")
+def as_of_fold(asked: DataFrame, history: DataFrame, keys: Sequence[str], columns: Sequence[str], fold: Callable[[], Any], answer: str, extra: Sequence[str] = ()) -> DataFrame:
+    """The rows of asked (keys, _start, extra) with what a fold over the rows published before says.
+
+    history: keys, _pub and columns. A fold has add(*columns) and answer(*extra), a tuple of the types in ``answer`` or None
+    for no row. A key's rows come to one task, sorted; only the fold's state is held.
+    """
+    schema = asked.select(*keys, "_start", *extra).schema
+    rows = history.where(F.col("_pub").isNotNull()).select(*keys, F.col("_pub").alias("_start"), F.lit(False).alias("_ask"), *columns)
+    asks = asked.where(F.col("_start").isNotNull()).select(*keys, "_start", F.lit(True).alias("_ask"), *extra)
+    both = rows.unionByName(asks, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "_start", F.desc("_ask"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            values = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            names = list(zip(*(values[k] for k in keys)))
+            items, given = list(zip(*(values[c] for c in columns))), list(zip(*(values[c] for c in extra))) if extra else [()] * batch.num_rows
+            out = []
+            for k, at, ask, item, more in zip(names, values["_start"], values["_ask"], items, given):
+                if k != key:
+                    key, state = k, fold()
+                if not ask:
+                    state.add(*item)
+                elif (found := state.answer(*more)) is not None:
+                    out.append((*k, at, *more, *found))
+            columns_out = list(zip(*out)) if out else [[] for _ in range(len(arrow))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns_out, arrow)], schema=arrow)
+
+    arrow = to_arrow_schema(asked.sparkSession.createDataFrame([], f"{fields}, {answer}").schema)
+    return both.mapInArrow(run, f"{fields}, {answer}")
+
+
+class Ordered:
+    """Values seen so far, in order."""
+
+    def __init__(self):
+        self.values: list[float] = []
+
+    def add(self, value: float) -> None:
+        insort(self.values, value)
+
+
+class Median(Ordered):
+    def answer(self):
+        n = len(self.values)
+        return ((self.values[(n - 1) // 2] + self.values[n // 2]) / 2,) if n else None
+
+
+class Ranked(Ordered):
+    def answer(self, rank: int):
+        return (self.values[rank],)
 
 
-def prior_median(targets: DataFrame, history: DataFrame, keys: Sequence[str], value: str, name: str, **clocks: str) -> DataFrame:
+def prior_median(targets: DataFrame, history: DataFrame, keys: Sequence[str], value: str, name: str, start: str = "start_date", published: str = "pub_date", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, _start, name): exact medians of prior values, one row per distinct key and start day that has any."""
-    rows = prior_rows(targets, history.where(F.col(value).isNotNull()), keys, [value], **clocks)
-    return rows.groupBy(*keys, "_start").agg(F.percentile(value, 0.5).alias(name))
+    asked = targets.select(*keys, F.col(start).alias("_start")).dropna().distinct()
+    past = history.select(*keys, F.col(published).alias("_pub"), F.col(value).cast("double").alias("_value")).dropna()
+    hot = past.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_value", [k / 64 for k in range(1, 64)], 10_000).alias("_cuts")).where(F.col("_n") > hot_rows)
+    hot = materialize(hot, "hot_keys")
+    if hot.limit(1).count() == 0:
+        return as_of_fold(asked, past, keys, ["_value"], Median, f"`{name}` double")
+    small = as_of_fold(asked.join(hot, list(keys), "left_anti"), past.join(hot, list(keys), "left_anti"), keys, ["_value"], Median, f"`{name}` double")
+    # cuts only deal rows over bins; what they are does not show in the result
+    binned = past.join(hot.select(*keys, "_cuts"), list(keys)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_value")))).drop("_cuts")
+    each = asked.join(hot.select(*keys), list(keys)).withColumn("_bin", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    counted = prior_totals(each.withColumnRenamed("_start", "start_date"), binned.select(*keys, "_bin", F.col("_pub").alias("pub_date"), F.col("_pub").alias("start_date"), F.lit(0).alias("id"), F.lit(1.0).alias("value")), [*keys, "_bin"])
+    counts = F.transform(F.array_sort(F.collect_list(F.struct("_bin", "prior_count"))), lambda x: x["prior_count"])
+    per = counted.groupBy(*keys, F.col("start_date").alias("_start")).agg(counts.alias("_counts"), F.sum("prior_count").alias("_n")).where("_n > 0")
+    wanted = per.withColumn("_place", F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))).withColumn("_below", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.aggregate(F.slice("_counts", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x)))
+    found = wanted.withColumn("_bin", F.size(F.filter("_below", lambda b: b <= F.col("_place"))) - 1).withColumn("_rank", (F.col("_place") - F.element_at("_below", F.col("_bin") + 1)).cast("long"))
+    ranked = as_of_fold(found.select(*keys, "_bin", "_start", "_rank"), binned, [*keys, "_bin"], ["_value"], Ranked, "_found double", extra=["_rank"])
+    return small.unionByName(ranked.groupBy(*keys, "_start").agg(F.avg("_found").alias(name)))
 
 
 def fallback_medians(targets: DataFrame, history: DataFrame, levels: Sequence[Sequence[str]], value: str, default: float | None = None) -> DataFrame:

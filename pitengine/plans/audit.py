@@ -141,13 +141,13 @@ STABLE_SAMPLE = "SELECT doc_id, lang, sha256(doc_id::varchar) AS digest FROM doc
 
 
 def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
-    """90 % interval of the difference of two errors over 50 draws of entities; an entity drawn twice counts once.
+    """90 % interval of the difference of two errors over 200 draws of entities; an entity drawn twice counts once.
 
     A draw keeps about 63 % of the entities, decided by a digest, so a draw is a filter and not a sample on the driver.
     """
     eng = engagements(spark, d).where("headcount IS NOT NULL AND gross IS NOT NULL")
     per = eng.groupBy("entity").agg(F.sum(F.abs(F.col("headcount") - 100)).alias("a"), F.sum(F.abs(F.col("gross") / 1500 - 100)).alias("b"), F.count("*").alias("n"))
-    draws = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    draws = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(199))))
     digit = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("draw").cast("string"), F.col("entity").cast("string")), 256), 1, 4), 16, 10).cast("int")
     deltas = draws.where(digit < int(0.632 * 65536)).groupBy("draw").agg(((F.sum("a") - F.sum("b")) / F.sum("n")).alias("delta"))
     return deltas.agg(F.count("*").alias("draws"), F.round(F.avg("delta"), 4).alias("mean"), F.round(F.percentile("delta", 0.05), 4).alias("low"), F.round(F.percentile("delta", 0.95), 4).alias("high"))
@@ -155,7 +155,7 @@ def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
 
 BOOTSTRAP_DELTA = ENG + """,
 p AS (SELECT entity, sum(abs(headcount - 100)) AS a, sum(abs(gross / 1500 - 100)) AS b, count(*) AS n FROM eng WHERE headcount IS NOT NULL AND gross IS NOT NULL GROUP BY entity),
-x AS (SELECT draw, (sum(a) - sum(b)) / sum(n) AS delta FROM p, range(50) r(draw) WHERE ('0x' || sha256(draw || '|' || entity)[1:4])::int < 41418 GROUP BY draw)
+x AS (SELECT draw, (sum(a) - sum(b)) / sum(n) AS delta FROM p, range(200) r(draw) WHERE ('0x' || sha256(draw || '|' || entity)[1:4])::int < 41418 GROUP BY draw)
 SELECT count(*) AS draws, round(avg(delta), 4) AS mean, round(quantile_cont(delta, 0.05), 4) AS low, round(quantile_cont(delta, 0.95), 4) AS high FROM x
 """
 
@@ -371,10 +371,25 @@ FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY ALL
 """
 
 
+_PII_TABLES = ("customer", "supplier", "orders", "documents", "events")
+#: Headers of a partner's file beside those of the tables.
+_PII_HEADERS = ("Buyer E-Mail", "phone", "dob", "cvv", "bank", "payment_method", "order_id", "cell", "last4", "First Name", "zip", "Artist Name", "venue_name", "capacity", "customer", "customer_event_id")
+
+
 def pii_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts on the headers of the star's tables; no value is read."""
-    names = [(t, c, warehouse.classify_header(c.split("_", 1)[-1])) for t in ("customer", "supplier", "orders", "documents", "events") for c in table(spark, d, t).columns]
-    return spark.createDataFrame(names, "table string, column string, verdict string")
+    """Verdicts on the headers of the star's tables and of a partner's file; no value is read."""
+    names = [(t, c) for t in _PII_TABLES for c in table(spark, d, t).columns] + [("partner", h) for h in _PII_HEADERS]
+    headers = spark.createDataFrame(names, "table string, header string")  # one row per column
+    return headers.select("table", "header", warehouse.header_verdict(F.col("header")).alias("verdict"))
+
+
+_PII_COLUMNS = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "documents": "doc_id text lang source n_chars", "events": "event_id ts user_id event_type value props"}
+_one_of = lambda patterns: " OR ".join(f"regexp_matches(h, '{p}')" for p in patterns)
+PII_COLUMNS = (
+    "WITH n AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in [*((t, cs.split()) for t, cs in _PII_COLUMNS.items()), ("partner", _PII_HEADERS)] for c in cs) + ") v(\"table\", header)), "
+    "h AS (SELECT *, regexp_replace(regexp_replace(lower(header), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS h FROM n) "
+    f"SELECT \"table\", header, CASE WHEN h IN {warehouse.PII_EXEMPT} THEN 'SAFE' WHEN {_one_of(warehouse.PII_PROHIBITED)} THEN 'PROHIBITED' WHEN {_one_of(warehouse.PII_POTENTIAL)} THEN 'POTENTIAL_PII' ELSE 'SAFE' END AS verdict FROM h"
+)
 
 
 def feature_admission(spark: SparkSession, d: str) -> DataFrame:
@@ -390,14 +405,27 @@ FEATURE_ADMISSION = ENG + ", s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feat
 
 
 def retrospective_inputs(spark: SparkSession, d: str) -> DataFrame:
-    """Feature claims that a study with a cutoff may see: known by then, outcome types hidden; and that none hidden is seen."""
-    eng = engagements(spark, d)
-    claims = eng.select("id", "pub_date", F.col("headcount").cast("double").alias("headcount"), F.col("gross").alias("gross"), F.col("shows").cast("double").alias("shows")).unpivot(["id", "pub_date"], ["headcount", "gross", "shows"], "claim", "value")
-    visible = (F.col("pub_date") <= F.lit("1998-01-01").cast("date")) & ~F.col("claim").isin("gross") & F.col("value").isNotNull()
-    return claims.groupBy("claim").agg(F.count("*").alias("claims"), F.count_if(visible).alias("visible"), F.count_if(visible & (F.col("claim") == "gross")).alias("leaks"))
+    """Feature claims that a study with a cutoff may see, and leaks: visible claims that the sealed outcomes hold.
 
-
-RETROSPECTIVE_INPUTS = ENG + ", c AS (SELECT id, pub_date, unnest([{'c': 'headcount', 'v': headcount::double}, {'c': 'gross', 'v': gross}, {'c': 'shows', 'v': shows::double}]) AS s FROM eng), v AS (SELECT s.c AS claim, s.v AS value, pub_date <= '1998-01-01' AND s.c <> 'gross' AND s.v IS NOT NULL AS visible FROM c) SELECT claim, count(*) AS claims, count(*) FILTER (visible) AS visible, count(*) FILTER (visible AND claim = 'gross') AS leaks FROM v GROUP BY claim"
+    The sealed outcomes are derived on their own, from the engagements that a study of the year after the cutoff predicts.
+    """
+    eng = engagements(spark, d)
+    long = lambda e: e.select("id", "pub_date", F.col("headcount").cast("double").alias("headcount"), F.col("gross").alias("gross"), F.col("shows").cast("double").alias("shows")).unpivot(["id", "pub_date"], ["headcount", "gross", "shows"], "claim", "value")
+    visible = long(eng).where((F.col("pub_date") <= F.lit("1998-01-01").cast("date")) & (F.col("claim") != "gross") & F.col("value").isNotNull())
+    sealed = long(eng.where("start_date >= '1998-01-01' OR (start_date >= '1997-11-01' AND pub_date <= '1998-01-01' AND priority = '5-LOW')")).where("claim <> 'shows'").select("id", "claim")
+    leaks = visible.join(sealed, ["id", "claim"], "left_semi").groupBy("claim").agg(F.count("*").alias("leaks"))
+    seen = visible.groupBy("claim").agg(F.count("*").alias("visible"))
+    zero = F.lit(0).cast("long")
+    out = long(eng).groupBy("claim").agg(F.count("*").alias("claims")).join(seen, "claim", "left").join(leaks, "claim", "left")
+    return out.select("claim", "claims", F.coalesce("visible", zero).alias("visible"), F.coalesce("leaks", zero).alias("leaks"))
+
+
+RETROSPECTIVE_INPUTS = ENG + """,
+c AS (SELECT id, pub_date, start_date, priority, unnest([{'c': 'headcount', 'v': headcount::double}, {'c': 'gross', 'v': gross}, {'c': 'shows', 'v': shows::double}]) AS s FROM eng),
+v AS (SELECT s.c AS claim, coalesce(pub_date <= '1998-01-01' AND s.c <> 'gross' AND s.v IS NOT NULL, false) AS visible,
+        coalesce(s.c <> 'shows' AND (start_date >= '1998-01-01' OR (start_date >= '1997-11-01' AND pub_date <= '1998-01-01' AND priority = '5-LOW')), false) AS sealed FROM c)
+SELECT claim, count(*) AS claims, count(*) FILTER (visible) AS visible, count(*) FILTER (visible AND sealed) AS leaks FROM v GROUP BY claim
+"""
 
 
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +59,10 @@ FROM eng GROUP BY 1
 
 
 def hierarchical_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """The prior median of the most specific level that has one: entity at place, entity, place, market."""
+    """The prior median of the most specific level that has one: entity at place, entity, place, market, and the median of all after them."""
     eng = engagements(spark, d)
     targets = eng.select("id", "entity", "place", "market", "start_date")
-    out = pit.fallback_medians(targets, eng, [["entity", "place"], ["entity"], ["place"], ["market"]], "headcount")
+    out = pit.fallback_medians(targets, eng, [["entity", "place"], ["entity"], ["place"], ["market"]], "headcount", eng.agg(F.percentile("headcount", 0.5)).first()[0])
     return out.select("id", "level", F.round("estimate", 4).alias("estimate"))
 
 
@@ -70,7 +72,7 @@ lv AS (
          (SELECT median(headcount) FROM eng h WHERE h.entity = t.entity AND h.pub_date < t.start_date) AS b,
          (SELECT median(headcount) FROM eng h WHERE h.place = t.place AND h.pub_date < t.start_date) AS c,
          (SELECT median(headcount) FROM eng h WHERE h.market = t.market AND h.pub_date < t.start_date) AS d FROM eng t)
-SELECT id, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 WHEN d IS NOT NULL THEN 3 ELSE 4 END::int AS level, round(coalesce(a, b, c, d), 4) AS estimate FROM lv
+SELECT id, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 WHEN d IS NOT NULL THEN 3 ELSE 4 END::int AS level, round(coalesce(a, b, c, d, (SELECT median(headcount) FROM eng)), 4) AS estimate FROM lv
 """
 
 
@@ -93,18 +95,37 @@ SELECT id, n, round(mean, 4) AS market_mean, round((coalesce(s, 0) + {POOL_STREN
 """
 
 
+class _Recent:
+    """The last results by start: how many there are in all, and the LAST of them; older ones weigh under 2 ** -60 in the average."""
+
+    LAST = 64
+
+    def __init__(self):
+        self.n, self.rows = 0, []
+
+    def add(self, at, prior, value) -> None:
+        self.n += 1
+        insort(self.rows, (at, prior, value))
+        del self.rows[: -self.LAST]
+
+    def answer(self):
+        if not self.n:
+            return None
+        values = [v for _, _, v in self.rows]
+        last3, mean = sorted(values[-3:]), values[0]
+        for v in values[1:]:
+            mean = 0.5 * v + 0.5 * mean
+        return self.n, values[-1], (last3[(len(last3) - 1) // 2] + last3[len(last3) // 2]) / 2, mean
+
+
 def recency_features(spark: SparkSession, d: str) -> DataFrame:
     """Of prior results in order of start: the last, the median of the last three, and an exponential average."""
     eng = engagements(spark, d)
     targets = eng.select("id", "entity", "start_date")
-    past = pit.prior_rows(targets, eng.where(F.col("headcount").isNotNull()), ["entity"], [F.col("start_date").alias("at"), F.col("id").alias("prior_id"), "headcount"])
-    values = F.transform(F.array_sort(F.collect_list(F.struct("at", "prior_id", "headcount"))), lambda x: x["headcount"])
-    series = past.groupBy("entity", "_start").agg(values.alias("v"))
-    last3 = F.slice("v", F.greatest(F.size("v") - 2, F.lit(1)), F.lit(3))
-    ordered = F.array_sort(last3)
-    median = (F.element_at(ordered, F.floor((F.size(ordered) + 1) / 2).cast("int")) + F.element_at(ordered, F.floor((F.size(ordered) + 2) / 2).cast("int"))) / 2
-    ewma = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda acc, x: 0.5 * x + 0.5 * acc)
-    features = series.select("entity", F.col("_start").alias("start_date"), F.size("v").cast("long").alias("prior_count"), F.element_at("v", -1).alias("last"), F.round(median, 4).alias("last3_median"), F.round(ewma, 4).alias("ewma"))
+    asked = targets.select("entity", F.col("start_date").alias("_start")).dropna().distinct()
+    past = eng.where("headcount IS NOT NULL AND entity IS NOT NULL").select("entity", F.col("pub_date").alias("_pub"), F.col("start_date").alias("at"), F.col("id").alias("prior_id"), F.col("headcount").cast("double").alias("headcount"))
+    series = pit.as_of_fold(asked, past, ["entity"], ["at", "prior_id", "headcount"], _Recent, "prior_count long, last double, last3_median double, ewma double")
+    features = series.select("entity", F.col("_start").alias("start_date"), "prior_count", "last", F.round("last3_median", 4).alias("last3_median"), F.round("ewma", 4).alias("ewma"))
     return targets.join(features, ["entity", "start_date"], "left").select("id", F.coalesce("prior_count", F.lit(0).cast("long")).alias("prior_count"), "last", "last3_median", "ewma")
 
 

@@ -38,7 +38,7 @@ SNAPSHOT_DELTAS = SNAP + "SELECT key, seq, round(price - lag(price) OVER w, 6) A
 
 
 def _observed(price):
-    """A price of zero on a free kind of event was not observed."""
+    """The price of a view was not observed: nothing is paid for it."""
     return F.when(F.col("status") != "view", price)
 
 
@@ -90,12 +90,13 @@ SELECT sha256('STATUS_CHANGED|' || key || '|' || status)[1:32] AS alert_key, 'ST
 
 
 def new_in_latest_run(spark: SparkSession, d: str) -> DataFrame:
-    """Keys whose first day in the ledger is its last day."""
-    return C.new_in_latest(snapshots(spark, d).withColumn("batch", F.to_date("seen_at")), "batch", "key")
+    """Keys that the second of two days brought: those of the first two days of the ledger."""
+    rows = snapshots(spark, d).where("seen_at < '2024-01-03'").withColumn("batch", F.to_date("seen_at"))
+    return C.new_in_latest(rows, "batch", "key")
 
 
 NEW_IN_LATEST_RUN = SNAP + """,
-b AS (SELECT key, min(seen_at::date) AS first_batch FROM snap GROUP BY key), l AS (SELECT max(seen_at::date) AS latest, min(seen_at::date) AS earliest FROM snap)
+two AS (SELECT * FROM snap WHERE seen_at < '2024-01-03'), b AS (SELECT key, min(seen_at::date) AS first_batch FROM two GROUP BY key), l AS (SELECT max(seen_at::date) AS latest, min(seen_at::date) AS earliest FROM two)
 SELECT key, first_batch FROM b, l WHERE first_batch = latest AND latest > earliest
 """
 
@@ -187,12 +188,12 @@ SCD_SUPERSEDE = SNAP + "SELECT key, seq, epoch_us(lead(seen_at) OVER w) AS valid
 
 
 def claim_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Wide rows as long typed claims, with how many are missing."""
+    """Wide rows as long typed claims, with how many are missing. Values are summed as decimals, so that no order of addition shows."""
     claims = table(spark, d, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "claim", "value")
-    return claims.groupBy("claim").agg(F.count("*").alias("claims"), F.count("value").alias("known"), F.count_distinct("l_orderkey").alias("subjects"), F.round(F.avg("value"), 6).alias("mean"))
+    return claims.groupBy("claim").agg(F.count("*").alias("claims"), F.count("value").alias("known"), F.count_distinct("l_orderkey").alias("subjects"), F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value"), 6).alias("mean"))
 
 
-CLAIM_LEDGER = "SELECT claim, count(*) AS claims, count(value) AS known, count(DISTINCT l_orderkey) AS subjects, round(avg(value), 6) AS mean FROM lineitem UNPIVOT INCLUDE NULLS (value FOR claim IN (l_quantity, l_extendedprice, l_discount, l_tax)) GROUP BY claim"
+CLAIM_LEDGER = "SELECT claim, count(*) AS claims, count(value) AS known, count(DISTINCT l_orderkey) AS subjects, round(sum(value::decimal(18,4))::double / count(value), 6) AS mean FROM lineitem UNPIVOT INCLUDE NULLS (value FOR claim IN (l_quantity, l_extendedprice, l_discount, l_tax)) GROUP BY claim"
 
 
 def competition_windows(spark: SparkSession, d: str) -> DataFrame:

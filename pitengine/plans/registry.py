@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pitengine.plans import audit, history, ledger, streams
+from pitengine.plans import audit, history, lab, ledger, reports, streams, terminal, values, writes
 
-FAMILIES = (history, ledger, audit, streams)
+FAMILIES = (history, ledger, audit, reports, terminal, values, writes, lab, streams)
 QUERIES = {name: run for family in FAMILIES for name, (run, _) in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,19 +56,31 @@ def read_any(spark: SparkSession, path: str, kind: str, schema: str | None = Non
 
 
 ALIASES = {"final sold": "tickets_sold", "gross": "ticket_gross_total", "venue name": "venue"}
-#: Ordered patterns of headers; the first that fits decides, exempt ones first. Values are never read.
-PII_EXEMPT = (r"^(event|venue|artist|promoter|tour|place|market)[ _]?(name|id|key)$",)
-PII_PROHIBITED = (r"e-?mail", r"phone|mobile", r"ssn|passport", r"card[ _]?(number|no)", r"birth")
-PII_POTENTIAL = (r"(first|last|full|buyer|customer)[ _]?name", r"address|street|zip|postal", r"customer[ _]?id", r"\bip\b")
+#: Patterns of normal headers, exempt names first, then what is never taken, then what needs a look. Values are never read.
+PII_EXEMPT = ("artist_name", "venue_name", "event_name", "configuration_name", "customer_event_id", "venue_external_id", "artist_external_id")
+PII_PROHIBITED = (
+    "email", "e_mail", "mail_address", "phone", "mobile", "cell", "credit_card", "card_number", "cc_num", "cvv", "cvc", "security_code", "expiry", "expiration",
+    "ssn", "social_security", "date_of_birth", "dob", "transaction_id", "order_id", "payment_method", "last4", "bank", "billing_address", "shipping_address",
+)
+PII_POTENTIAL = ("first_name", "last_name", "full_name", "buyer", "customer", "street", "address", "zip", "postal", "^name$")
 
 
-def classify_header(header: str) -> str:
+def normal_header(header: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(header), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def header_verdict(header: Column) -> Column:
     """SAFE, POTENTIAL_PII or PROHIBITED."""
-    name = header.strip().lower()
-    for verdict, patterns in (("SAFE", PII_EXEMPT), ("PROHIBITED", PII_PROHIBITED), ("POTENTIAL_PII", PII_POTENTIAL)):
-        if any(re.search(p, name) for p in patterns):
-            return verdict
-    return "SAFE"
+    h = normal_header(header)
+    return F.when(h.isin(*PII_EXEMPT), "SAFE").when(h.rlike("|".join(PII_PROHIBITED)), "PROHIBITED").when(h.rlike("|".join(PII_POTENTIAL)), "POTENTIAL_PII").otherwise("SAFE")
+
+
+def classify_header(header: str) -> str:
+    """The same for one name, on the driver."""
+    h = re.sub("[^a-z0-9]+", "_", header.lower()).strip("_")
+    if h in PII_EXEMPT:
+        return "SAFE"
+    return next((verdict for verdict, patterns in (("PROHIBITED", PII_PROHIBITED), ("POTENTIAL_PII", PII_POTENTIAL)) if any(re.search(p, h) for p in patterns)), "SAFE")
 
 
 def import_partner(raw: DataFrame, canonical: Mapping[str, str]) -> DataFrame:
@@ -84,19 +97,56 @@ def import_partner(raw: DataFrame, canonical: Mapping[str, str]) -> DataFrame:
     return raw.select(*(pick(f, kind).alias(f) for f, kind in canonical.items()))
 
 
-def publish(df: DataFrame, folder: str, version: str, keep: int = 3) -> DataFrame:
-    """Writes df as a new immutable version and returns it as read back; readers choose the largest complete one."""
-    path = f"{folder}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _fs(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((folder, *parts)))
+    return path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete versions from the oldest: numbers in their order, then other names. Spark's _SUCCESS marker is written last."""
+    fs, path = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path())] if fs.exists(path()) else []
+    found = [n.removeprefix("version=") for n in names if n.startswith("version=") and fs.exists(path(n, "_SUCCESS"))]
+    return sorted(found, key=lambda v: (0, int(v), v) if v.isdigit() else (1, 0, v))
+
+
+def publish(df: DataFrame, folder: str, version: str, keep: int = 3, drop: Sequence[str] = ()) -> DataFrame:
+    """Writes df without the columns of drop as a new immutable version, verifies it, points CURRENT to it and removes all but keep versions.
+
+    Rows and schema are read back before the pointer moves, by a rename; a version that fails is removed and readers keep the one before.
+    """
+    spark, out = df.sparkSession, df.drop(*drop)
+    fs, path = _fs(spark, folder)
+    target = f"{folder}/version={version}"
+    counter = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    out.observe(counter, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(target)
+    back = spark.read.parquet(target)
+    if back.count() != counter.get["n"] or back.columns != out.columns:
+        fs.delete(path(f"version={version}"), True)
+        raise ValueError(f"version {version} is not what was written")
+    stream = fs.create(path("CURRENT.new"), True)
+    stream.write(version.encode())
+    stream.close()
+    fs.delete(path("CURRENT"), False)
+    fs.rename(path("CURRENT.new"), path("CURRENT"))
+    for old in [v for v in versions(spark, folder) if v != version][: -(keep - 1) or None]:
+        fs.delete(path(f"version={old}"), True)
+    return back
 
 
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest complete version: Spark's _SUCCESS marker is written last."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    """The version that CURRENT names; the newest complete one where a writer was lost between the two renames."""
+    fs, path = _fs(spark, folder)
+    found = versions(spark, folder)
     if not found:
         raise FileNotFoundError(f"no complete version in {folder}")
-    return spark.read.parquet(max(str(p.toString()) for p in found))
+    name = next((r.value for r in spark.read.text(f"{folder}/CURRENT").collect()), "") if fs.exists(path("CURRENT")) else ""
+    return spark.read.parquet(f"{folder}/version={name if name in found else found[-1]}")
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """A row per column: name, type, whether it may be NULL, rows and known values."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *(F.count(F.col(f"`{c}`")).alias(f"_{k}") for k, c in enumerate(df.columns)))
+    entries = F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"), F.col("_rows").alias("rows"), F.col(f"_{k}").alias("known")) for k, f in enumerate(df.schema.fields)))
+    return counts.select(F.explode(entries).alias("c")).select("c.*")

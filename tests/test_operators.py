@@ -166,3 +166,24 @@ def test_streams_equal_batch_over_several_batches(spark, tmp_path):
         last[key] = status
     assert sorted(map(tuple, got)) == sorted(want)
     assert streams.run_to_table(streams.first_of_each(events)).count() == len({(r[2], r[3], r[4] // 10) for r in rows})
+
+
+def test_prior_medians_of_hot_keys(spark):
+    """Keys over the limit are cut into bins by value; the medians are those of a plain sort."""
+    import random
+    import statistics
+    from datetime import date, timedelta
+
+    from pitengine.operators import pit
+
+    rng, day = random.Random(4), date(2020, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, None]), day + timedelta(rng.randrange(60)), rng.choice([day + timedelta(rng.randrange(90)), None]), rng.choice([float(rng.randrange(9)), rng.random() * 50, None])) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "k int, start_date date, pub_date date, v double")
+    want = {}
+    for k, start, _, _ in rows:
+        past = [v for k2, _, pub, v in rows if k2 == k and k is not None and pub and pub < start and v is not None]
+        if past:
+            want[k, start] = statistics.median(past)
+    for limit in (1 << 16, 700, 100):
+        got = {(r.k, r["_start"]): r.m for r in pit.prior_median(df, df, ["k"], "v", "m", hot_rows=limit).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
