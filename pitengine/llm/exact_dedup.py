@@ -38,6 +38,8 @@ SLOTS, MAX_KICKS = 4, 200
 COMBINE_KEYS = 200_000
 #: Digests per task of the merging round, which bounds its memory (about 100 bytes a digest).
 MERGE_KEYS = 500_000
+#: Digests with copies that may be broadcast (about 50 bytes each); with more of them texts meet them by a shuffle.
+BROADCAST_KEYS = 200_000
 NO_ID = np.iinfo(np.int64).min
 ENTRY = "digest binary, n_bytes long, group_size long, keep_id long, keep_row long"
 
@@ -279,7 +281,14 @@ def _verdict(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
     groups = materialize(build_index(rows).where("group_size > 1"), "groups")
     text = F.coalesce(F.col(text_col), F.lit(""))
     content = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    buckets = content.join(groups.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi").groupBy("digest", "n_bytes").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    keys = groups.select("digest", "n_bytes")
+    if groups.count() <= BROADCAST_KEYS:  # texts stay where they are until each task has the least and greatest of its own
+        members = content.join(F.broadcast(keys), ["digest", "n_bytes"], "left_semi")
+    else:  # texts of one digest are dealt over salts first
+        members = content.join(keys, ["digest", "n_bytes"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+        members = members.repartition(shuffle_partitions(docs.sparkSession), "digest", "salt").groupBy("digest", "n_bytes", "salt").agg(F.min("text").alias("text"), F.max("text").alias("most"))
+        members = members.select("digest", "n_bytes", F.explode(F.array("text", "most")).alias("text"))
+    buckets = members.groupBy("digest", "n_bytes").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
     mixed = materialize(buckets.where("least <> greatest").select("digest", "n_bytes"), "mixed_digests")
     joined = rows.join(groups, ["digest", "n_bytes"], "left")
     out = joined.select(

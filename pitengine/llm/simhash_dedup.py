@@ -24,8 +24,8 @@ A node is the fingerprint itself; the smallest id names a component once it is f
 ``LEAST_SHARED`` up. There two fingerprints may differ in a sixth of their bits, beyond any ball that can be
 enumerated whole, so its fingerprints are ``WORDS`` * 64 bits of the set, in ``WORDS`` * 4 segments, and a segment's
 ball is enumerated over its two least certain bits (four probes). Candidates are verified on the shingle sets; of a
-dense group a task hands on ``FORESTS`` successive spanning forests, nearest pairs first, so a pair that is left out
-has that many separate paths of nearer pairs.
+dense group a task hands on ``FORESTS`` successive spanning forests, nearest pairs first (in steps of ``NEAR_STEP`` bits), so a pair
+that is left out has that many separate paths of pairs that are as near.
 
 Defined cases: null and white-space texts have fingerprint zero and link like any other. A very long text is hashed whole, block by
 block. A component without an id has no name. Rows that repeat an id are members of their own, and are dropped by id and
@@ -52,6 +52,8 @@ SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 WIDE_SEGMENTS, WIDE_FROM = ((0, 32, 2), (32, 32, 1)), 1 << 25
 #: Of drop_near_copies: words of a fingerprint, most bits that candidates differ in (in the first word, in all), forests handed on.
 WORDS, FIRST_DISTANCE, WIDE_DISTANCE, FORESTS = 6, 18, 90, 4
+#: Distances in one step count as equally near where forests are chosen.
+NEAR_STEP = 6
 #: Least Jaccard similarity of shingle sets, as a fraction.
 LEAST_SHARED = (4, 5)
 #: Stored fingerprints under one table value that a task compares at a time.
@@ -134,7 +136,8 @@ def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, n
     nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
     low, high = np.minimum(both[: len(a)], both[len(a) :]), np.maximum(both[: len(a)], both[len(a) :])
     _, once = np.unique(low * len(nodes) + high, return_index=True)
-    once = once[np.argsort(d[once], kind="stable")]
+    # by steps of distance, then by the smaller node: forests of the same group from different tasks then share most of their pairs
+    once = once[np.argsort(d[once] // NEAR_STEP, kind="stable")]
     low, high, d = low[once], high[once], d[once]
     if len(low) > FORESTS * len(nodes):
         chosen = np.zeros(len(low), bool)

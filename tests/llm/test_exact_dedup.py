@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pitengine.llm import exact_dedup as X
@@ -63,8 +64,10 @@ def test_changes_keep_live_digests(spark):
     assert {names[bytes(r.digest)]: r.group_size for r in live.collect()} == {"a": 1, "b": 2, "d": 1}
 
 
-def test_digests_that_meet_are_told_apart_by_content(odd_docs):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_digests_that_meet_are_told_apart_by_content(odd_docs, monkeypatch, limit):
     """With a digest of one digit almost all texts of a length meet, and the content decides."""
+    monkeypatch.setattr(X, "BROADCAST_KEYS", limit)
     weak = lambda t: F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(t.cast("binary"), 256), 1, 1), F.repeat(F.lit("0"), 62)))
     docs = odd_docs.sparkSession.createDataFrame([(k, "abcdefgh"[k % 8]) for k in range(90)] + [(None, "a"), (7, "a")], "doc_id long, text string")
     got = X.exact_dedup(docs, digest=weak).collect()
