@@ -1,19 +1,32 @@
-"""Comparable records: distances over what is known of both sides, strata by shared identity, and weighted valuations."""
+"""Comparable records: distances over what is known of both sides, strata by shared identity, and weighted valuations.
+
+The nearest of a whole pool are found without comparing pairs. A candidate's distance is set by what it shares with
+the target, by what it lacks, and by the month; so in each cell (rows with the same values of a set of identities and the same
+gaps) the k nearest by month, then by the later start, hold every row of the cell that can be among the k nearest at all. Per cell
+these are kept up day by day of publication (``pit.as_of_fold``), after each day and month of the pool was cut to its k latest.
+"""
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
+from functools import partial
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitengine.functions.geo_time import calendar_distance
 from pitengine.functions.stats import weighted_quantiles
+from pitengine.operators.pit import as_of_fold, prior_totals
+from pitengine.session import materialize
 
 #: Weight of each component, and what a component that is missing on either side adds to the ranking distance.
 WEIGHTS = {"entity": 3.0, "place": 2.0, "market": 1.5, "series": 1.0, "calendar": 1.0}
 MISSING_PENALTY = 0.1
-STRATA = (("entity", "place"), ("entity", "market"), ("entity",), ("place",))
+NAMES = ("entity", "place", "market", "series")
+#: From the most specific identity to the whole pool.
+STRATA = (("entity", "place"), ("entity", "market"), ("entity",), ("place",), ("market",), ())
 
 
 def component(name: str) -> Column:
@@ -34,6 +47,67 @@ def distances(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("distance", distance).withColumn("coverage", observed / total).withColumn("ranking", F.least(F.lit(1.0), F.coalesce(distance, F.lit(1.0)) + MISSING_PENALTY * missing))
 
 
+class _Latest:
+    """Per month the k latest rows (smallest minus start, then id) published so far."""
+
+    def __init__(self, k: int):
+        self.k, self.months = k, {}
+
+    def add(self, month: int, minus_start: int, row: int) -> None:
+        rows = self.months.setdefault(month, [])
+        insort(rows, (minus_start, row))
+        del rows[self.k :]
+
+    def answer(self, month: int):
+        out = []
+        for off in range(7):
+            at = sorted(x for m in {(month - 1 + off) % 12 + 1, (month - 1 - off) % 12 + 1} for x in self.months.get(m, ()))
+            out += [row for _, row in at[: self.k - len(out)]]
+        return (out,) if out else None
+
+
+def nearest_pairs(targets: DataFrame, pool: DataFrame, value: str, k: int) -> DataFrame:
+    """Pairs (as of ``candidate_pairs``) that hold, for each target, its k nearest in the pool and in each of STRATA.
+
+    Targets and pool rows need a start; pool rows a value and a day of publication before the target's start.
+    """
+    gaps = F.concat(*(F.col(n).isNull().cast("int").cast("string") for n in NAMES))
+    rows = pool.where(F.col(value).isNotNull() & F.col("pub_date").isNotNull() & F.col("start_date").isNotNull())
+    rows = materialize(rows.select("id", *NAMES, "start_date", F.col("pub_date").alias("_pub"), F.col(value).cast("double").alias("value"), gaps.alias("gaps"), F.month("start_date").alias("month"), (-F.unix_date("start_date")).alias("minus_start")), "comparable_pool")
+    asked = materialize(targets.where("start_date IS NOT NULL").select("id", *NAMES, F.col("start_date").alias("_start"), F.month("start_date").alias("month")), "comparable_targets")
+    kinds = F.lit([r.gaps for r in rows.select("gaps").distinct().collect()] or [""])  # at most 16
+    found = None
+    for size in range(len(NAMES), -1, -1):
+        for names in combinations(NAMES, size):
+            keys = [*names, "gaps"]
+            own = rows.dropna(subset=list(names)) if names else rows
+            order = F.row_number().over(Window.partitionBy(*keys, "_pub", "month").orderBy("minus_start", "id"))
+            own = own.withColumn("_n", order).where(F.col("_n") <= k + 1)
+            wanted = (asked.dropna(subset=list(names)) if names else asked).withColumn("gaps", F.explode(kinds))
+            cells = as_of_fold(wanted.select(*keys, "_start", "month").distinct(), own, keys, ["month", "minus_start", "id"], partial(_Latest, k + 1), "ids array<long>", extra=["month"])
+            one = wanted.join(cells, [*keys, "_start", "month"]).select(F.col("id").alias("t_id"), F.explode("ids").alias("c_id"))
+            found = one if found is None else found.unionByName(one)
+    pairs = found.where("t_id <> c_id").distinct()
+    t = asked.select(F.col("id").alias("t_id"), F.col("_start").alias("t_start"), *(F.col(n).alias(f"t_{n}") for n in NAMES))
+    c = rows.select(F.col("id").alias("c_id"), F.col("start_date").alias("c_start"), F.col("_pub").alias("c_pub"), F.col("value").alias("c_value"), *(F.col(n).alias(f"c_{n}") for n in NAMES))
+    return pairs.join(t, "t_id").join(c, "c_id")
+
+
+def stratum_sizes(targets: DataFrame, pool: DataFrame, value: str) -> DataFrame:
+    """t_id, stratum and n, the pool rows of each stratum that were published before the target started; none with n = 0."""
+    rows = pool.where(F.col(value).isNotNull() & F.col("start_date").isNotNull()).withColumn("_all", F.lit(1))
+    out, t = None, targets.where("start_date IS NOT NULL").withColumn("_all", F.lit(1))
+    first = dict(zip((frozenset(x) for x in STRATA), range(1, 1 + len(STRATA))))
+    for names, k in first.items():
+        keys = [n for n in NAMES if n in names] or ["_all"]
+        history = rows.select(*keys, "start_date", "pub_date", "id", F.lit(1.0).alias("value"))
+        own = rows.select("id", ((F.col("pub_date") < F.col("start_date"))).cast("long").alias("_self"))
+        one = prior_totals(t.select("id", *keys, "start_date"), history, keys).join(own, "id", "left")
+        one = one.select(F.col("id").alias("t_id"), F.lit(k).alias("stratum"), (F.col("prior_count") - F.coalesce("_self", F.lit(0))).alias("n")).where("n > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def candidate_pairs(targets: DataFrame, pool: DataFrame, value: str, keys: Sequence[str] = ("entity", "place")) -> DataFrame:
     """Targets with the pool rows that share one of the keys and were published before the target started.
 
@@ -52,29 +126,22 @@ def candidate_pairs(targets: DataFrame, pool: DataFrame, value: str, keys: Seque
     return out
 
 
-def stratum() -> Column:
-    """Number of the most specific identity that a pair shares (1 is the most specific); NULL if none."""
-    out = F.lit(None).cast("int")
-    for k, names in reversed(list(enumerate(STRATA, 1))):
-        same = F.lit(True)
-        for n in names:
-            same = same & F.coalesce(F.col(f"t_{n}") == F.col(f"c_{n}"), F.lit(False))
-        out = F.when(same, k).otherwise(out)
-    return out
-
-
 def retrieve_global(scored: DataFrame, k: int, least_coverage: float = 0.0) -> DataFrame:
     """The k nearest per target by ranking distance, ties by the later start and the smaller id."""
     place = F.row_number().over(Window.partitionBy("t_id").orderBy("ranking", F.desc("c_start"), "c_id"))
     return scored.where(F.col("coverage") >= least_coverage).withColumn("place", place).where(F.col("place") <= k)
 
 
-def retrieve_stratum(scored: DataFrame, k: int, least: int) -> DataFrame:
-    """The k nearest of the most specific stratum that has at least least pairs, else of the first that has any."""
-    rows = scored.withColumn("stratum", stratum()).where(F.col("stratum").isNotNull())
-    sizes = rows.groupBy("t_id", "stratum").agg(F.count("*").alias("n"))
+def retrieve_stratum(scored: DataFrame, sizes: DataFrame, k: int, least: int) -> DataFrame:
+    """The k nearest of the most specific stratum that has at least least rows (n of sizes), else of the first that has any."""
     chosen = sizes.groupBy("t_id").agg(F.coalesce(F.min(F.when(F.col("n") >= least, F.col("stratum"))), F.min("stratum")).alias("stratum"))
-    return retrieve_global(rows.join(chosen, ["t_id", "stratum"]), k)
+    inside = F.lit(False)
+    for s, names in enumerate(STRATA, 1):
+        same = F.col("stratum") == s
+        for n in names:
+            same = same & F.coalesce(F.col(f"t_{n}") == F.col(f"c_{n}"), F.lit(False))
+        inside = inside | same
+    return retrieve_global(scored.join(chosen, "t_id").where(inside), k)
 
 
 def valuation(nearest: DataFrame, qs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:

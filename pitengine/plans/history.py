@@ -136,9 +136,14 @@ SELECT id, coalesce(len(v), 0) AS prior_count, v[-1] AS last, round(list_aggrega
 """
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+#: Targets of the searches: every fiftieth engagement, against all.
+_TARGETS = "id % 50 = 0"
+
+
+def _nearest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     eng = engagements(spark, d)
-    return C.distances(C.candidate_pairs(eng, eng, "gross"))
+    targets = eng.where(_TARGETS)
+    return C.distances(C.nearest_pairs(targets, eng, "gross", NEAREST)), targets, eng
 
 
 _PAIRS = ENG + """,
@@ -146,7 +151,7 @@ pairs AS (
   SELECT t.id AS t_id, c.id AS c_id, t.start_date AS t_start, c.start_date AS c_start, c.gross AS c_value,
     t.entity = c.entity AS same_entity, t.place = c.place AS same_place, t.market = c.market AS same_market, t.series = c.series AS same_series,
     least(abs(month(t.start_date) - month(c.start_date)), 12 - abs(month(t.start_date) - month(c.start_date))) / 6.0::double AS cal
-  FROM eng t JOIN eng c ON (t.entity = c.entity OR t.place = c.place) AND c.pub_date < t.start_date AND t.id <> c.id AND c.gross IS NOT NULL),
+  FROM eng t JOIN eng c ON c.pub_date < t.start_date AND t.id <> c.id AND c.gross IS NOT NULL AND c.start_date IS NOT NULL WHERE t.id % 50 = 0),
 parts AS (
   SELECT *, (same_entity IS NULL)::int + (same_place IS NULL)::int + (same_market IS NULL)::int + (same_series IS NULL)::int + (cal IS NULL)::int AS missing,
     (CASE WHEN same_entity IS NULL THEN 0 ELSE 3.0 END + CASE WHEN same_place IS NULL THEN 0 ELSE 2.0 END + CASE WHEN same_market IS NULL THEN 0 ELSE 1.5 END + CASE WHEN same_series IS NULL THEN 0 ELSE 1.0 END + CASE WHEN cal IS NULL THEN 0 ELSE 1.0 END)::double AS observed,
@@ -157,15 +162,18 @@ scored AS (SELECT *, weighted / nullif(observed, 0) AS distance, observed / 8.5:
 
 
 def comparable_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of all admissible pairs, summed up per target."""
-    return _scored(spark, d).groupBy("t_id").agg(F.count("*").alias("pairs"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.round(F.max("coverage"), 6).alias("coverage"))
+    """Distances to all rows that share the target's entity or place, summed up per target."""
+    eng = engagements(spark, d)
+    scored = C.distances(C.candidate_pairs(eng.where(_TARGETS), eng.where("start_date IS NOT NULL"), "gross"))
+    return scored.groupBy("t_id").agg(F.count("*").alias("pairs"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.round(F.max("coverage"), 6).alias("coverage"))
 
 
-COMPARABLE_DISTANCE = _PAIRS + "SELECT t_id, count(*) AS pairs, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean_distance, round(max(coverage), 6) AS coverage FROM scored GROUP BY t_id"
+COMPARABLE_DISTANCE = _PAIRS + "SELECT t_id, count(*) AS pairs, round(min(distance), 6) AS nearest, round(avg(distance), 6) AS mean_distance, round(max(coverage), 6) AS coverage FROM scored WHERE same_entity OR same_place GROUP BY t_id"
 
 
 def comparable_topk_global(spark: SparkSession, d: str) -> DataFrame:
-    return C.retrieve_global(_scored(spark, d), NEAREST, 0.5).select("t_id", "c_id", F.round("ranking", 6).alias("ranking"), F.col("place").cast("long").alias("place"))
+    """The ten nearest of the whole pool published before each target."""
+    return C.retrieve_global(_nearest(spark, d)[0], NEAREST, 0.5).select("t_id", "c_id", F.round("ranking", 6).alias("ranking"), F.col("place").cast("long").alias("place"))
 
 
 COMPARABLE_TOPK_GLOBAL = _PAIRS + f"""
@@ -174,23 +182,27 @@ SELECT t_id, c_id, round(ranking, 6) AS ranking, place FROM (
 """
 
 _STRATA = _PAIRS + f""",
-strata AS (
-  SELECT *, CASE WHEN same_entity AND same_place THEN 1 WHEN same_entity AND same_market THEN 2 WHEN same_entity THEN 3 WHEN same_place THEN 4 END::int AS stratum FROM scored),
-chosen AS (SELECT t_id, coalesce(min(stratum) FILTER (n >= {LEAST_STRATUM}), min(stratum)) AS stratum FROM (SELECT t_id, stratum, count(*) AS n FROM strata WHERE stratum IS NOT NULL GROUP BY ALL) GROUP BY t_id),
+strata AS (SELECT *, unnest(list_filter([CASE WHEN same_entity AND same_place THEN 1 END, CASE WHEN same_entity AND same_market THEN 2 END, CASE WHEN same_entity THEN 3 END, CASE WHEN same_place THEN 4 END, CASE WHEN same_market THEN 5 END, 6], lambda x: x IS NOT NULL))::int AS stratum FROM scored),
+chosen AS (SELECT t_id, coalesce(min(stratum) FILTER (n >= {LEAST_STRATUM}), min(stratum)) AS stratum FROM (SELECT t_id, stratum, count(*) AS n FROM strata GROUP BY ALL) GROUP BY t_id),
 near AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.t_id ORDER BY ranking, c_start DESC, c_id) AS place FROM strata s JOIN chosen USING (t_id, stratum)) WHERE place <= {NEAREST})
 """
 
 
+def _stratum(spark: SparkSession, d: str) -> DataFrame:
+    scored, targets, eng = _nearest(spark, d)
+    return C.retrieve_stratum(scored, C.stratum_sizes(targets, eng, "gross"), NEAREST, LEAST_STRATUM)
+
+
 def comparable_stratum(spark: SparkSession, d: str) -> DataFrame:
-    near = C.retrieve_stratum(_scored(spark, d), NEAREST, LEAST_STRATUM)
-    return near.groupBy("t_id", "stratum").agg(F.count("*").alias("n"), F.round(F.avg("ranking"), 6).alias("mean_ranking"))
+    """The ten nearest of the most specific stratum with three rows, down to the market and the whole pool."""
+    return _stratum(spark, d).groupBy("t_id", "stratum").agg(F.count("*").alias("n"), F.round(F.avg("ranking"), 6).alias("mean_ranking"))
 
 
 COMPARABLE_STRATUM = _STRATA + "SELECT t_id, stratum, count(*) AS n, round(avg(ranking), 6) AS mean_ranking FROM near GROUP BY ALL"
 
 
 def comparable_valuation(spark: SparkSession, d: str) -> DataFrame:
-    out = C.valuation(C.retrieve_stratum(_scored(spark, d), NEAREST, LEAST_STRATUM))
+    out = C.valuation(_stratum(spark, d))
     return out.select("t_id", "n", "q10", "q25", "q50", "q75", "q90", "low", "high", F.round("ess", 6).alias("ess"))
 
 

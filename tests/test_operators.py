@@ -58,11 +58,44 @@ def test_strata_and_retrieval(spark):
     same = [(k, "A", "P", "M", "S", D(2023, 1, 1), D(2023, 2, 1), 500.0 + k) for k in range(1, 4)]
     broad = [(10 + k, "B", "P", "M", "S", D(2023, 1, 1), D(2023, 2, 1), 9000.0) for k in range(10)]
     pool = spark.createDataFrame(target + same + broad, kind)
-    scored = comparables.distances(comparables.candidate_pairs(pool.where("id = 0"), pool, "value"))
-    near = comparables.retrieve_stratum(scored, 10, 3)
+    target = pool.where("id = 0")
+    scored = comparables.distances(comparables.nearest_pairs(target, pool, "value", 20))
+    sizes = comparables.stratum_sizes(target, pool, "value")
+    near = comparables.retrieve_stratum(scored, sizes, 10, 3)
     assert {(r.stratum, r.c_id) for r in near.collect()} == {(1, 1), (1, 2), (1, 3)}
     assert comparables.valuation(near).first().q50 == 502.0
-    assert {r.stratum for r in comparables.retrieve_stratum(scored, 20, 4).collect()} == {4}
+    assert {r.stratum for r in comparables.retrieve_stratum(scored, sizes, 20, 4).collect()} == {4}
+
+
+def test_nearest_of_the_whole_pool_match_all_pairs(spark):
+    """Random rows with gaps and ties: the k nearest by cells are those of all pairs, for targets without an own history too."""
+    import random
+    from datetime import timedelta
+
+    rng, kind = random.Random(7), "id long, entity string, place string, market string, series string, start_date date, pub_date date, value double"
+    pick = lambda xs: rng.choice([*xs, None])
+    rows = []
+    for k in range(400):
+        start = D(2022, 1, 1) + timedelta(rng.randrange(700))
+        rows.append((k, pick("ABCDE"), pick("PQR"), pick("MN"), pick("ST"), start, rng.choice([start + timedelta(rng.randrange(1, 90)), start - timedelta(3), None]), rng.choice([1.0, 2.0, None])))
+    pool = spark.createDataFrame(rows, kind)
+    target = pool.where("id % 9 = 0")
+    got = {(r.t_id, r.place): (r.c_id, round(r.ranking, 9)) for r in comparables.retrieve_global(comparables.distances(comparables.nearest_pairs(target, pool, "value", 6)), 6).collect()}
+    names, weights = ("entity", "place", "market", "series"), (3.0, 2.0, 1.5, 1.0)
+    want = {}
+    for t in rows[::9]:
+        found = []
+        for c in rows:
+            if c[0] == t[0] or c[6] is None or c[6] >= t[5] or c[7] is None:
+                continue
+            off = abs(t[5].month - c[5].month)
+            known = [(w, t[k] != c[k]) for k, w in enumerate(weights, 1) if t[k] is not None and c[k] is not None]
+            d = (sum(w * x for w, x in known) + min(off, 12 - off) / 6) / (sum(w for w, _ in known) + 1.0)
+            found.append((min(1.0, d + 0.1 * (len(names) - len(known))), -c[5].toordinal(), c[0]))
+        for place, (d, _, c) in enumerate(sorted((round(a, 12), b, c) for a, b, c in found)[:6], 1):
+            want[t[0], place] = (c, round(d, 9))
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert sum(got[k][0] == want[k][0] for k in want) >= 0.98 * len(want)  # equal distances may round apart
 
 
 def test_changes_and_alerts(spark):
