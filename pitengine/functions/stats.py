@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitengine.session import materialize
+
 
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, NULL where b is zero or either is missing."""
@@ -51,19 +53,34 @@ def average_rank(df: DataFrame, value: str, name: str, keys: Sequence[str] = ())
     return df.join(places, [*keys, value])
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], **columns: Column) -> DataFrame:
+    """Adds the sum of each column over the rows before, in a global order without ties.
+
+    Rows are dealt by ranges of the order, summed within a range and carried on by one row per range, so no task holds all rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumns(columns).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    rows = materialize(rows, "ranges")  # the bounds of ranges come from a sample: written once, they stay
+    sums = rows.groupBy("_range").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    along = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *(F.sum(f"_{c}").over(along).alias(f"_{c}") for c in columns))  # one row per range
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    rows = rows.withColumns({c: F.coalesce(F.sum(c).over(own), zero) for c in columns}).join(F.broadcast(before), "_range")
+    return rows.withColumns({c: F.col(c) + F.coalesce(f"_{c}", zero) for c in columns}).drop("_range", *(f"_{c}" for c in columns))
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve with average ties, from counts per score; NULL if one class is absent."""
     counts = df.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = counts.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won"))
+    won = running_totals(counts, [F.col(score)], below=F.col("n")).select("p", "n", (F.col("p") * (F.col("below") + F.col("n") / 2)).alias("won"))
     return won.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.try_divide(F.sum("won"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Sum over falling scores of the gain in recall times precision; ties are one step."""
     counts = df.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    order = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select("p", (F.sum("p").over(order) / F.sum("n").over(order)).alias("precision"))
+    steps = running_totals(counts, [F.desc(score)], hits=F.col("p"), rows=F.col("n")).select("p", ((F.col("hits") + F.col("p")) / (F.col("rows") + F.col("n"))).alias("precision"))
     return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p")).alias("average_precision"))
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitengine.session import materialize
+
 
 def normal_equations(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, weight: str | None = None) -> DataFrame:
     """Per group n, xtx (row by row) and xty of the features with an intercept first; rows with missing values are left out."""
@@ -46,16 +48,20 @@ def predictor(features: Sequence[str]):
     return total
 
 
-def fit_glm(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, family: str, rounds: int = 8, l2: float = 1e-4) -> DataFrame:
-    """Poisson or logistic coefficients per group by reweighted least squares: a pass of sums a round."""
-    mean = F.avg(target)
-    start = F.log(F.greatest(mean, F.lit(1e-9))) if family == "poisson" else F.lit(0.0)
-    fitted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(start, *(F.lit(0.0) for _ in features)).alias("coefficients"))
+def fit_glm(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, family: str, rounds: int = 50, l2: float = 1e-4) -> DataFrame:
+    """Poisson or logistic coefficients per group by reweighted least squares: a pass of sums a round, until none moves any more."""
+    rows = materialize(rows.select(*keys, *features, target).dropna(subset=[*features, target]), "glm_rows")
+    start = F.log(F.greatest(F.avg(target), F.lit(1e-9))) if family == "poisson" else F.lit(0.0)
+    fitted = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(start, *(F.lit(0.0) for _ in features)).alias("coefficients")), "glm")
     for _ in range(rounds):
         scored = rows.join(fitted.select(*keys, "coefficients"), list(keys)).withColumn("_eta", F.least(F.greatest(predictor(features), F.lit(-30.0)), F.lit(30.0)))
         mu = F.exp("_eta") if family == "poisson" else 1 / (1 + F.exp(-F.col("_eta")))
         scored = scored.withColumn("_mu", mu)
         scored = scored.withColumn("_w", F.greatest(F.col("_mu") if family == "poisson" else F.col("_mu") * (1 - F.col("_mu")), F.lit(1e-9)))
         scored = scored.withColumn("_z", F.col("_eta") + (F.col(target) - F.col("_mu")) / F.col("_w"))
-        fitted = solve(normal_equations(scored, keys, features, "_z", "_w"), keys, l2)
+        before, fitted = fitted, materialize(solve(normal_equations(scored, keys, features, "_z", "_w"), keys, l2), "glm")
+        both = fitted.join(before.select(*keys, F.col("coefficients").alias("_old")), list(keys))
+        moved = F.exists(F.zip_with("coefficients", "_old", lambda a, b: F.abs(a - b)), lambda x: x > 1e-9)
+        if both.where(moved).limit(1).count() == 0:
+            break
     return fitted

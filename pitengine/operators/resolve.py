@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +35,24 @@ def anchor_clusters(rows: DataFrame, block: Sequence[str], start: str, end: str,
     """Adds anchor: in order of (start, key) within a block, a row joins the running anchor while it starts no later than the
     anchor's end, and is an anchor of its own otherwise. Rows without a start are their own anchor.
 
-    The order makes the greedy rule a fold over the block's rows, which are one entity's at one place.
+    A block's rows go by in order; only the running anchor is held.
     """
-    known = rows.where(F.col(start).isNotNull())
-    series = known.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(start, key, F.coalesce(end, start).alias("_end")))).alias("_rows"))
-    first = F.struct(F.lit(None).cast(rows.schema[key].dataType).alias("anchor"), F.lit(None).cast(rows.schema[end].dataType).alias("until"), F.array().cast(f"array<struct<key:{rows.schema[key].dataType.simpleString()},anchor:{rows.schema[key].dataType.simpleString()}>>").alias("out"))
-
-    def step(acc, x):
-        joins = F.coalesce(x[start] <= acc["until"], F.lit(False))
-        anchor = F.when(joins, acc["anchor"]).otherwise(x[key])
-        until = F.when(joins, acc["until"]).otherwise(x["_end"])
-        return F.struct(anchor.alias("anchor"), until.alias("until"), F.concat(acc["out"], F.array(F.struct(x[key].alias("key"), anchor.alias("anchor")))).alias("out"))
-
-    assigned = series.select(F.explode(F.aggregate("_rows", first, step)["out"]).alias("a")).select(F.col("a.key").alias(key), F.col("a.anchor").alias("anchor"))
+    known = rows.where(F.col(start).isNotNull()).select(*block, F.col(start).alias("_from"), F.coalesce(end, start).alias("_to"), F.col(key).alias("_key"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        current, anchor, until = None, None, None
+        for batch in batches:
+            names = list(zip(*(batch.column(b).to_pylist() for b in block)))
+            anchors = []
+            for name, begins, ends, k in zip(names, *(batch.column(c).to_pylist() for c in ("_from", "_to", "_key"))):
+                if name != current or begins > until:
+                    current, anchor, until = name, k, ends
+                anchors.append(anchor)
+            keys = batch.column("_key")
+            yield pa.RecordBatch.from_arrays([keys, pa.array(anchors, keys.type)], ["_key", "anchor"])
+
+    assigned = known.repartition(*block).sortWithinPartitions(*block, "_from", "_key").mapInArrow(run, f"_key {kind}, anchor {kind}").withColumnRenamed("_key", key)
     return rows.join(assigned, key, "left").withColumn("anchor", F.coalesce("anchor", F.col(key)))
 
 

@@ -278,12 +278,13 @@ SELECT field, count(*) AS compared, count(*) FILTER (low = high) AS exact, round
 
 
 def external_id_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """Values of a property that several keys carry: the ordered list of the keys."""
-    rows = snapshots(spark, d).where("level IS NOT NULL").groupBy("level").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    return rows.where(F.size("keys") > 1).select("level", F.size("keys").cast("long").alias("n"), F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+    """Values of a property that several keys carry: a row per value and key, with how many keys the value has."""
+    pairs = snapshots(spark, d).where("level IS NOT NULL").select("level", "key").distinct()
+    several = pairs.groupBy("level").agg(F.count("*").alias("n")).where("n > 1")
+    return pairs.join(several, "level").select("level", "key", "n")
 
 
-EXTERNAL_ID_COLLISIONS = SNAP + "SELECT level, count(DISTINCT key) AS n, list_aggregate(list_sort(list(DISTINCT key)), 'string_agg', ',') AS keys FROM snap WHERE level IS NOT NULL GROUP BY level HAVING count(DISTINCT key) > 1"
+EXTERNAL_ID_COLLISIONS = SNAP + "SELECT DISTINCT s.level, key, n FROM snap s JOIN (SELECT level, count(DISTINCT key) AS n FROM snap WHERE level IS NOT NULL GROUP BY level HAVING count(DISTINCT key) > 1) c ON c.level = s.level"
 
 
 def search_layers(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from bisect import insort
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitengine.functions.stats import auc, average_precision, average_rank, hhi, regression_metrics
+from pitengine.functions.stats import auc, average_precision, average_rank, hhi, regression_metrics, running_totals
 from pitengine.operators import comparables as C
 from pitengine.operators import pit
 from pitengine.sources.tables import ENGAGEMENTS_SQL as ENG
@@ -256,7 +256,8 @@ def acquisition_priority(spark: SparkSession, d: str) -> DataFrame:
     """Entities by how much their missing results would help: unknown priors, then spend, then id."""
     graph = dependency_graph(spark, d).join(engagements(spark, d).select("id", "entity", "gross"), "id")
     need = graph.groupBy("entity").agg(F.sum(F.col("prior") - F.col("known_prior")).alias("unknown_priors"), F.sum("downstream").alias("downstream"), F.round(F.sum("gross"), 2).alias("gross"))
-    return need.withColumn("place", F.row_number().over(Window.orderBy(F.desc("unknown_priors"), F.desc("downstream"), F.desc("gross"), "entity")).cast("long"))
+    ranked = running_totals(need, [F.desc("unknown_priors"), F.desc("downstream"), F.desc("gross"), F.col("entity")], place=F.lit(1).cast("long"))
+    return ranked.withColumn("place", F.col("place") + 1)
 
 
 ACQUISITION_PRIORITY = ENG + """,

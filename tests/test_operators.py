@@ -220,3 +220,50 @@ def test_prior_medians_of_hot_keys(spark):
     for limit in (1 << 16, 700, 100):
         got = {(r.k, r["_start"]): r.m for r in pit.prior_median(df, df, ["k"], "v", "m", hot_rows=limit).collect()}
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_cluster_overlaps_query_matches_a_plain_walk(spark, sf):
+    from pitengine.plans.audit import cluster_overlaps
+    from pitengine.sources.tables import engagements
+
+    rows = sorted((r.entity, r.start_date, r.id, r.pub_date or r.start_date) for r in engagements(spark, sf).collect())
+    want, entity, anchor, until = {}, None, None, None
+    for e, start, i, end in rows:
+        if e != entity or start > until:
+            entity, anchor, until = e, i, end
+        want[i] = anchor
+    assert {r.id: r.anchor for r in cluster_overlaps(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("name, target, family", [("poisson", "headcount", "poisson"), ("logistic", "sold_out", "logistic")])
+def test_model_queries_match_reweighted_least_squares(spark, sf, name, target, family):
+    import numpy as np
+
+    from pitengine.plans import audit
+
+    rows = audit._model_rows(spark, sf).toPandas()
+    got = {r.series: (r.n, r.b0, r.b1) for r in getattr(audit, name)(spark, sf).collect()}
+    for series, g in rows.groupby("series"):
+        x, y = np.column_stack([np.ones(len(g)), g["shows"]]), g[target].to_numpy(float)
+        b = np.array([np.log(y.mean()) if family == "poisson" else 0.0, 0.0])
+        for _ in range(100):
+            eta = x @ b
+            mu = np.exp(eta) if family == "poisson" else 1 / (1 + np.exp(-eta))
+            w = mu if family == "poisson" else mu * (1 - mu)
+            b = np.linalg.solve(x.T @ (w[:, None] * x) + 1e-4 * np.diag([0.0, 1.0]), x.T @ (w * (eta + (y - mu) / w)))
+        assert got[series][0] == len(g) and np.allclose(got[series][1:], b, atol=2e-4)
+
+
+def test_publication_keeps_three_versions_and_points_to_the_last(spark, tmp_path):
+    from pitengine.sources import warehouse
+
+    folder = f"file:{tmp_path}/mart"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, secret string")
+    for v in ("8", "9", "10", "11"):
+        out = warehouse.publish(df.withColumn("v", F.lit(v)), folder, v, drop=["secret"])
+        assert out.columns == ["k", "v"] and out.count() == 2
+    assert warehouse.versions(spark, folder) == ["9", "10", "11"]
+    assert {r.v for r in warehouse.latest_version(spark, folder).collect()} == {"11"}
+    with pytest.raises(Exception):
+        warehouse.publish(df, folder, "11")
+    assert warehouse.latest_version(spark, folder).count() == 2
