@@ -6,7 +6,7 @@ estimate of its group and rejected if its squared Mahalanobis distance is above
 The estimate is the fast algorithm for large data. A sample of about ``START_ROWS`` rows of the group, picked by a digest of the
 row, gives starts: coordinate-wise medians, and ``TRIALS`` small random subsets, each improved by concentration steps in numpy; the
 ``STARTS`` of least determinant go on. Then come concentration steps over all rows of the group: rows are ranked by
-distance, the nearest ``KEPT`` part gives the next mean and covariance, until no determinant changes any more (``ROUNDS`` at
+distance, the nearest ``KEPT`` part gives the next mean and covariance, until no determinant falls any more (``ROUNDS`` at
 most); the start of least determinant is the group's estimate. Ranks come from counts in bins of distance (``PER_OCTAVE`` to a
 doubling, without a last one), so a group of any size needs some hundred counts and no ordering; means and covariances come
 from sums. Text is read once; the rounds read a written table of five numbers a row.
@@ -40,6 +40,8 @@ SPACES, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 KEPT, PRIOR = 0.75, 20
 START_ROWS, TRIALS, STARTS, ROUNDS = 600, 20, 2, 25
+#: Steps go on while a log determinant falls by more; ranks that are met to a bin would let it waver below that.
+LEAST_FALL = 1e-3
 TAIL = 1e-5
 #: Variance added to each coordinate, as a standard deviation: log words, log word length, symbols, repeated lines, repeated words.
 FLOORS = (0.5, 0.08, 0.3, 0.5, 0.69)
@@ -221,7 +223,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         after = materialize(_with_inverse(_step(rows, groups)), "quality_groups")
         before, groups = groups, after
-        moved = after.join(before.select("group", "start", F.col("size").alias("old")), ["group", "start"]).where(F.abs(F.col("size") - F.col("old")) > 1e-6)
+        moved = after.join(before.select("group", "start", F.col("size").alias("old")), ["group", "start"]).where(F.col("size") < F.col("old") - LEAST_FALL)
         if moved.limit(1).count() == 0:
             break
     best = groups.groupBy("group").agg(F.min_by(F.struct("start", "n", "mean", "cov"), F.struct("size", "start")).alias("best")).select("group", "best.*")
