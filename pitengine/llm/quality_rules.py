@@ -40,7 +40,7 @@ SPACES, SYMBOLS = "\t\n\x0b\x0c\r ", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 KEPT, PRIOR = 0.75, 20
 START_ROWS, TRIALS, STARTS, ROUNDS = 600, 20, 2, 25
-#: Steps go on while a log determinant falls by more; ranks that are met to a bin would let it waver below that.
+#: A start's steps end when its log determinant no longer falls by more; ranks that are met to a bin let it waver below that.
 LEAST_FALL = 1e-3
 TAIL = 1e-5
 #: Variance added to each coordinate, as a standard deviation: log words, log word length, symbols, repeated lines, repeated words.
@@ -219,13 +219,18 @@ def _step(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame) -> DataFrame:
     """group, n, mean, inverse of each group of rows (group, doc_id and coordinates)."""
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    groups = materialize(_with_inverse(_first_estimates(rows, sizes)), "quality_groups")
-    for _ in range(ROUNDS):
-        after = materialize(_with_inverse(_step(rows, groups)), "quality_groups")
-        before, groups = groups, after
-        moved = after.join(before.select("group", "start", F.col("size").alias("old")), ["group", "start"]).where(F.col("size") < F.col("old") - LEAST_FALL)
-        if moved.limit(1).count() == 0:
+    active, done = materialize(_with_inverse(_first_estimates(rows, sizes)), "quality_groups"), None
+    for k in range(ROUNDS):
+        after = materialize(_with_inverse(_step(rows, active)), "quality_groups")
+        falls = after.join(active.select("group", "start", F.col("size").alias("old")), ["group", "start"]).where(F.col("size") < F.col("old") - LEAST_FALL).drop("old")
+        falls = materialize(falls, "quality_falling")
+        last = k == ROUNDS - 1 or falls.limit(1).count() == 0
+        ended = active.join(falls, ["group", "start"], "left_anti")
+        done = ended if done is None else done.unionByName(ended)
+        if last:
             break
+        active = falls
+    groups = done.unionByName(falls)
     best = groups.groupBy("group").agg(F.min_by(F.struct("start", "n", "mean", "cov"), F.struct("size", "start")).alias("best")).select("group", "best.*")
     all_groups = best.agg(*(F.try_divide(F.sum(F.col("n") * F.col("cov")[k]), F.sum("n")).alias(f"c{k}") for k in range(P * P))).first()
     pooled = [c or 0.0 for c in all_groups]
