@@ -218,7 +218,8 @@ def _step(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """group, n, mean, inverse of each group of rows (group, doc_id and coordinates)."""
-    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    # a written table: Spark sees that it is small and rows are sampled where they are, without a shuffle by group
+    sizes = materialize(rows.groupBy("group").agg(F.count("*").alias("n")), "quality_sizes")
     active, done = materialize(_with_inverse(_first_estimates(rows, sizes)), "quality_groups"), None
     for k in range(ROUNDS):
         after = materialize(_with_inverse(_step(rows, active)), "quality_groups")
