@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pitengine.llm import bpe, curriculum_mix, exact_dedup, language_id, license_scan, quality_rules, simhash_dedup, token_files, toxicity, url_filter
+from pitengine.llm import (
+    bpe,
+    curriculum_mix,
+    exact_dedup,
+    hard_negatives,
+    language_id,
+    license_scan,
+    periodic_runs,
+    personal_data,
+    quality_rules,
+    simhash_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_language_id": language_id.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_personal_data": personal_data.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLES = {
@@ -22,4 +39,5 @@ ORACLES = {
     "op5_license_scan": license_scan.ORACLE,
     "op6_curriculum_mix": curriculum_mix.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
