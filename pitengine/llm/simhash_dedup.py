@@ -1,36 +1,40 @@
 """SimHash near-dedup by multi-index hashing.
 
-A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four bits
-differ in at most one bit in the first or the second segment, or not at all in the third (two bits or
-more in each of the first two leave none for the third). So every fingerprint is stored under each of
-its segment values, and probes the tables of the first two segments with the ball of radius 1 around
-its own value (22 probes each) and the third with its value alone. Fingerprints that meet in a table
-are compared in full. The tables hold distinct fingerprints: copies meet once, as one entry.
-
-From ``WIDE_FROM`` distinct fingerprints on, a value of 21 bits is shared by so many that candidates outgrow probes; there
-two segments of 32 bits do the same (at most two bits differ in the first, or at most one in the second: 529 and 33
-probes). Both plans find every link.
-
-Stored and probing entries of a table value are shuffled to one task and compared in numpy blocks.
-A task hands on a spanning forest of the links it verified, so a dense group of n fingerprints leaves
-as n links and not n * n pairs, and no link between groups is lost. A table value that more than
-``HOT`` fingerprints share is dealt over a grid of tasks: stored entries over its rows and probes over its columns, so that no
-task compares more than about ``HOT`` with ``HOT``. Components are found by alternating star contraction over the links, with a written table after
-each round.
+A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four bits differ in at most
+one bit in the first or the second segment, or not at all in the third (two bits or more in each of the first two
+leave none for the third). So every fingerprint is stored under each of its segment values, and probes the tables of
+the first two segments with the ball of radius 1 around its own value (22 probes each) and the third with its value
+alone. Fingerprints that meet in a table are compared in full. The tables hold distinct fingerprints: copies meet
+once, as one entry.
+
+From ``WIDE_FROM`` distinct fingerprints on, a value of 21 bits is shared by so many that candidates outgrow probes;
+there two segments of 32 bits do the same (at most two bits differ in the first, or at most one in the second: 529 and
+33 probes). Both plans find every link.
+
+Stored and probing entries of a table value are shuffled to one task and compared in numpy blocks. A task hands on a
+spanning forest of the links it verified, so a dense group of n fingerprints leaves as n links and not n * n pairs,
+and no link between groups is lost. A table value that more than ``HOT`` fingerprints share is dealt over a grid of
+tasks: stored entries over its rows and probes over its columns, so that no task compares more than about ``HOT`` with
+``HOT``. Components are found by alternating star contraction over the links, with a written table after each round.
 
 A node is the fingerprint itself; the smallest id names a component once it is found.
 
 ``drop_near_copies`` links texts by the Jaccard similarity of their sets of 5-word shingles instead, from
 ``LEAST_SHARED`` up. There two fingerprints may differ in a sixth of their bits, beyond any ball that can be
 enumerated whole, so its fingerprints are ``WORDS`` * 64 bits of the set, in ``WORDS`` * 4 segments, and a segment's
-ball is enumerated over its two least certain bits (four probes). Candidates are verified on the shingle sets; of a
-dense group a task hands on ``FORESTS`` successive spanning forests, nearest pairs first (in steps of ``NEAR_STEP`` bits), so a pair
-that is left out has that many separate paths of pairs that are as near.
-
-Defined cases: null and white-space texts have fingerprint zero and link like any other. A very long text is hashed whole, block by
-block. A component without an id has no name. Rows that repeat an id are members of their own, and are dropped by id and
-text. An empty table gives an empty result. Extra columns, whatever their names, are ignored by ``simhash_components`` and
-kept by ``drop_near_copies``.
+ball is enumerated over its two least certain bits (four probes). Candidates are verified on the shingle sets, in two
+rounds, so that no pair is left out and no task hands on all pairs of a dense group:
+
+- Where a table value's candidates outnumber its nodes by more than ``FEW``, the task hands on a spanning forest of
+  them, nearest pairs first (in steps of ``NEAR_STEP`` bits), and the table value. Verified links give components.
+- Those table values are compared again, between different components only, on all bits of the fingerprints. What is
+  left is verified pair by pair; where it is still dense (many texts a little too far apart), in one task per value on
+  the shingle sets themselves.
+
+Defined cases: null and white-space texts have fingerprint zero and link like any other. A very long text is hashed
+whole, block by block. A component without an id has no name. Rows that repeat an id are members of their own, and are
+dropped by id and text. An empty table gives an empty result. Extra columns, whatever their names, are ignored by
+``simhash_components`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitengine.llm._shared import materialize, shuffle_partitions, table, unused
@@ -50,8 +54,9 @@ SEED, MAX_DISTANCE = 42, 4
 #: First bit and width of the segments, and the radius of the ball that is enumerated in each.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 WIDE_SEGMENTS, WIDE_FROM = ((0, 32, 2), (32, 32, 1)), 1 << 25
-#: Of drop_near_copies: words of a fingerprint, most bits that candidates differ in (in the first word, in all), forests handed on.
-WORDS, FIRST_DISTANCE, WIDE_DISTANCE, FORESTS = 6, 18, 90, 4
+#: Of drop_near_copies: words of a fingerprint, most bits that candidates differ in (in the first word, in all), candidates for each node
+#: of a table value that are handed on as they are.
+WORDS, FIRST_DISTANCE, WIDE_DISTANCE, FEW = 6, 18, 90, 4
 #: Distances in one step count as equally near where forests are chosen.
 NEAR_STEP = 6
 #: Least Jaccard similarity of shingle sets, as a fraction.
@@ -131,43 +136,45 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """FORESTS successive minimum spanning forests of the pairs (a, b) at distances d; all pairs if they are few."""
+def _once(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes, and each pair once, as places in nodes, by steps of distance, then by the smaller nodes: forests of the
+    same group from different tasks then share most of their pairs."""
     nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
     low, high = np.minimum(both[: len(a)], both[len(a) :]), np.maximum(both[: len(a)], both[len(a) :])
     _, once = np.unique(low * len(nodes) + high, return_index=True)
-    # by steps of distance, then by the smaller node: forests of the same group from different tasks then share most of their pairs
     once = once[np.argsort(d[once] // NEAR_STEP, kind="stable")]
-    low, high, d = low[once], high[once], d[once]
-    if len(low) > FORESTS * len(nodes):
-        chosen = np.zeros(len(low), bool)
-        for _ in range(FORESTS):
-            label, rest = np.arange(len(nodes)), np.flatnonzero(~chosen)
-            while True:
-                rest = rest[label[low[rest]] != label[high[rest]]]
-                if not len(rest):
-                    break
-                best = np.full(len(nodes), len(low))
-                np.minimum.at(best, label[low[rest]], rest)
-                np.minimum.at(best, label[high[rest]], rest)
-                pick = np.unique(best[best < len(low)])
-                chosen[pick] = True
-                members, ends = _forest(label[low[pick]], label[high[pick]])
-                to = np.arange(len(nodes))
-                to[members] = ends
-                label = to[label]
-        low, high, d = low[chosen], high[chosen], d[chosen]
-    return nodes[low], nodes[high], d
+    return nodes, low[once], high[once], d[once]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the pairs (a, b) at distances d."""
+    nodes, low, high, d = _once(a, b, d)
+    chosen = np.zeros(len(low), bool)
+    label, rest = np.arange(len(nodes)), np.arange(len(low))
+    while True:
+        rest = rest[label[low[rest]] != label[high[rest]]]
+        if not len(rest):
+            break
+        best = np.full(len(nodes), len(low))
+        np.minimum.at(best, label[low[rest]], rest)
+        np.minimum.at(best, label[high[rest]], rest)
+        pick = np.unique(best[best < len(low)])
+        chosen[pick] = True
+        members, ends = _forest(label[low[pick]], label[high[pick]])
+        to = np.arange(len(nodes))
+        to[members] = ends
+        label = to[label]
+    return nodes[low[chosen]], nodes[high[chosen]], d[chosen]
 
 
 class _Compare:
     """Compares the probes of a sorted task with the stored entries of the same table value."""
 
-    radius = MAX_DISTANCE
+    radius, columns = MAX_DISTANCE, ("a", "b")
 
-    def few(self, a, b, d):
-        """What is handed on of the links (a, b) at distances d."""
-        return (*_forest(a, b), d[:0])
+    def few(self, a, b, d, key):
+        """What is handed on of the links (a, b) at distances d under table values key."""
+        return (*_forest(a, b), d[:0], key[:0])
 
     def __init__(self):
         self.key, self.fp, self.node = None, np.zeros(0, np.int64), np.zeros(0, np.int64)  # stored under the last value seen
@@ -180,7 +187,7 @@ class _Compare:
             keys = np.concatenate([np.full(len(self.fp), self.key), keys])
             fps, nodes = np.concatenate([self.fp, fps]), np.concatenate([self.node, nodes])
         first, last = np.searchsorted(keys, key[probe]), np.searchsorted(keys, key[probe], side="right")
-        own_fp, own_node, n = fp[probe], node[probe], last - first
+        own_key, own_fp, own_node, n = key[probe], fp[probe], node[probe], last - first
         total = np.cumsum(n)
         at, found = 0, []
         while at < len(n):
@@ -192,22 +199,44 @@ class _Compare:
             near = distance <= self.radius
             near &= own_node[mine] != nodes[theirs]
             if near.any():
-                found.append(self.few(own_node[mine[near]], nodes[theirs[near]], distance[near]))
+                found.append(self.few(own_node[mine[near]], nodes[theirs[near]], distance[near], own_key[mine[near]]))
             at = to
         if len(key):
             mask = keys == key[-1]
             self.key, self.fp, self.node = key[-1], fps[mask], nodes[mask]
         if not found:
             return None
-        a, b, _ = self.few(*(np.concatenate(x) for x in zip(*found)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b, _, of = self.few(*(np.concatenate(x) for x in zip(*found)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, of)[: len(self.columns)]], list(self.columns))
 
 
 class _Candidates(_Compare):
-    radius = FIRST_DISTANCE
-
-    def few(self, a, b, d):
-        return _nearest(a, b, d)
+    """Hands on the pairs of a table value with key -1, or their forest with the table value if they are many."""
+
+    radius, columns = FIRST_DISTANCE, ("a", "b", "key")
+
+    def __init__(self, most: int = FEW):
+        super().__init__()
+        self.most = most
+
+    def few(self, a, b, d, key):
+        order = np.argsort(key, kind="stable")
+        values, first, n = np.unique(key[order], return_index=True, return_counts=True)
+        crowded = np.zeros(len(key), bool)
+        out = []
+        # more than m pairs a node need 2 * m + 2 nodes
+        for k in np.flatnonzero((values >= 0) & (n > self.most * (2 * self.most + 2))).tolist():
+            own = order[first[k] : first[k] + n[k]]
+            nodes, low, _, _ = _once(a[own], b[own], d[own])
+            if len(low) > self.most * len(nodes):
+                crowded[own] = True
+                forest = _nearest(a[own], b[own], d[own])
+                out.append((*forest, np.full(len(forest[0]), values[k])))
+        rest = ~crowded
+        if rest.any():
+            nodes, low, high, d = _once(a[rest], b[rest], d[rest])
+            out.append((nodes[low], nodes[high], d, np.full(len(low), -1)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _links(batches, compare=None):
@@ -346,31 +375,108 @@ def _wide_entries(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(value.size, np.int32)), pa.array(value.reshape(-1)), pa.array(probe), pa.array(each(words[:, 0])), pa.array(each(part.column("node").to_numpy()))], ["segment", "value", "probe", "fp", "node"])
 
 
-def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Links (a, b) between nodes of rows (node, row, words, doubtful) whose shingle sets are similar."""
-    classes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words"), F.first("doubtful").alias("doubtful")), "set_classes")
-    entries = classes.select("node", "words", "doubtful").mapInArrow(_wide_entries, "segment int, value long, probe boolean, fp long, node long")
-    pairs = _dealt(entries).mapInArrow(lambda batches: _links(batches, _Candidates()), "a long, b long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
-    apart = sum((F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)), F.lit(0))
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= WIDE_DISTANCE).select("a", "b"), "candidates")
+def _far_apart() -> Column:
+    """Bits that words_a and words_b differ in."""
+    return sum((F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)), F.lit(0))
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """node and shingles of the given nodes, as a written table."""
 
     def sets(batches):
         for batch in batches:
             found = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([_set_node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "row"), "node").select("row")
+    wanted = nodes.distinct().join(classes.select("node", "row"), "node").select("row")
     texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text")).join(wanted, "row", "left_semi").dropDuplicates(["row", "text"])
-    held = materialize(texts.select("text").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle_sets")
+    return materialize(texts.select("text").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle_sets")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The candidates (a, b) whose sets are similar, as a written table."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_far_apart() <= WIDE_DISTANCE).select("a", "b"), "candidates")
+    held = _sets_of(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), text_col, shingle)
     side = lambda c: held.select(F.col("node").alias(c), F.col("shingles").alias(f"in_{c}"))
     shared = F.size(F.array_intersect("in_a", "in_b"))
     part, whole = LEAST_SHARED
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(whole * shared >= part * (F.size("in_a") + F.size("in_b") - shared)).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    linked = pairs.join(side("a"), "a").join(side("b"), "b").where(whole * shared >= part * (F.size("in_a") + F.size("in_b") - shared))
+    return materialize(linked.select("a", "b"), "similar_sets")
+
+
+def _far_pairs(words: np.ndarray, other: np.ndarray, most: int):
+    """Pairs of places (in words, in other) that differ in ``most`` bits at most, in blocks."""
+    step = max(1, BLOCK_PAIRS // max(1, len(other)))
+    for at in range(0, len(words), step):
+        apart = np.bitwise_count((words[at : at + step, None] ^ other[None]).view(np.uint64)).sum(axis=2, dtype=np.int32)
+        x, y = np.nonzero(apart <= most)
+        yield x + at, y
+
+
+def _across(group: pa.Table, few: int) -> pa.Table:
+    """Candidates between different components under a table value, with key -1; if they are many, their nodes as (node, node) with the key."""
+    probe, node, root = (group.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "node", "root"))
+    words = pa.concat_arrays(group.column("words").chunks).flatten().to_numpy().reshape(-1, WORDS)
+    own, stored = np.flatnonzero(probe), np.flatnonzero(~probe)
+    found = [(own[x][new], stored[y][new]) for x, y in _far_pairs(words[own], words[stored], WIDE_DISTANCE) if (new := root[own[x]] != root[stored[y]]).any()]
+    x, y = (np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
+    a, b, key = node[x], node[y], np.full(len(x), -1)
+    crowd = np.unique(np.concatenate([a, b]))
+    if len(a) > few * len(crowd):
+        a, b, key = crowd, crowd, np.full(len(crowd), group.column("key")[0].as_py())
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "key": pa.array(key, pa.int64())})
+
+
+def _linked_in_crowd(group: pa.Table) -> pa.Table:
+    """A forest of the similar sets of different components under a table value."""
+    node, root = (group.column(c).to_numpy() for c in ("node", "root"))
+    words = pa.concat_arrays(group.column("words").chunks).flatten().to_numpy().reshape(-1, WORDS)
+    sets = [np.array(x) for x in group.column("shingles").to_pylist()]
+    _, label = np.unique(root, return_inverse=True)
+    part, whole = LEAST_SHARED
+    out = []
+    for x, y in _far_pairs(words, words, WIDE_DISTANCE):
+        for i, j in zip(x.tolist(), y.tolist()):
+            if label[i] == label[j] or part * max(len(sets[i]), len(sets[j])) > whole * min(len(sets[i]), len(sets[j])):
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if whole * shared >= part * (len(sets[i]) + len(sets[j]) - shared):
+                out.append((node[i], node[j]))
+                label[label == label[i]] = label[j]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
+def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, few: int = FEW) -> DataFrame:
+    """Links (a, b) between nodes of rows (node, row, words, doubtful) that join all whose shingle sets are similar."""
+    classes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words"), F.first("doubtful").alias("doubtful")), "set_classes")
+    entries = classes.select("node", "words", "doubtful").mapInArrow(_wide_entries, "segment int, value long, probe boolean, fp long, node long")
+    dealt = _dealt(entries)
+    found = materialize(dealt.mapInArrow(lambda batches: _links(batches, _Candidates(few)), "a long, b long, key long"), "pairs")
+    linked = _verified(docs, classes, found, text_col, shingle)
+    crowded = found.where("key >= 0").select("key").distinct()
+    if crowded.isEmpty():
+        return linked
+
+    roots = components(linked)
+    members = dealt.select("key", "probe", "node").join(crowded, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialize(members, "crowded_members")
+    mixed = members.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    words = classes.select("node", "words")
+    left = members.join(mixed, "key", "left_semi").join(words, "node")
+    across = materialize(left.groupBy("key").applyInArrow(lambda group: _across(group, few), "a long, b long, key long"), "pairs_across")
+    linked = linked.union(_verified(docs, classes, across.where("key < 0"), text_col, shingle))
+    crowd = across.where("key >= 0").select("key", F.col("a").alias("node"))
+    if crowd.isEmpty():
+        return linked
+    held = _sets_of(docs, classes, crowd.select("node"), text_col, shingle)
+    crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(words, "node").join(held, "node")
+    return linked.union(crowd.groupBy("key").applyInArrow(_linked_in_crowd, "a long, b long"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, few: int = FEW) -> DataFrame:
     """docs with one document per component of similar shingle sets, the one of the least id; all columns kept. Rows without an id stay."""
 
     def run(batches):
@@ -383,7 +489,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     rows = materialize(rows.mapInArrow(run, "doc_id long, row long, node long, words array<long>, doubtful array<byte>"), "wide_fingerprints")
-    near = _named(rows.select("doc_id", "row", "node"), "node", similar_sets(docs, rows, text_col, shingle))
+    near = _named(rows.select("doc_id", "row", "node"), "node", similar_sets(docs, rows, text_col, shingle, few))
     return _without_copies(docs, near, id_col, text_col)
 
 
