@@ -58,7 +58,7 @@ class _Latest:
         insort(rows, (minus_start, row))
         del rows[self.k :]
 
-    def answer(self, month: int):
+    def answer(self, month: int, target: int):
         out = []
         for off in range(7):
             at = sorted(x for m in {(month - 1 + off) % 12 + 1, (month - 1 - off) % 12 + 1} for x in self.months.get(m, ()))
@@ -66,28 +66,49 @@ class _Latest:
         return (out,) if out else None
 
 
+def _closed_subsets(rows: DataFrame) -> list[tuple[str, ...]]:
+    """Subsets of NAMES, without those that other names follow from (every row of an entity may have one market): their cells are the same."""
+    implied = {}
+    for name in NAMES:
+        others = [n for n in NAMES if n != name]
+        one = lambda n: F.bool_and((F.col(f"low_{n}") == F.col(f"high_{n}")) & (F.col(f"known_{n}") == F.col("n")))
+        sides = [c for n in others for c in (F.min(n).alias(f"low_{n}"), F.max(n).alias(f"high_{n}"), F.count(n).alias(f"known_{n}"))]
+        found = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), *sides).agg(*(one(n).alias(n) for n in others)).first()
+        implied[name] = {n for n in others if found[n]}
+    every = [frozenset(c) for size in range(len(NAMES), -1, -1) for c in combinations(NAMES, size)]
+    return [tuple(n for n in NAMES if n in s) for s in every if all(implied[n] <= s for n in s)]
+
+
 def nearest_pairs(targets: DataFrame, pool: DataFrame, value: str, k: int) -> DataFrame:
     """Pairs (as of ``candidate_pairs``) that hold, for each target, its k nearest in the pool and in each of STRATA.
 
-    Targets and pool rows need a start; pool rows a value and a day of publication before the target's start.
+    Targets and pool rows need a start; pool rows a value and a day of publication before the target's start. All subsets of
+    identities go through one shuffle and one fold: a row stands in one cell per subset, and only in cells that a target asks for.
     """
     gaps = F.concat(*(F.col(n).isNull().cast("int").cast("string") for n in NAMES))
     rows = pool.where(F.col(value).isNotNull() & F.col("pub_date").isNotNull() & F.col("start_date").isNotNull())
     rows = materialize(rows.select("id", *NAMES, "start_date", F.col("pub_date").alias("_pub"), F.col(value).cast("double").alias("value"), gaps.alias("gaps"), F.month("start_date").alias("month"), (-F.unix_date("start_date")).alias("minus_start")), "comparable_pool")
     asked = materialize(targets.where("start_date IS NOT NULL").select("id", *NAMES, F.col("start_date").alias("_start"), F.month("start_date").alias("month")), "comparable_targets")
     kinds = F.lit([r.gaps for r in rows.select("gaps").distinct().collect()] or [""])  # at most 16
-    found = None
-    for size in range(len(NAMES), -1, -1):
-        for names in combinations(NAMES, size):
-            keys = [*names, "gaps"]
-            own = rows.dropna(subset=list(names)) if names else rows
-            order = F.row_number().over(Window.partitionBy(*keys, "_pub", "month").orderBy("minus_start", "id"))
-            own = own.withColumn("_n", order).where(F.col("_n") <= k + 1)
-            wanted = (asked.dropna(subset=list(names)) if names else asked).withColumn("gaps", F.explode(kinds))
-            cells = as_of_fold(wanted.select(*keys, "_start", "month").distinct(), own, keys, ["month", "minus_start", "id"], partial(_Latest, k + 1), "ids array<long>", extra=["month"])
-            one = wanted.join(cells, [*keys, "_start", "month"]).select(F.col("id").alias("t_id"), F.explode("ids").alias("c_id"))
-            found = one if found is None else found.unionByName(one)
-    pairs = found.where("t_id <> c_id").distinct()
+    subsets = _closed_subsets(rows.select(*NAMES).unionByName(asked.select(*NAMES)))
+
+    def in_cells(df):
+        """A row per subset whose identities are all known, the other identities NULL."""
+        own = lambda names: [(F.col(n) if n in names else F.lit(None).cast(rows.schema[n].dataType)).alias(n) for n in NAMES]
+        known = lambda names: F.lit(True) if not names else F.forall(F.array(*(F.col(n).isNotNull() for n in names)), lambda x: x)
+        each = F.array(*(F.when(known(names), F.struct(F.lit(s).alias("subset"), *own(names))) for s, names in enumerate(subsets)))
+        return df.withColumn("cell", F.explode(F.array_compact(each))).drop(*NAMES).select("*", "cell.*").drop("cell")
+
+    keys = ["subset", *NAMES, "gaps"]
+    wanted = in_cells(asked.withColumnRenamed("id", "t_id")).withColumn("gaps", F.explode(kinds))
+    cells = wanted.select(*(F.col(c).alias(f"w_{c}") for c in keys)).distinct()
+    own = in_cells(rows.select("id", *NAMES, "gaps", "_pub", "month", "minus_start"))
+    same = [own[c].eqNullSafe(cells[f"w_{c}"]) for c in keys]
+    own = own.join(cells, same, "left_semi")
+    order = F.row_number().over(Window.partitionBy(*keys, "_pub", "month").orderBy("minus_start", "id"))
+    own = own.withColumn("_n", order).where(F.col("_n") <= k + 1)
+    found = as_of_fold(wanted, own, keys, ["month", "minus_start", "id"], partial(_Latest, k + 1), "ids array<long>", extra=["month", "t_id"])
+    pairs = found.select("t_id", F.explode("ids").alias("c_id")).where("t_id <> c_id").distinct()
     t = asked.select(F.col("id").alias("t_id"), F.col("_start").alias("t_start"), *(F.col(n).alias(f"t_{n}") for n in NAMES))
     c = rows.select(F.col("id").alias("c_id"), F.col("start_date").alias("c_start"), F.col("_pub").alias("c_pub"), F.col("value").alias("c_value"), *(F.col(n).alias(f"c_{n}") for n in NAMES))
     return pairs.join(t, "t_id").join(c, "c_id")

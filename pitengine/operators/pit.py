@@ -121,16 +121,22 @@ def fallback_medians(targets: DataFrame, history: DataFrame, levels: Sequence[Se
     """targets with estimate and level (0 for the first level): the median of the first level that has prior values.
 
     A level is only looked up for the targets that the levels before left open, so the broad ones, whose
-    histories are long, meet few targets.
+    histories are long, meet few targets. What a level leaves open is a written table: both its sides read it. A level
+    without keys is the median of all that was published before the target started.
     """
-    done, rest = None, targets
+    keyed = sorted({k for keys in levels for k in keys})
+    whole = F.lit(0).alias("_all")
+    columns = [c for c in dict.fromkeys([*keyed, "pub_date", value])]
+    history = materialize(history.select(*columns, whole).where(F.col(value).isNotNull() & F.col("pub_date").isNotNull()), "fallback_history")
+    done, rest = None, materialize(targets.select("*", whole), "fallback_targets")
     for k, keys in enumerate(levels):
+        keys = list(keys) or ["_all"]
         found = prior_median(rest, history, keys, value, "estimate").withColumnRenamed("_start", "start_date")
-        joined = rest.join(found, [*keys, "start_date"], "left")
+        joined = materialize(rest.join(found, [*keys, "start_date"], "left"), "fallback_level")
         hit = joined.where(F.col("estimate").isNotNull()).withColumn("level", F.lit(k)).select(*targets.columns, "estimate", "level")
         done = hit if done is None else done.unionByName(hit)
-        rest = joined.where(F.col("estimate").isNull()).select(*targets.columns)
-    last = rest.withColumn("estimate", F.lit(default).cast("double")).withColumn("level", F.lit(len(levels)))
+        rest = joined.where(F.col("estimate").isNull()).drop("estimate")
+    last = rest.drop("_all").withColumn("estimate", F.lit(default).cast("double")).withColumn("level", F.lit(len(levels)))
     return done.unionByName(last)
 
 

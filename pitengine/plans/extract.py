@@ -16,7 +16,7 @@ VOID = r"\b(not|expected|up to)\b"
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """A sentence per order as a page states it."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 < 2")
+    o = table(spark, d, "orders")
     n = F.format_number(F.round("o_totalprice").cast("long"), 0)
     k = F.col("o_orderkey") % 7
     text = F.when(k == 0, F.concat(F.lit("The show had "), n, F.lit(" paid and a capacity of 9,000"))).when(k == 1, F.concat(F.lit("An attendance of "), n, F.lit(" was reported"))).when(k == 2, F.concat(F.lit("It is expected to draw an attendance of "), n)).when(k == 3, F.concat(F.lit("It took $"), n, F.lit(" at the door"))).when(k == 4, F.lit("sold out in an hour")).when(k == 5, F.lit("not sold out")).otherwise("a quiet night")
@@ -24,8 +24,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 _pages_sql = """
-WITH o AS (SELECT o_orderkey AS page, o_orderkey % 7 AS k, regexp_replace(round(o_totalprice)::bigint::varchar, '(\\d)(?=(\\d{3})+$)', '\\1', 'g') AS raw, round(o_totalprice)::bigint AS n, o_orderdate::date AS published FROM orders WHERE o_orderkey % 3 < 2)
-""".replace("regexp_replace(round(o_totalprice)::bigint::varchar, '(\\d)(?=(\\d{3})+$)', '\\1', 'g') AS raw, ", "")
+WITH o AS (SELECT o_orderkey AS page, o_orderkey % 7 AS k, round(o_totalprice)::bigint AS n, o_orderdate::date AS published FROM orders)
+"""
 
 
 def outcome_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -59,10 +59,12 @@ FROM eng GROUP BY 1
 
 
 def hierarchical_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """The prior median of the most specific level that has one: entity at place, entity, place, market, and the median of all after them."""
+    """The prior median of the most specific level that has one: entity at place, entity, place, market, all.
+
+    Only what was published before the target started counts, at the last level too; a target before all results has no estimate."""
     eng = engagements(spark, d)
     targets = eng.select("id", "entity", "place", "market", "start_date")
-    out = pit.fallback_medians(targets, eng, [["entity", "place"], ["entity"], ["place"], ["market"]], "headcount", eng.agg(F.percentile("headcount", 0.5)).first()[0])
+    out = pit.fallback_medians(targets, eng, [["entity", "place"], ["entity"], ["place"], ["market"], []], "headcount")
     return out.select("id", "level", F.round("estimate", 4).alias("estimate"))
 
 
@@ -71,8 +73,11 @@ lv AS (
   SELECT t.id, (SELECT median(headcount) FROM eng h WHERE h.entity = t.entity AND h.place = t.place AND h.pub_date < t.start_date) AS a,
          (SELECT median(headcount) FROM eng h WHERE h.entity = t.entity AND h.pub_date < t.start_date) AS b,
          (SELECT median(headcount) FROM eng h WHERE h.place = t.place AND h.pub_date < t.start_date) AS c,
-         (SELECT median(headcount) FROM eng h WHERE h.market = t.market AND h.pub_date < t.start_date) AS d FROM eng t)
-SELECT id, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 WHEN d IS NOT NULL THEN 3 ELSE 4 END::int AS level, round(coalesce(a, b, c, d, (SELECT median(headcount) FROM eng)), 4) AS estimate FROM lv
+         (SELECT median(headcount) FROM eng h WHERE h.market = t.market AND h.pub_date < t.start_date) AS d FROM eng t),
+days AS (SELECT DISTINCT start_date FROM eng),
+e AS (SELECT days.start_date, median(h.headcount) AS e FROM days JOIN eng h ON h.pub_date < days.start_date GROUP BY 1)
+SELECT id, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 WHEN d IS NOT NULL THEN 3 WHEN e IS NOT NULL THEN 4 ELSE 5 END::int AS level, round(coalesce(a, b, c, d, e), 4) AS estimate
+FROM lv JOIN eng USING (id) LEFT JOIN e USING (start_date)
 """
 
 
