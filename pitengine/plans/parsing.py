@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitengine.operators import jsonld
+from pitengine.session import new_path
+from pitengine.sources import dumps
 from pitengine.sources import records as R
 from pitengine.sources.tables import table
 
@@ -148,4 +150,29 @@ UNION ALL SELECT page, 0, NULL, 'BAD_JSON', NULL FROM p WHERE page % 9 = 8
 UNION ALL SELECT page, NULL, 'article:published_time', 'RESULT_PUBLICATION', day || 'T01:00:00Z' FROM p WHERE page % 4 = 0
 """
 
+def dump_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of four kinds written as archives and read back through the data source in ranges; broken records keep their problem."""
+    json = lambda **fields: F.to_json(F.struct(*(c.alias(k.replace("_", "-")) for k, c in fields.items())))
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    one = lambda df, kind, payload: df.select(F.lit(kind).alias("kind"), payload.alias("payload"))
+    c, s, o, n = (table(spark, d, t) for t in ("customer", "supplier", "orders", "nation"))
+    artist = F.struct(F.lit("artist").alias("target-type"), F.struct(key("a", "o_custkey").alias("id")).alias("artist"))
+    event = json(id=F.when(F.col("o_orderkey") % 89 != 0, key("e", "o_orderkey")), name=F.col("o_orderpriority"), begin_date=F.date_format("o_orderdate", "yyyy-MM-dd"), relations=F.array(artist, artist))
+    event = F.when(F.col("o_orderkey") % 97 == 0, F.substring(event, 1, 9)).otherwise(event)
+    rows = one(c, "artist", json(id=key("a", "c_custkey"), name=F.col("c_name"), type=F.col("c_mktsegment"))).unionByName(one(s, "place", json(id=key("p", "s_suppkey"), name=F.col("s_name"))))
+    rows = rows.unionByName(one(n, "area", json(id=key("n", "n_nationkey"), name=F.col("n_name")))).unionByName(one(o, "event", event))
+    folder = new_path(spark, "dump")
+    dumps.write_dump(rows, folder, 1 << 18).collect()  # a row per archive
+    found = dumps.read_dump(spark, folder, 1 << 16)
+    kind = F.regexp_extract("member", "dump/([a-z]+)-", 1)
+    return found.select(kind.alias("kind"), "id", "name", "type", "begin", F.array_join("related", ",").alias("related"), "problem")
+
+
+DUMP_ENTITIES = """
+SELECT 'artist' AS kind, 'a' || c_custkey AS id, c_name AS name, c_mktsegment AS type, NULL AS "begin", '' AS related, NULL AS problem FROM customer UNION ALL SELECT 'place', 'p' || s_suppkey, s_name, NULL, NULL, '', NULL FROM supplier
+UNION ALL SELECT 'area', 'n' || n_nationkey, n_name, NULL, NULL, '', NULL FROM nation
+UNION ALL SELECT 'event', CASE WHEN o_orderkey % 89 <> 0 THEN 'e' || o_orderkey END, o_orderpriority, NULL, strftime(o_orderdate, '%Y-%m-%d'), 'a' || o_custkey, CASE WHEN o_orderkey % 89 = 0 THEN 'NO_ID' END FROM orders WHERE o_orderkey % 97 <> 0
+UNION ALL SELECT 'event', NULL, NULL, NULL, NULL, '', 'BAD_JSON' FROM orders WHERE o_orderkey % 97 = 0
+"""
+
 QUERIES = {name.lower(): (globals()[name.lower()], globals()[name]) for name in list(globals()) if name.isupper() and name.lower() in globals()}
