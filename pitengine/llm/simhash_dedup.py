@@ -66,7 +66,7 @@ HOT = 2048
 #: Hot table values that may be broadcast (16 bytes each); with more of them the salts come by a shuffled join.
 HOT_BROADCAST = 50_000
 #: Rows, and comparisons, of a numpy block.
-BLOCK_ROWS, BLOCK_PAIRS = 50_000, 2_000_000
+BLOCK_ROWS, BLOCK_PAIRS = 50_000, 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED, block: int = 1 << 16) -> int:
@@ -222,22 +222,29 @@ class _Candidates(_Compare):
     def few(self, a, b, d, key):
         order = np.argsort(key, kind="stable")
         values, first, n = np.unique(key[order], return_index=True, return_counts=True)
-        crowded = np.zeros(len(key), bool)
-        out = []
-        # more than m pairs a node need 2 * m + 2 nodes
-        for k in np.flatnonzero((values >= 0) & (n > self.most * (2 * self.most + 2))).tolist():
+        kept, out = np.ones(len(key), bool), []
+        # table values that are crowded so far are written below -1; more than m pairs a node need 2 * m + 2 nodes
+        for k in np.flatnonzero((values < -1) | (values >= 0) & (n > self.most * (2 * self.most + 2))).tolist():
             own = order[first[k] : first[k] + n[k]]
-            nodes, low, _, _ = _once(a[own], b[own], d[own])
-            if len(low) > self.most * len(nodes):
-                crowded[own] = True
-                forest = _nearest(a[own], b[own], d[own])
-                out.append((*forest, np.full(len(forest[0]), values[k])))
-        rest = ~crowded
-        if rest.any():
-            nodes, low, high, d = _once(a[rest], b[rest], d[rest])
+            if values[k] >= 0:
+                nodes, low, _, _ = _once(a[own], b[own], d[own])
+                if len(low) <= self.most * len(nodes):
+                    continue
+            kept[own] = False
+            forest = _nearest(a[own], b[own], d[own])
+            out.append((*forest, np.full(len(forest[0]), values[k] if values[k] < 0 else -2 - values[k])))
+        if kept.any():
+            nodes, low, high, d = _once(a[kept], b[kept], d[kept])
             out.append((nodes[low], nodes[high], d, np.full(len(low), -1)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def block(self, *columns):
+        found = super().block(*columns)
+        if found is None:
+            return None
+        key = found.column("key").to_numpy()
+        return pa.RecordBatch.from_arrays([found.column("a"), found.column("b"), pa.array(np.where(key < -1, -2 - key, -1))], ["a", "b", "key"])
+
 
 def _links(batches, compare=None):
     compare = compare or _Compare()
@@ -408,7 +415,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: s
 
 def _far_pairs(words: np.ndarray, other: np.ndarray, most: int):
     """Pairs of places (in words, in other) that differ in ``most`` bits at most, in blocks."""
-    step = max(1, BLOCK_PAIRS // max(1, len(other)))
+    step = max(1, BLOCK_PAIRS // (2 * max(1, len(other))))
     for at in range(0, len(words), step):
         apart = np.bitwise_count((words[at : at + step, None] ^ other[None]).view(np.uint64)).sum(axis=2, dtype=np.int32)
         x, y = np.nonzero(apart <= most)

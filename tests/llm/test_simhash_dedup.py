@@ -169,7 +169,27 @@ def test_dense_groups_lose_no_link(spark):
     rows = dense_groups(4, 150, 150, 7, 11)
     want = plain_left(rows)
     got = {r.doc_id for r in S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert 4 < len(want) < 400 and got >= want and len(got - want) <= 0.02 * (len(rows) - len(want))
+    # what the bits of the fingerprints miss at similarities near 0.8 is all that may be left over
+    assert 4 < len(want) < 400 and got >= want and len(got - want) <= 0.01 * (len(rows) - len(want))
+
+
+def test_crowded_values_stay_marked():
+    """A crowded value's forest is handed on with the value, also after the forests of several blocks were merged."""
+    rnd = np.random.default_rng(5)
+    words = np.full(300, 7, np.int64) ^ (1 << rnd.integers(0, 40, 300))
+    node = np.arange(300)
+    for pairs in (10**6, 4000):
+        compare = S._Candidates(4)
+        key = np.concatenate([np.full(300, 5), np.full(300, 5), [9, 9]])
+        probe = np.concatenate([np.zeros(300, bool), np.ones(300, bool), [False, True]])
+        fp, own = np.concatenate([words, words, words[:2]]), np.concatenate([node, node, node[:2]])
+        before, S.BLOCK_PAIRS = S.BLOCK_PAIRS, pairs
+        try:
+            out = compare.block(key, probe, fp, own)
+        finally:
+            S.BLOCK_PAIRS = before
+        found = out.column("key").to_numpy()
+        assert set(found.tolist()) == {5, -1} and (found == 5).sum() == 299 and 1 <= (found == -1).sum() <= 4 * 301 + 1
 
 
 def test_crowds_give_the_same_as_pairs(spark):
