@@ -9,6 +9,7 @@ from pitengine.session import new_path
 from pitengine.sources import warehouse
 from pitengine.sources.tables import engagements, table
 from pitengine.streaming import streams as S
+from pitengine.streaming import tracked
 
 
 def stream_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +34,28 @@ def stream_minute_windows(spark: SparkSession, d: str) -> DataFrame:
 STREAM_MINUTE_WINDOWS = "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::bigint AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL"
 
 
+def stream_tracked(spark: SparkSession, d: str) -> DataFrame:
+    """Keys registered, compared from snapshot to snapshot and expired after two silent days, as a stream with timers."""
+    before = spark.conf.get(tracked.STORE, None)
+    spark.conf.set(tracked.STORE, tracked.PROVIDER)
+    try:
+        out = S.run_to_table(tracked.tracked_changes(S.event_stream(spark, f"{d}/events[.]parquet")), name="stream_tracked")
+    finally:
+        spark.conf.set(tracked.STORE, before) if before else spark.conf.unset(tracked.STORE)
+    return out.withColumn("moved", F.round("moved", 2))
+
+
+STREAM_TRACKED = f"""
+WITH e AS (SELECT user_id AS key, floor(epoch(ts))::bigint AS "at", event_id AS seq, event_type AS status, round(value, 2) AS price FROM events),
+w AS (SELECT *, lag("at") OVER p AS pat, lag(status) OVER p AS ps, lag(price) OVER p AS pp, lead("at") OVER p AS nat FROM e WINDOW p AS (PARTITION BY key ORDER BY "at", seq)),
+n AS (SELECT epoch(max(ts)) - 3600 AS mark FROM events)
+SELECT key, "at", 'REGISTERED' AS change, NULL AS old, status AS new, NULL::double AS moved FROM w WHERE pat IS NULL OR "at" > pat + {tracked.TTL_SECONDS}
+UNION ALL SELECT key, "at", 'STATUS', ps, status, NULL FROM w WHERE "at" <= pat + {tracked.TTL_SECONDS} AND status <> ps
+UNION ALL SELECT key, "at", 'PRICE', NULL, NULL, round(price - pp, 2) FROM w WHERE "at" <= pat + {tracked.TTL_SECONDS} AND price <> pp
+UNION ALL SELECT key, "at" + {tracked.TTL_SECONDS}, 'EXPIRED', status, NULL, NULL FROM w, n WHERE nat > "at" + {tracked.TTL_SECONDS} OR (nat IS NULL AND "at" + {tracked.TTL_SECONDS} + 1 <= mark)
+"""
+
+
 def parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Orders written by status as compressed Parquet, read back and counted; the status filter prunes folders."""
     table(spark, d, "orders").createOrReplaceTempView("roundtrip_orders")
