@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitengine.functions import valence as V
-from pitengine.operators import graph, selection, similar
-from pitengine.session import new_path
-from pitengine.sources import frozen
+from pitengine.operators import editions, folds, graph, selection, similar
+from pitengine.session import materialize, new_path
+from pitengine.sources import frozen, marts
 from pitengine.sources.tables import ENGAGEMENTS_SQL as ENG
 from pitengine.sources.tables import engagements, table
 
@@ -137,4 +137,94 @@ SELECT 'gross' AS of, NULL AS key, count(gross) AS n, round(median(gross), 4) AS
 UNION ALL SELECT 'status', status, count(gross), round(median(gross), 4) FROM eng GROUP BY status HAVING count(gross) > 0 UNION ALL SELECT 'headcount', status, count(headcount), round(median(headcount), 4) FROM eng GROUP BY status HAVING count(headcount) > 0
 """
 
+def incremental_mart(spark: SparkSession, d: str) -> DataFrame:
+    """A mart of orders per customer after three appends, each refresh reading its new files only; it equals a full rebuild."""
+    folder = new_path(spark, "mart")
+    mart = marts.Mart(folder, ("o_custkey",), sums=("o_totalprice",), ranges=("o_orderdate",))
+    orders = table(spark, d, "orders")
+    for k in range(3):
+        orders.where(F.col("o_orderkey") % 3 == k).write.mode("append").parquet(f"{folder}/source")
+        marts.refresh(spark, mart, f"{folder}/source")
+    log = marts.runs(spark, mart).where("status = 'REFRESHED'").agg(F.sum("rows_read").alias("rows_read"), F.max("version").alias("version"))
+    out = marts.read(spark, mart).crossJoin(F.broadcast(log))  # log is one row
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return out.select("o_custkey", "n", F.round("sum_o_totalprice", 2).alias("total"), F.floor("mean_o_totalprice").alias("mean"), day("low_o_orderdate").alias("first_day"), day("high_o_orderdate").alias("last_day"), "rows_read", "version")
+
+
+INCREMENTAL_MART = """
+SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, floor(avg(o_totalprice))::bigint AS mean, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day,
+  (SELECT count(*) FROM orders) AS rows_read, '3' AS version FROM orders GROUP BY 1
+"""
+
+FOLDS = 5
+
+
+def group_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in five folds that share no group of near balances within a market, nor of nearer ones within a series."""
+    c = table(spark, d, "customer").select("c_custkey", F.concat_ws("|", "c_nationkey", F.floor(F.col("c_acctbal") / 40)).alias("a"), F.concat_ws("|", "c_mktsegment", F.floor(F.col("c_acctbal") / 20)).alias("b"))
+    out = folds.group_folds(c, ["a", "b"], FOLDS)
+    size = out.groupBy("component").agg(F.count("*").alias("size"))
+    return out.join(size, "component").select("c_custkey", "fold", "size")
+
+
+GROUP_FOLDS = f"""
+WITH RECURSIVE g AS (SELECT c_custkey AS k, '000:' || c_nationkey || '|' || floor(c_acctbal / 40)::bigint AS a, '001:' || c_mktsegment || '|' || floor(c_acctbal / 20)::bigint AS b FROM customer),
+e AS (SELECT a AS x, b AS y FROM g UNION SELECT b, a FROM g), r(v, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.v), m AS (SELECT v, min(root) AS root FROM r GROUP BY v),
+s AS (SELECT root, count(*) AS size FROM g JOIN m ON v = a GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, root) - 1 AS place FROM s)
+SELECT k AS c_custkey, CASE WHEN place // {FOLDS} % 2 = 0 THEN place % {FOLDS} ELSE {FOLDS - 1} - place % {FOLDS} END::int AS fold, size FROM g JOIN m ON v = a JOIN o USING (root)
+"""
+
+
+def time_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Engagements cut in time at the day of the row at four fifths of all; later ones test."""
+    out = folds.time_cut(engagements(spark, d).withColumn("day", F.when(F.col("id") % 20 != 3, F.col("start_date"))), "day")
+    return out.groupBy("part").agg(F.count("*").alias("n"), F.count("day").alias("dated"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+TIME_CUT = ENG + """, s AS (SELECT id, CASE WHEN id % 20 <> 3 THEN start_date END AS day FROM eng), o AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS place, count(*) OVER () AS n FROM s WHERE day IS NOT NULL),
+c AS (SELECT day AS cut FROM o WHERE place = floor(n * 0.8))
+SELECT CASE WHEN day <= cut THEN 'TRAIN' ELSE 'TEST' END AS part, count(*) AS n, count(day) AS dated, min(day) AS first_day, max(day) AS last_day FROM s, c GROUP BY 1
+"""
+
+
+def _lineup(spark: SparkSession, d: str) -> DataFrame:
+    """Customers billed in their series and market by year, with what they spent; attention is known for four of five."""
+    e = engagements(spark, d).where("start_date IS NOT NULL").groupBy("series", "market", F.year("start_date").alias("year"), "entity").agg(F.round(F.sum("gross"), 0).cast("long").alias("spent"))
+    return e.select(F.concat_ws(" ", "series", "market").alias("festival"), "year", "entity", "spent", F.when(F.col("entity") % 5 != 0, F.col("spent")).alias("attention"))
+
+
+_lineup_sql = ENG + """, lineup AS (SELECT series || ' ' || market AS festival, year(start_date)::int AS year, entity, round(sum(gross))::bigint AS spent FROM eng WHERE start_date IS NOT NULL GROUP BY ALL)"""
+
+
+def billing_trajectory(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's tier in a festival by year: entries, moves, missed years and unbroken runs."""
+    tier = F.when(F.col("spent") >= 300_000, 1).when(F.col("spent") >= 150_000, 2).otherwise(3)
+    billed = _lineup(spark, d).select("festival", "entity", "year", tier.alias("tier"))
+    return editions.trajectories(billed, ["festival", "entity"])
+
+
+BILLING_TRAJECTORY = _lineup_sql + """, t AS (SELECT festival, entity, year, CASE WHEN spent >= 300000 THEN 1 WHEN spent >= 150000 THEN 2 ELSE 3 END AS tier FROM lineup),
+w AS (SELECT *, lag(year) OVER p AS before, lag(tier) OVER p AS last, year - row_number() OVER p AS island FROM t WINDOW p AS (PARTITION BY festival, entity ORDER BY year))
+SELECT festival, entity, year, tier, coalesce(year - before - 1, 0)::int AS gap, CASE WHEN before IS NULL THEN 'ENTRY' WHEN year > before + 1 THEN 'RETURN' WHEN tier < last THEN 'UP' WHEN tier > last THEN 'DOWN' ELSE 'SAME' END AS move,
+  dense_rank() OVER (PARTITION BY festival, entity ORDER BY island)::int AS run FROM w
+"""
+
+
+def edition_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of editions after new rows came in: only editions whose own or compared inputs changed are computed again."""
+    lineup = _lineup(spark, d).drop("spent")
+    before = lineup.where("NOT (year = 1996 AND entity % 7 = 0)")
+    stored = materialize(editions.edition_metrics(before, editions.input_hashes(before)), "edition_metrics")
+    out = editions.refreshed_metrics(lineup, stored)
+    return out.select("festival", "year", "compared", "artists", F.round("coverage", 6).alias("coverage"), F.round("hhi", 6).alias("hhi"), F.round("jaccard", 6).alias("jaccard"), "missing", "recomputed")
+
+
+EDITION_METRICS = _lineup_sql + """, l AS (SELECT festival, year, entity, CASE WHEN entity % 5 <> 0 THEN spent END AS attention FROM lineup),
+m AS (SELECT festival, year, count(*) AS artists, count(attention) AS known, sum(attention::double * attention) / nullif(sum(attention::double) ** 2, 0) AS hhi, bool_or(year = 1996 AND entity % 7 = 0) AS touched, bool_and(year = 1996 AND entity % 7 = 0) AS new FROM l GROUP BY ALL),
+c AS (SELECT *, lag(year) OVER p AS compared, lag(touched) OVER p AS other, lag(artists) OVER p AS others, lag(year) OVER p IS DISTINCT FROM (CASE WHEN lag(new) OVER p THEN lag(year, 2) OVER p ELSE lag(year) OVER p END) AS moved FROM m WINDOW p AS (PARTITION BY festival ORDER BY year)),
+s AS (SELECT a.festival, a.year, count(*) AS shared FROM l a JOIN c USING (festival, year) JOIN l b ON b.festival = a.festival AND b.year = c.compared AND b.entity = a.entity GROUP BY ALL)
+SELECT festival, year, compared, artists, round(known / artists, 6) AS coverage, round(hhi, 6) AS hhi, CASE WHEN compared IS NOT NULL THEN round(coalesce(shared, 0) / (artists + others - coalesce(shared, 0)), 6) END AS jaccard,
+  known = 0 AS missing, touched OR coalesce(other, false) OR moved AS recomputed FROM c LEFT JOIN s USING (festival, year)
+"""
+
 QUERIES = {name.lower(): (globals()[name.lower()], globals()[name]) for name in list(globals()) if name.isupper() and name.lower() in globals()}
