@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pitengine.plans import audit, evidence, extract, history, identity, lab, ledger, parsing, reports, streams, terminal, values, writes
+from pitengine.plans import audit, evidence, extract, history, identity, lab, ledger, parsing, product, reports, streams, terminal, values, writes
 
-FAMILIES = (history, ledger, audit, reports, terminal, values, writes, identity, extract, parsing, evidence, lab, streams)
+FAMILIES = (history, ledger, audit, reports, terminal, values, writes, identity, extract, parsing, evidence, product, lab, streams)
 QUERIES = {name: run for family in FAMILIES for name, (run, _) in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}

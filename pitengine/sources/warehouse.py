@@ -103,6 +103,14 @@ def _fs(spark: SparkSession, folder: str):
     return path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """Renames over target in one step: a reader finds the old file or the new one."""
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, options)
+
+
 def versions(spark: SparkSession, folder: str) -> list[str]:
     """Complete versions from the oldest: numbers in their order, then other names. Spark's _SUCCESS marker is written last."""
     fs, path = _fs(spark, folder)
@@ -128,15 +136,14 @@ def publish(df: DataFrame, folder: str, version: str, keep: int = 3, drop: Seque
     stream = fs.create(path("CURRENT.new"), True)
     stream.write(version.encode())
     stream.close()
-    fs.delete(path("CURRENT"), False)
-    fs.rename(path("CURRENT.new"), path("CURRENT"))
+    _replace(spark, path("CURRENT.new"), path("CURRENT"))
     for old in [v for v in versions(spark, folder) if v != version][: -(keep - 1) or None]:
         fs.delete(path(f"version={old}"), True)
     return back
 
 
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
-    """The version that CURRENT names; the newest complete one where a writer was lost between the two renames."""
+    """The version that CURRENT names; the newest complete one of a folder that has no such file or names a version that is gone."""
     fs, path = _fs(spark, folder)
     found = versions(spark, folder)
     if not found:
