@@ -49,7 +49,10 @@ def mapped_headers(headers: DataFrame, fields: Mapping[str, tuple[str, ...]]) ->
 
 def table_rows(lines: DataFrame, fields: Mapping[str, tuple[str, ...]]) -> DataFrame:
     """file, line and the fields (text, NULL where a file has no such column) of all lines behind each file's header line."""
-    split = lines.join(delimiters(lines), "file").withColumn("cells", F.transform(F.split("text", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E"))), lambda x: F.trim(x)))
+    # a delimiter counts where an even number of quotes follows it
+    where = F.concat(F.lit("\\Q"), "delimiter", F.lit(r"\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
+    bare = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    split = lines.join(delimiters(lines), "file").withColumn("cells", F.transform(F.split("text", where), lambda x: bare(F.trim(x))))
     head = split.where("line = 0").select("file", F.posexplode("cells").alias("at", "header"))
     placed = mapped_headers(head, fields).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("field", "at"))).alias("places"))
     body = split.where("line > 0").join(placed, "file")
