@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitengine.functions import intents
 from pitengine.operators import verify
 from pitengine.sources import delimited
 from pitengine.sources.tables import table
@@ -139,4 +140,52 @@ def partner_files(spark: SparkSession, d: str) -> DataFrame:
 
 PARTNER_FILES = "SELECT c_nationkey::bigint AS file, c_custkey + 1 AS line, c_custkey::varchar AS customer_key, round(c_acctbal, 2) AS gross, c_mktsegment AS tour_name, NULL AS capacity FROM customer"
 
+#: What turns say in turn, beside their own text.
+PHRASES = ("bought a ticket, who's going?", "how much are the tickets", "too expensive, overpriced even", "you should see them", "can't wait to hear this", "on sale at face value", "worth it, highly recommend", "just words", "presale fomo")
+
+
+def all_intents(spark: SparkSession, d: str) -> DataFrame:
+    """Each intent of each conversation turn, with the number of patterns that fit and the first of them; shares by role and intent."""
+    turns = table(spark, d, "conversations")
+    said = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(PHRASES) + 1).cast("int"))
+    rows = turns.select("role", F.explode(intents.intents(F.concat_ws(" ", "text", said))).alias("i"))
+    hit = F.col("i.label") != "no_signal"
+    return rows.groupBy("role", F.col("i.task").alias("task")).agg(F.count("*").alias("turns"), F.count_if(hit).alias("hits"), F.sum(F.size("i.hits")).alias("patterns"), F.min(F.get("i.hits", F.lit(0))).alias("first"))
+
+
+_said = "concat_ws(' ', text, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in PHRASES) + f"][(conv_id + turn) % {len(PHRASES)} + 1])"
+_fit = lambda p: "regexp_matches(said, '" + p.replace("'", "''") + "')"
+ALL_INTENTS = f"WITH t AS (SELECT role, lower({_said}) AS said FROM conversations) " + " UNION ALL ".join(
+    f"SELECT role, '{task}' AS task, count(*) AS turns, count(*) FILTER ({' OR '.join(map(_fit, ps))}) AS hits, sum({' + '.join(_fit(p) + '::int' for p in ps)})::bigint AS patterns, "
+    f"min(CASE {' '.join(f'WHEN {_fit(p)} THEN {k}' for k, p in enumerate(ps))} END)::int AS first FROM t GROUP BY role"
+    for task, ps in intents.INTENTS.items()
+)
+
+
+def candidate_states(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers held against customers by the digits of their names: resolved from 0.9 up unless the next is within 0.08, else ambiguous;
+    unresolved below, no match without candidates. Every state occurs."""
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    k = F.col("s_suppkey")
+    # how far apart the digits may be, and what such a candidate scores
+    probe = lambda off, score: F.struct((F.substring("s_name", -9, 9).cast("long") + off).alias("digits"), F.lit(score).alias("score"))
+    probes = F.array_compact(F.array(F.when((k % 5 != 0) & (k % 7 != 0), probe(0, 1.0)), F.when((k % 3 == 0) & (k % 7 != 0), probe(1, 0.96)), F.when((k % 3 == 1) & (k % 7 != 0), probe(2, 0.75)), F.when((k % 5 == 0) & (k % 7 != 0), probe(3, 0.6))))
+    digits = c.select("c_custkey", F.substring("c_name", -9, 9).cast("long").alias("digits"))
+    pairs = s.select("s_suppkey", F.explode(probes).alias("p")).select("s_suppkey", "p.*").join(digits, "digits")
+    best = F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.desc("score"), "c_custkey"))
+    two = pairs.withColumn("place", best).groupBy("s_suppkey").agg(F.count("*").alias("candidates"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("place") == 1, F.col("c_custkey"))).alias("first"))
+    sure, clear = F.col("score") >= 0.9, F.col("score") - F.coalesce("second", F.lit(0.0)) >= 0.08
+    state = F.when(F.col("score").isNull(), "NO_MATCH").when(sure & clear, "RESOLVED").when(sure, "AMBIGUOUS").otherwise("UNRESOLVED")
+    return s.select("s_suppkey").join(two, "s_suppkey", "left").select("s_suppkey", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), "score", "second", state.alias("state"), F.when(state == "RESOLVED", F.col("first")).alias("match"))
+
+
+CANDIDATE_STATES = """
+WITH p(off, score) AS (VALUES (0, 1.0::double), (1, 0.96::double), (2, 0.75::double), (3, 0.6::double)),
+c AS (SELECT s_suppkey, c_custkey, score FROM supplier JOIN p ON s_suppkey % 7 <> 0 AND CASE off WHEN 0 THEN s_suppkey % 5 <> 0 WHEN 1 THEN s_suppkey % 3 = 0 WHEN 2 THEN s_suppkey % 3 = 1 ELSE s_suppkey % 5 = 0 END JOIN customer ON c_name[-9:]::bigint = s_name[-9:]::bigint + off),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey) AS k FROM c),
+b AS (SELECT s_suppkey, count(*) AS candidates, max(score) FILTER (k = 1) AS score, max(score) FILTER (k = 2) AS second, max(c_custkey) FILTER (k = 1) AS first FROM r GROUP BY 1),
+t AS (SELECT s.s_suppkey, coalesce(candidates, 0) AS candidates, score, second, first, CASE WHEN score IS NULL THEN 'NO_MATCH' WHEN score >= 0.9 AND score - coalesce(second, 0) >= 0.08 THEN 'RESOLVED' WHEN score >= 0.9 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS state FROM supplier s LEFT JOIN b USING (s_suppkey))
+SELECT s_suppkey, candidates, score, second, state, CASE WHEN state = 'RESOLVED' THEN first END AS match FROM t
+"""
+
 QUERIES = {name.lower(): (globals()[name.lower()], globals()[name]) for name in list(globals()) if name.isupper() and name.lower() in globals()}
