@@ -156,13 +156,13 @@ SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, floor(avg
   (SELECT count(*) FROM orders) AS rows_read, '3' AS version FROM orders GROUP BY 1
 """
 
-FOLDS = 5
+HOW_MANY = 5
 
 
 def group_folds(spark: SparkSession, d: str) -> DataFrame:
     """Customers in five folds that share no group of near balances within a market, nor of nearer ones within a series."""
     c = table(spark, d, "customer").select("c_custkey", F.concat_ws("|", "c_nationkey", F.floor(F.col("c_acctbal") / 40)).alias("a"), F.concat_ws("|", "c_mktsegment", F.floor(F.col("c_acctbal") / 20)).alias("b"))
-    out = folds.group_folds(c, ["a", "b"], FOLDS)
+    out = folds.group_folds(c, ["a", "b"], HOW_MANY)
     size = out.groupBy("component").agg(F.count("*").alias("size"))
     return out.join(size, "component").select("c_custkey", "fold", "size")
 
@@ -171,7 +171,7 @@ GROUP_FOLDS = f"""
 WITH RECURSIVE g AS (SELECT c_custkey AS k, '000:' || c_nationkey || '|' || floor(c_acctbal / 40)::bigint AS a, '001:' || c_mktsegment || '|' || floor(c_acctbal / 20)::bigint AS b FROM customer),
 e AS (SELECT a AS x, b AS y FROM g UNION SELECT b, a FROM g), r(v, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.v), m AS (SELECT v, min(root) AS root FROM r GROUP BY v),
 s AS (SELECT root, count(*) AS size FROM g JOIN m ON v = a GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, root) - 1 AS place FROM s)
-SELECT k AS c_custkey, CASE WHEN place // {FOLDS} % 2 = 0 THEN place % {FOLDS} ELSE {FOLDS - 1} - place % {FOLDS} END::int AS fold, size FROM g JOIN m ON v = a JOIN o USING (root)
+SELECT k AS c_custkey, CASE WHEN place // {HOW_MANY} % 2 = 0 THEN place % {HOW_MANY} ELSE {HOW_MANY - 1} - place % {HOW_MANY} END::int AS fold, size FROM g JOIN m ON v = a JOIN o USING (root)
 """
 
 
