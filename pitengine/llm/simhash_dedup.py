@@ -176,6 +176,10 @@ class _Compare:
         """What is handed on of the links (a, b) at distances d under table values key."""
         return (*_forest(a, b), d[:0], key[:0])
 
+    def fresh(self, first, last, a, b):
+        """Which of the links (a, b) under table values first to last are looked at."""
+        return slice(None)
+
     def __init__(self):
         self.key, self.fp, self.node = None, np.zeros(0, np.int64), np.zeros(0, np.int64)  # stored under the last value seen
 
@@ -198,7 +202,9 @@ class _Compare:
             distance = np.bitwise_count((own_fp[mine] ^ fps[theirs]).view(np.uint64))
             near = distance <= self.radius
             near &= own_node[mine] != nodes[theirs]
-            if near.any():
+            near = np.flatnonzero(near)
+            near = near[self.fresh(own_key[at], own_key[to - 1], own_node[mine[near]], nodes[theirs[near]])]
+            if len(near):
                 found.append(self.few(own_node[mine[near]], nodes[theirs[near]], distance[near], own_key[mine[near]]))
             at = to
         if len(key):
@@ -218,6 +224,16 @@ class _Candidates(_Compare):
     def __init__(self, most: int = FEW):
         super().__init__()
         self.most = most
+        self.joined = (None, np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last crowded value, its nodes and their roots
+
+    def fresh(self, first, last, a, b):
+        """Pairs that the forest of the value's blocks so far doesn't join already."""
+        value, nodes, roots = self.joined
+        if first != value or last != value:
+            return slice(None)
+        at = [np.minimum(np.searchsorted(nodes, x), len(nodes) - 1) for x in (a, b)]
+        known = (nodes[at[0]] == a) & (nodes[at[1]] == b)
+        return ~known | (roots[at[0]] != roots[at[1]])
 
     def few(self, a, b, d, key):
         order = np.argsort(key, kind="stable")
@@ -233,11 +249,22 @@ class _Candidates(_Compare):
             kept[own] = False
             forest = _nearest(a[own], b[own], d[own])
             out.append((*forest, np.full(len(forest[0]), values[k] if values[k] < 0 else -2 - values[k])))
+            if values[k] >= 0:
+                self._join(values[k], *forest[:2])
         if kept.any():
             nodes, low, high, d = _once(a[kept], b[kept], d[kept])
             out.append((nodes[low], nodes[high], d, np.full(len(low), -1)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def _join(self, value, a, b):
+        old = self.joined
+        if old[0] == value:
+            a, b = np.concatenate([a, old[1]]), np.concatenate([b, old[2]])
+        members, roots = _forest(a, b)
+        nodes = np.concatenate([members, np.unique(roots)])
+        order = np.argsort(nodes)
+        self.joined = (value, nodes[order], np.concatenate([roots, np.unique(roots)])[order])
+
     def block(self, *columns):
         found = super().block(*columns)
         if found is None:
@@ -427,12 +454,20 @@ def _across(group: pa.Table, few: int) -> pa.Table:
     probe, node, root = (group.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "node", "root"))
     words = pa.concat_arrays(group.column("words").chunks).flatten().to_numpy().reshape(-1, WORDS)
     own, stored = np.flatnonzero(probe), np.flatnonzero(~probe)
-    found = [(own[x][new], stored[y][new]) for x, y in _far_pairs(words[own], words[stored], WIDE_DISTANCE) if (new := root[own[x]] != root[stored[y]]).any()]
-    x, y = (np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
-    a, b, key = node[x], node[y], np.full(len(x), -1)
-    crowd = np.unique(np.concatenate([a, b]))
-    if len(a) > few * len(crowd):
+    met, found, n = np.zeros(len(node), bool), [], 0
+    for x, y in _far_pairs(words[own], words[stored], WIDE_DISTANCE):
+        new = root[own[x]] != root[stored[y]]
+        x, y = own[x[new]], stored[y[new]]
+        met[x] = met[y] = True
+        n += len(x)
+        # more than few for each node there is: crowded whatever comes, and the pairs need not be held
+        found = found + [(x, y)] if n <= few * len(node) else []
+    crowd = np.unique(node[met])
+    if n > few * len(crowd):
         a, b, key = crowd, crowd, np.full(len(crowd), group.column("key")[0].as_py())
+    else:
+        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found) if found else ((), ())))
+        a, b, key = node[x], node[y], np.full(len(x), -1)
     return pa.table({"a": pa.array(a), "b": pa.array(b), "key": pa.array(key, pa.int64())})
 
 
@@ -441,12 +476,14 @@ def _linked_in_crowd(group: pa.Table) -> pa.Table:
     node, root = (group.column(c).to_numpy() for c in ("node", "root"))
     words = pa.concat_arrays(group.column("words").chunks).flatten().to_numpy().reshape(-1, WORDS)
     sets = [np.array(x) for x in group.column("shingles").to_pylist()]
-    _, label = np.unique(root, return_inverse=True)
+    size, (_, label) = np.array([len(x) for x in sets]), np.unique(root, return_inverse=True)
     part, whole = LEAST_SHARED
     out = []
     for x, y in _far_pairs(words, words, WIDE_DISTANCE):
-        for i, j in zip(x.tolist(), y.tolist()):
-            if label[i] == label[j] or part * max(len(sets[i]), len(sets[j])) > whole * min(len(sets[i]), len(sets[j])):
+        # each pair once, of sets whose sizes allow the similarity
+        able = (x < y) & (label[x] != label[y]) & (part * np.maximum(size[x], size[y]) <= whole * np.minimum(size[x], size[y]))
+        for i, j in zip(x[able].tolist(), y[able].tolist()):
+            if label[i] == label[j]:
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if whole * shared >= part * (len(sets[i]) + len(sets[j]) - shared):
@@ -463,16 +500,19 @@ def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
     dealt = _dealt(entries)
     found = materialize(dealt.mapInArrow(lambda batches: _links(batches, _Candidates(few)), "a long, b long, key long"), "pairs")
     linked = _verified(docs, classes, found, text_col, shingle)
-    crowded = found.where("key >= 0").select("key").distinct()
-    if crowded.isEmpty():
+    forests = found.where("key >= 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key")
+    # a forest spans its value's candidates: only where it has a link between components may there be more to find
+    unproved = materialize(forests.join(linked, ["a", "b"], "left_anti"), "unproved_links")
+    if unproved.isEmpty():
         return linked
 
     roots = components(linked)
-    members = dealt.select("key", "probe", "node").join(crowded, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members, "crowded_members")
-    mixed = members.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = unproved.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    mixed = materialize(ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct(), "mixed_values")
+    members = dealt.select("key", "probe", "node").join(mixed, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     words = classes.select("node", "words")
-    left = members.join(mixed, "key", "left_semi").join(words, "node")
+    left = members.join(words, "node")
     across = materialize(left.groupBy("key").applyInArrow(lambda group: _across(group, few), "a long, b long, key long"), "pairs_across")
     linked = linked.union(_verified(docs, classes, across.where("key < 0"), text_col, shingle))
     crowd = across.where("key >= 0").select("key", F.col("a").alias("node"))
