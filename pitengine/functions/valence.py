@@ -1,7 +1,7 @@
 """Valence of texts from a word list, with the words before each hit: negations, boosters and a contrast.
 
-A text's words are laid out with their neighbours and joined with the list (broadcast, as its size is the user's own list); partial sums leave
-one row per text before the shuffle. A hit's valence is raised or lowered by boosters up to three words before it, less so with the distance; turned
+A text's words are laid out once with their neighbours (of the built-in list only its hits) and joined with the list (broadcast, as its
+size is the user's own list); partial sums leave one row per text before the shuffle. A hit's valence is raised or lowered by boosters up to three words before it, less so with the distance; turned
 and damped by a negation there; halved before the text's last ``but`` and raised by a half behind it. The sum s of a text becomes
 s / sqrt(s * s + ``SPREAD``), between -1 and 1.
 """
@@ -40,12 +40,19 @@ def valence_scores(texts: DataFrame, lexicon: DataFrame | None = None) -> DataFr
     """id, hits, valence (-1 to 1, NULL without a listed word) and label of texts (id, text), one row per row."""
     spark = texts.sparkSession
     listed = spark.createDataFrame(sorted(LEXICON.items()), "word string, weight double") if lexicon is None else lexicon
-    rows = texts.select("id", F.monotonically_increasing_id().alias("_row"), words(F.col("text")).alias("w"))
-    # the last "but" of a text, from 0; -1 without one
-    but = F.coalesce(F.array_max(F.transform("w", lambda x, k: F.when(x == "but", k))), F.lit(-1))
-    # each word with its three predecessors, so that no row carries the whole text
-    near = F.transform("w", lambda x, k: F.struct(k.alias("at"), x.alias("word"), *(F.get(F.col("w"), k - j).alias(f"b{j}") for j in (1, 2, 3))))
-    each = rows.select("id", "_row", but.alias("but"), F.explode_outer(near).alias("x")).select("id", "_row", "but", "x.*")
+    listing = F.lit(True) if lexicon is not None else None  # a list of the user's own is left to the join
+
+    def near(w):
+        """The last "but" (from 0; -1 without one), and listed words with their three predecessors, so that no row carries the whole text."""
+        at = F.transform(w, lambda x, k: F.when(x.isin(*LEXICON) if listing is None else listing, k))
+        hits = F.transform(F.array_compact(at), lambda k: F.struct(k.alias("at"), F.get(w, k).alias("word"), *(F.get(w, k - j).alias(f"b{j}") for j in (1, 2, 3))))
+        but = F.coalesce(F.array_max(F.transform(w, lambda x, k: F.when(x == "but", k))), F.lit(-1))
+        return F.struct(but.alias("but"), hits.alias("hits"))
+
+    # bound as the variable of an outer function: a text is cut into words once, not once per word
+    laid = F.transform(F.array(words(F.col("text"))), near)
+    rows = texts.select("id", F.monotonically_increasing_id().alias("_row"), F.explode(laid).alias("x"))
+    each = rows.select("id", "_row", F.col("x.but").alias("but"), F.explode_outer("x.hits").alias("h")).select("id", "_row", "but", "h.*")
     hits = each.join(F.broadcast(listed), "word", "left")
     push = sum((F.when(F.col(f"b{k}").isin(*RAISING), BOOST).when(F.col(f"b{k}").isin(*LOWERING), -BOOST).otherwise(0.0) * damped for k, damped in zip((1, 2, 3), DAMPED)), F.lit(0.0))
     value = F.col("weight") + F.signum("weight") * push

@@ -1,6 +1,7 @@
 """Components, similarity join, exact selection, frozen corpora and valence at their edges."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,15 @@ def test_valence_with_context(spark):
     assert v(1) < 0 < v(3) < v(0) < v(2) and v(4) < 0 < v(5) and v(6) < 0
     assert round(v(0), 6) == round(1.9 / (1.9**2 + 15) ** 0.5, 6) and got[0].label == "positive" and got[1].label == "negative"
     assert [(got[k].hits, got[k].valence, got[k].label) for k in (7, 8, 9)] == [(0, None, None)] * 3 and 0.99 < v(10) <= 1
+
+
+def test_valence_of_a_long_text_is_linear(spark):
+    """A text of 40,000 words is cut into words once; done once per word, this takes minutes."""
+    long = spark.createDataFrame([(1, "plain words " * 20_000 + "not good but great")], "id long, text string")
+    start = time.monotonic()
+    row = V.valence_scores(long).first()
+    assert time.monotonic() - start < 20 and row.hits == 2
+    s = 1.9 * -0.74 * 0.5 + 3.1 * 1.5 * -0.74  # "not" stands up to three words before both
+    assert round(row.valence, 9) == round(s / (s * s + 15) ** 0.5, 9)
+    mine = spark.createDataFrame([("plain", 2.0), ("unseen", 1.0)], "word string, weight double")
+    assert V.valence_scores(spark.createDataFrame([(1, "a plain, not plain one good"), (2, "none")], "id long, text string"), mine).orderBy("id").first().hits == 2
