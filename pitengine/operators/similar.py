@@ -5,16 +5,29 @@ all but Q * d of a name's grams, d being the most edits that a partner of it may
 rarest first, two such names share one among the first Q * d + 1 of each: only these few rare grams are indexed, and a hot gram is in
 hardly any prefix. Pairs that meet there pass a length filter and are verified by the banded ``levenshtein``. No pair is lost for
 ``least`` above 1/2 (a name has more grams than edits can change); nothing is sampled or capped.
+
+A low ``least`` or a language of few syllables makes prefixes nearly whole names, and most names meet. Where the prefixes' own counts say that
+more than one pair in ``OFTEN`` would, all pairs are held against the least number of grams to share instead, as products of count vectors
+of two blocks of ``BLOCK`` names a task. Grams that fall into one of ``SLOTS`` only raise a product, so this too loses no pair; its memory is that
+of two blocks, its time grows with the square of the distinct names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitengine.session import materialize
 
 Q = 2
+BLOCK, SLOTS, OFTEN = 4096, 2048, 50
+#: Most partitions that pairs of blocks are dealt over.
+PARTITIONS = 1000
 
 
 def grams(name):
@@ -33,17 +46,76 @@ def _prefixes(names: DataFrame, frequency: DataFrame, least: float) -> DataFrame
     return first.select("name", F.col("g.gram").alias("gram"))
 
 
+def _vectors(names: list[str]) -> np.ndarray:
+    """Counts of a name's grams (a repeated one counts as another gram) by slot."""
+    out, slots = np.zeros((len(names), SLOTS), np.float32), {}
+    for row, name in enumerate(names):
+        padded, seen = "\x02" * (Q - 1) + name + "\x03" * (Q - 1), Counter()
+        for k in range(len(padded) - Q + 1):
+            gram = padded[k : k + Q]
+            seen[gram] += 1
+            key = gram, seen[gram]
+            if key not in slots:
+                slots[key] = crc32(f"{gram}{seen[gram]}".encode()) % SLOTS
+            out[row, slots[key]] += 1
+    return out
+
+
+def _met_in_blocks(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a and b of all pairs that share grams enough; of one and the same table, a pair of two blocks comes one way."""
+    same = left is right
+    blocks = [-(-side.count() // BLOCK) for side in (left, right)]
+    cut = lambda side, n, name: side.select(F.col("name").alias(name), F.pmod(F.xxhash64("name"), F.lit(max(n, 1))).cast("int").alias("own"))
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    a = cut(left, blocks[0], "a").select(F.col("own").alias("i"), others(blocks[1]).alias("j"), "a")
+    b = cut(right, blocks[1], "b").select(others(blocks[0]).alias("i"), F.col("own").alias("j"), "b")
+    if same:
+        a, b = a.where("i <= j"), b.where("i <= j")
+
+    def meet(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        names, more = x.column("a").to_pylist(), y.column("b").to_pylist()
+        if not names or not more:
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+        u, v, m, n = _vectors(names), _vectors(more).T, np.array([len(w) for w in names]), np.array([len(w) for w in more])
+        lengths = np.arange(max(m.max(), n.max()) + 1)
+        need = (lengths + Q - 1 - Q * np.floor((1 - least) * lengths + 1e-9)).astype(np.float32)
+        rows, columns = [], []
+        for start in range(0, len(names), 512):
+            longer = np.maximum.outer(m[start : start + 512], n)
+            hit = (u[start : start + 512] @ v >= need[longer]) & (np.minimum.outer(m[start : start + 512], n) >= least * longer - 1e-9)
+            r, c = np.nonzero(hit)
+            rows.append(r + start)
+            columns.append(c)
+        r, c = np.concatenate(rows), np.concatenate(columns)
+        left_names, right_names = pa.array(names, pa.string()).take(pa.array(r)), pa.array(more, pa.string()).take(pa.array(c))
+        return pa.table({"a": left_names, "b": right_names})
+
+    # a number of its own: few bytes of names are much work, and would be laid together in one task
+    n = min(blocks[0] * blocks[1] + 1, PARTITIONS)
+    a, b = (side.repartition(n, "i", "j") for side in (a, b))
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(meet, "a string, b string")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """a, b and similarity of all similar pairs of distinct names, a of left and b of right (one column ``name`` each); empty names match nothing."""
     if not 0.5 < least <= 1:
         raise ValueError("least must be above 1/2")
-    sides = [materialize(side.select("name").where("name <> ''").distinct().withColumn("grams", grams(F.col("name"))), "name_grams") for side in (left, right)]
+    tables = {id(side): materialize(side.select("name").where("name <> ''").distinct().withColumn("grams", grams(F.col("name"))), "name_grams") for side in (left, right)}
+    sides = [tables[id(side)] for side in (left, right)]
     both = sides[0].unionByName(sides[1])
     frequency = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    a, b = (_prefixes(side, frequency, least) for side in sides)
-    met = a.withColumnRenamed("name", "a").join(b.withColumnRenamed("name", "b"), "gram")
+    a, b = (materialize(_prefixes(side, frequency, least), "name_prefixes") for side in sides)
+    count = lambda side, n: side.groupBy("gram").agg(F.count("*").alias(n))
+    meetings = count(a, "m").join(count(b, "n"), "gram").agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0
     longer = F.greatest(F.length("a"), F.length("b"))
-    near = met.where(F.least(F.length("a"), F.length("b")) >= least * longer - 1e-9).select("a", "b").distinct()
     most = F.floor((1 - least) * longer + 1e-9)
-    near = near.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= most)
-    return near.select("a", "b", (1 - F.col("edits") / longer).alias("similarity"))
+    near = lambda met: met.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= most)
+    if meetings * OFTEN > sides[0].count() * sides[1].count():
+        found = near(_met_in_blocks(*sides, least))
+        if sides[0] is sides[1]:  # a pair of two blocks has come one way
+            found = materialize(found, "similar_names")
+            found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "edits")).distinct()
+    else:
+        met = a.withColumnRenamed("name", "a").join(b.withColumnRenamed("name", "b"), "gram")
+        found = near(met.where(F.least(F.length("a"), F.length("b")) >= least * longer - 1e-9).select("a", "b").distinct())
+    return found.select("a", "b", (1 - F.col("edits") / longer).alias("similarity"))

@@ -120,3 +120,20 @@ def test_valence_of_a_long_text_is_linear(spark):
     assert round(row.valence, 9) == round(s / (s * s + 15) ** 0.5, 9)
     mine = spark.createDataFrame([("plain", 2.0), ("unseen", 1.0)], "word string, weight double")
     assert V.valence_scores(spark.createDataFrame([(1, "a plain, not plain one good"), (2, "none")], "id long, text string"), mine).orderBy("id").first().hits == 2
+
+
+def test_names_of_few_syllables_meet_in_blocks(spark, monkeypatch):
+    """Prefixes of such names at 0.7 are nearly whole names: blocks take over, and give the pairs of all names against all."""
+    monkeypatch.setattr(similar, "BLOCK", 300)
+    used = []
+    whole = similar._met_in_blocks
+    monkeypatch.setattr(similar, "_met_in_blocks", lambda *x: used.append(1) or whole(*x))
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice(("th", "in", "er", "an ", "é", "on")) for _ in range(rnd.randrange(1, 14))) for _ in range(900)]
+    names = spark.createDataFrame([(x,) for x in base + [x[:-2] + "q" for x in base[:50]]], "name string")
+    got = similar.similar_pairs(names, names, 0.7)
+    one = names.where("name <> ''").distinct().cache()
+    a, b = one.withColumnRenamed("name", "a"), one.withColumnRenamed("name", "b")
+    want = a.crossJoin(b).where(F.levenshtein("a", "b") <= F.floor(0.3 * F.greatest(F.length("a"), F.length("b")) + 1e-9))
+    rows = [(r.a, r.b) for r in got.collect()]
+    assert used and len(rows) == len(set(rows)) and set(rows) == {(r.a, r.b) for r in want.collect()}
