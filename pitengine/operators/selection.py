@@ -2,8 +2,11 @@
 
 Keys of up to ``SMALL`` values take Spark's own percentile. A larger key's values are parted by splitters (approximate percentiles,
 which only steer): each pass counts values per range with partial sums, finds the range that a wanted rank lies in, and goes on
-with the values of that range alone. Values that equal a splitter are a range of their own, so ties end the search at once. A pass cuts
-a range to about 1/``PARTS`` of its values; no task sorts or holds a key, and what remains is sorted once it is ``SMALL``.
+with the values of that range alone. Values that equal a splitter are a range of their own, so ties end the search at once. Splitters
+stand close only around the middle, where a median lies, so a value is held against a dozen of them; a pass cuts a range to
+about 2/``PARTS`` of its values (a sixth where the rank is elsewhere). No task sorts or holds a key, and what remains is sorted once it is ``SMALL``.
+
+df is read about twice a pass: where it is more than a scan, pass a written table.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from pyspark.sql import functions as F
 from pitengine.session import materialize
 
 SMALL, PARTS = 1 << 16, 128
-#: Keys whose splitters are broadcast at a time (about PARTS doubles each).
+#: Places of the splitters in a range, as fractions of its values, and how exactly they are met (of which one part in ACCURACY may be missed).
+FRACTIONS, ACCURACY = [0.0, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2 - 1 / PARTS, 1 / 2 + 1 / PARTS, 5 / 8, 3 / 4, 7 / 8, 15 / 16, 1.0], 10_000
+#: Keys whose splitters are broadcast at a time (a dozen doubles each).
 BROADCAST_KEYS = 10_000
 
 
@@ -40,8 +45,7 @@ def exact_medians(df: DataFrame, keys: Sequence[str], value: str, small: int = S
         sizes = materialize(left.groupBy("_k", "_r").agg(F.count("*").alias("_n")), "range_sizes")
         if sizes.where(F.col("_n") > small).isEmpty():
             break
-        fractions = [k / PARTS for k in range(PARTS + 1)]
-        cuts = left.groupBy("_k", "_r").agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", fractions, 10_000))).alias("_cuts"))
+        cuts = left.groupBy("_k", "_r").agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", FRACTIONS, ACCURACY))).alias("_cuts"))
         cuts = _small(materialize(cuts, "splitters"))
         below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
         # even: between two splitters, odd: equal to one

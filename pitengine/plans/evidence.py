@@ -128,8 +128,11 @@ SMALL_KEY = 200
 def exact_medians(spark: SparkSession, d: str) -> DataFrame:
     """Exact medians of gross of all engagements, by market and by status, of headcounts (many ties) by status."""
     eng = engagements(spark, d)
-    one = lambda keys, value, name: selection.exact_medians(eng, keys, value, SMALL_KEY).select(F.lit(name).alias("of"), *(F.col(k).cast("string").alias("key") for k in keys or ()), *([] if keys else [F.lit(None).cast("string").alias("key")]), "n", F.round("median", 4).alias("median"))
-    return one([], "gross", "gross").unionByName(one(["market"], "gross", "market")).unionByName(one(["status"], "gross", "status")).unionByName(one(["status"], "headcount", "headcount"))
+    each = lambda name, key, value: F.struct(F.lit(name).alias("of"), key.cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    asked = F.array(each("gross", F.lit(None), "gross"), each("market", F.col("market"), "gross"), each("status", F.col("status"), "gross"), each("headcount", F.col("status"), "headcount"))
+    # written once: all medians are found in one search, whose passes read it
+    rows = materialize(eng.select(F.explode(asked).alias("a")).select("a.*"), "median_values")
+    return selection.exact_medians(rows, ["of", "key"], "value", SMALL_KEY).select("of", "key", "n", F.round("median", 4).alias("median"))
 
 
 EXACT_MEDIANS = ENG + """

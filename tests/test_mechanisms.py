@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pitengine.functions import valence as V
 from pitengine.operators import graph, selection, similar
+from pitengine.plans import evidence
 from pitengine.session import new_path
 from pitengine.sources import frozen
 
@@ -78,6 +79,18 @@ def test_exact_medians_of_large_keys(spark):
     assert selection.exact_medians(df.limit(0), ["k"], "v").count() == 0
 
 
+def test_medians_anywhere_in_a_range_and_one_reading_of_the_engagements(spark, sf, monkeypatch):
+    # the rank leaves the middle after the first pass: half of the values are one, the rest lies on one side of it
+    skew = spark.range(60_000).select(F.when(F.col("id") % 20 < 9, 7.0).otherwise(7 + F.pmod(F.xxhash64("id"), F.lit(10**9)) ** 3.0).alias("v"))
+    for df in (skew, skew.selectExpr("-v AS v"), skew.selectExpr("exp(v / 1e26) AS v")):
+        assert selection.exact_medians(df, [], "v", 50).first()["median"] == df.agg(F.percentile("v", 0.5)).first()[0]
+    seen, plain = spark.sparkContext.accumulator(0), evidence.engagements
+    count = F.udf(lambda v: seen.add(1) or v, "double")
+    monkeypatch.setattr(evidence, "engagements", lambda *a: plain(*a).withColumn("gross", count("gross")))
+    assert evidence.exact_medians(spark, sf).count() > 3
+    assert seen.value <= 2 * plain(spark, sf).count()
+
+
 def test_digest_sees_changes_and_no_order(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (3, "")], "x int, y string")
     digest = lambda d: tuple(frozen.table_digest(d).first())
