@@ -267,3 +267,34 @@ def test_publication_keeps_three_versions_and_points_to_the_last(spark, tmp_path
     with pytest.raises(Exception):
         warehouse.publish(df, folder, "11")
     assert warehouse.latest_version(spark, folder).count() == 2
+
+
+def test_targets_of_a_cell_and_day_are_asked_once(spark, monkeypatch):
+    kind = "id long, entity string, place string, market string, series string, start_date date, pub_date date, value double"
+    pool = spark.createDataFrame([(k, f"e{k % 20}", "P", "M", "S", D(2024, 1, 1 + k % 2), D(2024, 1, 1 + k % 2), 1.0 * k) for k in range(400)], kind)
+    asked, fold = [], comparables.as_of_fold
+    monkeypatch.setattr(comparables, "as_of_fold", lambda targets, *a, **b: asked.append(targets.count()) or fold(targets, *a, **b))
+    pairs = comparables.nearest_pairs(pool.where("start_date = '2024-01-02'"), pool, "value", 3)
+    # 200 targets of ten entities, on one day: with and without their entity
+    assert asked[0] <= 16 * 11
+    assert {r.n for r in pairs.groupBy("t_id").agg(F.count_if(F.col("c_start") < F.col("t_start")).alias("n")).collect()} >= {4} and pairs.select("t_id").distinct().count() == 200
+
+
+def test_fold_over_batches_with_gaps_in_keys_and_values(spark):
+    """25,000 rows (three Arrow batches) of keys with NULLs; NULL values and questions reach the fold as None."""
+    rows = spark.range(25_000).select((F.col("id") % 2).alias("a"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("b"), F.lit(D(2020, 1, 1)).alias("_pub"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    asks = rows.select("a", "b").distinct().select("a", "b", F.lit(D(2020, 1, 2)).alias("_start"), F.explode(F.array(F.lit(7), F.lit(None).cast("int"))).alias("q"))
+
+    class Seen:
+        def __init__(self):
+            self.known = self.gaps = 0
+
+        def add(self, v):
+            self.known, self.gaps = self.known + (v is not None), self.gaps + (v is None)
+
+        def answer(self, q):
+            return self.known, self.gaps, q is None
+
+    got = sorted((r.a, r.b or "", r.q or 0, r.known, r.gaps, r.open, str(r._start)) for r in pit.as_of_fold(asks, rows, ["a", "b"], ["v"], Seen, "known long, gaps long, open boolean", extra=["q"]).collect())
+    want = [(a, f"k{b}" if b else "", q, sum(1 for i in range(25_000) if (i % 2, i % 3) == (a, b) and i % 5), sum(1 for i in range(25_000) if (i % 2, i % 3) == (a, b) and i % 5 == 0), q == 0, "2020-01-02") for a in (0, 1) for b in (0, 1, 2) for q in (0, 7)]
+    assert got == want
