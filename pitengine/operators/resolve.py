@@ -58,8 +58,11 @@ def anchor_clusters(rows: DataFrame, block: Sequence[str], start: str, end: str,
 
 def agreement(rows: DataFrame, key: str, source: str, fields: Sequence[str]) -> DataFrame:
     """Per field: keys that two sources and more report, how many agree exactly, and the spread of the others."""
-    long = rows.unpivot([key, source], list(fields), "field", "value").where(F.col("value").isNotNull())
-    per = long.groupBy(key, "field").agg(F.count_distinct(source).alias("sources"), F.min("value").alias("low"), F.max("value").alias("high")).where("sources > 1")
+    # a key is grouped once, with all fields side by side; it has two sources and more if the first is not the last
+    own = lambda f, c: F.when(F.col(f).isNotNull(), F.col(c))
+    ends = [x for k, f in enumerate(fields) for x in (F.min(own(f, source)).alias(f"_a{k}"), F.max(own(f, source)).alias(f"_b{k}"), F.min(f).alias(f"_l{k}"), F.max(f).alias(f"_h{k}"))]
+    each = F.array(*(F.struct(F.lit(f).alias("field"), (F.col(f"_a{k}") < F.col(f"_b{k}")).alias("several"), F.col(f"_l{k}").alias("low"), F.col(f"_h{k}").alias("high")) for k, f in enumerate(fields)))
+    per = rows.groupBy(key).agg(*ends).select(F.explode(each).alias("f")).select("f.*").where("several")
     return per.groupBy("field").agg(F.count("*").alias("compared"), F.count_if(F.col("low") == F.col("high")).alias("exact"), F.avg(F.col("high") - F.col("low")).alias("mean_spread"), F.max(F.try_divide(F.col("high") - F.col("low"), F.abs("high"))).alias("max_part"))
 
 
