@@ -189,8 +189,14 @@ SCD_SUPERSEDE = SNAP + "SELECT key, seq, epoch_us(lead(seen_at) OVER w) AS valid
 
 def claim_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Wide rows as long typed claims, with how many are missing. Values are summed as decimals, so that no order of addition shows."""
-    claims = table(spark, d, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "claim", "value")
-    return claims.groupBy("claim").agg(F.count("*").alias("claims"), F.count("value").alias("known"), F.count_distinct("l_orderkey").alias("subjects"), F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value"), 6).alias("mean"))
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    # a subject's rows are summed up first, all claims side by side: no row is laid out per claim, no distinct count over them
+    sums = [x for k, c in enumerate(names) for x in (F.count(c).alias(f"known{k}"), F.sum(F.col(c).cast("decimal(18,4)")).alias(f"sum{k}"))]
+    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("claims"), *sums)
+    whole = per.agg(F.sum("claims").alias("claims"), F.count("l_orderkey").alias("subjects"), *(F.sum(f"{x}{k}").alias(f"{x}{k}") for k in range(len(names)) for x in ("known", "sum"))).where("claims > 0")
+    each = F.array(*(F.struct(F.lit(c).alias("claim"), F.col(f"known{k}").alias("known"), F.col(f"sum{k}").cast("double").alias("total")) for k, c in enumerate(names)))
+    return whole.select("claims", "subjects", F.explode(each).alias("c")).select("c.claim", "claims", "c.known", "subjects", F.round(F.col("c.total") / F.col("c.known"), 6).alias("mean"))
+
 
 
 CLAIM_LEDGER = "SELECT claim, count(*) AS claims, count(value) AS known, count(DISTINCT l_orderkey) AS subjects, round(sum(value::decimal(18,4))::double / count(value), 6) AS mean FROM lineitem UNPIVOT INCLUDE NULLS (value FOR claim IN (l_quantity, l_extendedprice, l_discount, l_tax)) GROUP BY claim"

@@ -298,3 +298,31 @@ def test_fold_over_batches_with_gaps_in_keys_and_values(spark):
     got = sorted((r.a, r.b or "", r.q or 0, r.known, r.gaps, r.open, str(r._start)) for r in pit.as_of_fold(asks, rows, ["a", "b"], ["v"], Seen, "known long, gaps long, open boolean", extra=["q"]).collect())
     want = [(a, f"k{b}" if b else "", q, sum(1 for i in range(25_000) if (i % 2, i % 3) == (a, b) and i % 5), sum(1 for i in range(25_000) if (i % 2, i % 3) == (a, b) and i % 5 == 0), q == 0, "2020-01-02") for a in (0, 1) for b in (0, 1, 2) for q in (0, 7)]
     assert got == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_agreement_groups_a_key_once(spark):
+    rows = spark.createDataFrame([("k", "s", 1.0, None), ("k", "t", 1.0, 4.0), ("k", "t", 1.0, 5.0), ("m", "s", 2.0, 0.0), ("m", "t", 3.0, -1.0), ("n", None, 7.0, 7.0), ("n", "s", 8.0, 8.0)], "key string, source string, a double, b double")
+    out = resolve.agreement(rows, "key", "source", ["a", "b"])
+    assert {r.field: (r.compared, r.exact, r.mean_spread, r.max_part) for r in out.collect()} == {"a": (2, 1, 0.5, 1 / 3), "b": (1, 0, 1.0, None)}
+    assert "Expand" not in _plan(out) and _plan(out).count("Aggregate") == 2
+
+
+def test_prior_totals_add_up_days_in_one_aggregation(spark):
+    rows = spark.createDataFrame([("A", D(2020, 1, 1), D(2020, 1, 5), 1, 2.0), ("A", D(2020, 1, 2), D(2020, 1, 5), 2, 3.0), ("A", D(2020, 1, 6), D(2020, 1, 9), 3, None), ("B", None, D(2020, 1, 1), 4, 1.0), (None, D(2020, 1, 6), D(2020, 1, 1), 5, 1.0)], "k string, start_date date, pub_date date, id long, value double")
+    out = pit.prior_totals(rows.select("k", "start_date", "id"), rows, ["k"])
+    assert sorted((r.id, r.prior_count, r.prior_sum, r.prior_last) for r in out.collect()) == [(1, 0, None, None), (2, 0, None, None), (3, 2, 5.0, 3.0), (4, 0, None, None), (5, 0, None, None)]
+    assert _plan(out).count("Aggregate") == 1
+
+
+def test_claim_ledger_lays_out_no_row_per_claim(spark, tmp_path):
+    from pitengine.plans import ledger
+
+    kind = "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame([(1, 1.0, None, 0.1, None), (1, 2.0, None, 0.2, None), (None, 4.0, None, None, 0.5)], kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = ledger.claim_ledger(spark, str(tmp_path))
+    assert {r.claim: (r.claims, r.known, r.subjects, r["mean"]) for r in out.collect()} == {"l_quantity": (3, 3, 1, 2.333333), "l_extendedprice": (3, 0, 1, None), "l_discount": (3, 2, 1, 0.15), "l_tax": (3, 1, 1, 0.5)}
+    assert "Expand" not in _plan(out)
