@@ -65,6 +65,8 @@ LEAST_SHARED = (4, 5)
 HOT = 2048
 #: Hot table values that may be broadcast (16 bytes each); with more of them the salts come by a shuffled join.
 HOT_BROADCAST = 50_000
+#: Table values to compare again that may be broadcast (16 bytes each).
+MIXED_BROADCAST = 1_000_000
 #: Rows, and comparisons, of a numpy block.
 BLOCK_ROWS, BLOCK_PAIRS = 50_000, 500_000
 
@@ -287,31 +289,44 @@ def links(classes: DataFrame, segments: Sequence[tuple[int, int, int]] | None =
     """Links (a, b) between nodes of distinct fingerprints (fp, node) that join all that are near."""
     segments = segments or (SEGMENTS if classes.count() < WIDE_FROM else WIDE_SEGMENTS)
     entries = _entries(classes, segments)
-    return _dealt(entries).mapInArrow(_links, "a long, b long")
+    return _dealt(entries, _grids(entries)).mapInArrow(_links, "a long, b long")
 
 
-def _dealt(entries: DataFrame) -> DataFrame:
-    """Entries by table value (key), a task's in order: a hot value's stored entries in rows and its probes in columns of a grid."""
-    spark = entries.sparkSession
+def _grids(entries: DataFrame) -> DataFrame | None:
+    """Rows and columns of the grid of each hot table value, as a written table; None if no value is hot."""
     hot = materialize(entries.where(~F.col("probe")).groupBy("segment", "value").agg(F.count("*").alias("stored")).where(F.col("stored") > HOT), "hot_segments")
     n_hot = hot.count()
-    if n_hot:
-        near = lambda: F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
-        probes = entries.where("probe").join(near(), ["segment", "value"]).groupBy("segment", "value").agg(F.max("stored").alias("stored"), F.count("*").alias("probes"))
-        parts = lambda c: F.ceil(F.col(c) / HOT).cast("int")
-        hot = materialize(probes.select("segment", "value", parts("stored").alias("rows"), parts("probes").alias("columns")), "hot_segments")
-        entries = entries.join(near(), ["segment", "value"], "left")
+    if not n_hot:
+        return None
+    probes = entries.where("probe").join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, ["segment", "value"]).groupBy("segment", "value").agg(F.max("stored").alias("stored"), F.count("*").alias("probes"))
+    parts = lambda c: F.ceil(F.col(c) / HOT).cast("int")
+    return materialize(probes.select("segment", "value", parts("stored").alias("rows"), parts("probes").alias("columns")), "hot_segments")
+
+
+def _keyed(entries: DataFrame, grids: DataFrame | None) -> DataFrame:
+    """Entries (segment, value, stored, probe, fp and others) with their table value (key): a hot value's stored entries in rows and its probes in
+    columns of a grid. One that is both is stored in the cells of its row and probes in those of its column."""
+    if grids is not None:
+        entries = entries.join(F.broadcast(grids) if grids.count() <= HOT_BROADCAST else grids, ["segment", "value"], "left")
         digest = F.xxhash64("fp")
         row, column = F.pmod(digest, F.col("rows")).cast("int"), F.pmod(digest, F.col("columns")).cast("int")
         along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: row * F.col("columns") + c)
         down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: r * F.col("columns") + column)
-        cells = F.when(F.col("rows").isNull(), F.array(F.lit(0))).when(F.col("probe"), down).otherwise(along)
+        cells = F.when(F.col("rows").isNull(), F.array(F.lit(0))).when(~F.col("probe"), along).when(~F.col("stored"), down).otherwise(F.array_union(along, down))
         entries = entries.withColumn("cell", F.explode(cells))
+        whole = F.col("rows").isNull()
+        stored, probe = whole | (F.floor(F.col("cell") / F.col("columns")) == row), whole | (F.col("cell") % F.col("columns") == column)
+        entries = entries.withColumns({"stored": F.col("stored") & stored, "probe": F.col("probe") & probe})
     else:
         entries = entries.withColumn("cell", F.lit(0))
     # a value takes 32 bits, the segment two, the cell the rest
     key = F.shiftleft(F.col("cell").cast("long"), 34) + F.shiftleft(F.col("segment").cast("long"), 32) + F.col("value")
-    dealt = entries.select(key.alias("key"), "probe", "fp", "node").repartition(shuffle_partitions(spark), "key")
+    return entries.withColumn("key", key)
+
+
+def _dealt(entries: DataFrame, grids: DataFrame | None) -> DataFrame:
+    """Entries by table value (key), a task's in order."""
+    dealt = _keyed(entries.withColumn("stored", ~F.col("probe")), grids).select("key", "probe", "fp", "node").repartition(shuffle_partitions(entries.sparkSession), "key")
     return dealt.sortWithinPartitions("key", "probe")
 
 
@@ -394,21 +409,48 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * width, pa.array(values.reshape(-1)))
 
 
+def _wide_values(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of classes (words, doubtful), and for each segment its own value and the three others that are probed, with the segment within."""
+    words = part.column("words").flatten().to_numpy().reshape(-1, WORDS)
+    flips = (1 << part.column("doubtful").flatten().to_numpy().astype(np.int64)).reshape(len(words), -1, 2)
+    own = words.view(np.uint16).astype(np.int64) + (np.arange(4 * WORDS) << 16)
+    one, two = flips[..., 0], flips[..., 1]
+    return words, np.stack([own, own ^ one, own ^ two, own ^ one ^ two], axis=2)
+
+
 def _wide_entries(batches):
     """Stored and probing entries of classes (node, words, doubtful), as of _entries, with the segment within value."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            words = part.column("words").flatten().to_numpy().reshape(-1, WORDS)
-            flips = (1 << part.column("doubtful").flatten().to_numpy().astype(np.int64)).reshape(len(words), -1, 2)
-            own = words.view(np.uint16).astype(np.int64) + (np.arange(4 * WORDS) << 16)
-            one, two = flips[..., 0], flips[..., 1]
-            value = np.stack([own, own, own ^ one, own ^ two, own ^ one ^ two], axis=2)
+            words, value = _wide_values(part)
+            value = np.concatenate([value[..., :1], value], axis=2)
             probe = np.broadcast_to(np.arange(5) > 0, value.shape).reshape(-1)
             each = lambda c, n=4 * WORDS * 5: np.repeat(c, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(value.size, np.int32)), pa.array(value.reshape(-1)), pa.array(probe), pa.array(each(words[:, 0])), pa.array(each(part.column("node").to_numpy()))], ["segment", "value", "probe", "fp", "node"])
 
 
+def _wide_members(batches):
+    """Entries of classes (node, root, words, doubtful) that carry these along; the entry of an own value is stored and probes, so it comes once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            words, value = _wide_values(part)
+            each = 4 * WORDS * 4
+            of = pa.array(np.repeat(np.arange(len(words)), each))
+            stored = np.broadcast_to(np.arange(4) == 0, value.shape).reshape(-1)
+            known = [pa.array(np.zeros(value.size, np.int32)), pa.array(value.reshape(-1)), pa.array(stored), pa.array(np.ones(value.size, bool)), pa.array(np.repeat(words[:, 0], each))]
+            yield pa.RecordBatch.from_arrays([*known, *(part.column(c).take(of) for c in ("node", "root", "words"))], ["segment", "value", "stored", "probe", "fp", "node", "root", "words"])
+
+
+def _members(classes: DataFrame, keys: DataFrame, grids: DataFrame | None) -> DataFrame:
+    """key, stored, probe, node, root, words of the entries under the given table values, a row for each class (node, root, words, doubtful) there."""
+    entries = classes.select("node", "root", "words", "doubtful").mapInArrow(_wide_members, "segment int, value long, stored boolean, probe boolean, fp long, node long, root long, words array<long>")
+    # broadcast, the values pick their entries before these are shuffled
+    keys = F.broadcast(keys) if keys.count() <= MIXED_BROADCAST else keys
+    return _keyed(entries, grids).join(keys, "key", "left_semi").select("key", "stored", "probe", "node", "root", "words")
+
+
 def _far_apart() -> Column:
     """Bits that words_a and words_b differ in."""
     return sum((F.bit_count(F.col("words_a")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(WORDS)), F.lit(0))
@@ -450,10 +492,10 @@ def _far_pairs(words: np.ndarray, other: np.ndarray, most: int):
 
 
 def _across(group: pa.Table, few: int) -> pa.Table:
-    """Candidates between different components under a table value, with key -1; if they are many, their nodes as (node, node) with the key."""
-    probe, node, root = (group.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "node", "root"))
+    """Candidates between different components under a table value, with key -1; if they are many, their nodes as (node, node) with the key, root and words."""
+    stored, probe, node, root = (group.column(c).to_numpy(zero_copy_only=False) for c in ("stored", "probe", "node", "root"))
     words = pa.concat_arrays(group.column("words").chunks).flatten().to_numpy().reshape(-1, WORDS)
-    own, stored = np.flatnonzero(probe), np.flatnonzero(~probe)
+    own, stored = np.flatnonzero(probe), np.flatnonzero(stored)
     met, found, n = np.zeros(len(node), bool), [], 0
     for x, y in _far_pairs(words[own], words[stored], WIDE_DISTANCE):
         new = root[own[x]] != root[stored[y]]
@@ -462,13 +504,15 @@ def _across(group: pa.Table, few: int) -> pa.Table:
         n += len(x)
         # more than few for each node there is: crowded whatever comes, and the pairs need not be held
         found = found + [(x, y)] if n <= few * len(node) else []
-    crowd = np.unique(node[met])
+    crowd = np.flatnonzero(met)
     if n > few * len(crowd):
-        a, b, key = crowd, crowd, np.full(len(crowd), group.column("key")[0].as_py())
+        a = b = node[crowd]
+        key, root, words = np.full(len(crowd), group.column("key")[0].as_py()), pa.array(root[crowd]), _lists(words[crowd], WORDS)
     else:
         x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found) if found else ((), ())))
         a, b, key = node[x], node[y], np.full(len(x), -1)
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "key": pa.array(key, pa.int64())})
+        root, words = pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.list_(pa.int64()))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "key": pa.array(key, pa.int64()), "root": root, "words": words})
 
 
 def _linked_in_crowd(group: pa.Table) -> pa.Table:
@@ -497,8 +541,8 @@ def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
     """Links (a, b) between nodes of rows (node, row, words, doubtful) that join all whose shingle sets are similar."""
     classes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words"), F.first("doubtful").alias("doubtful")), "set_classes")
     entries = classes.select("node", "words", "doubtful").mapInArrow(_wide_entries, "segment int, value long, probe boolean, fp long, node long")
-    dealt = _dealt(entries)
-    found = materialize(dealt.mapInArrow(lambda batches: _links(batches, _Candidates(few)), "a long, b long, key long"), "pairs")
+    grids = _grids(entries)
+    found = materialize(_dealt(entries, grids).mapInArrow(lambda batches: _links(batches, _Candidates(few)), "a long, b long, key long"), "pairs")
     linked = _verified(docs, classes, found, text_col, shingle)
     forests = found.where("key >= 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key")
     # a forest spans its value's candidates: only where it has a link between components may there be more to find
@@ -510,17 +554,16 @@ def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int,
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     ends = unproved.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     mixed = materialize(ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct(), "mixed_values")
-    members = dealt.select("key", "probe", "node").join(mixed, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    words = classes.select("node", "words")
-    left = members.join(words, "node")
-    across = materialize(left.groupBy("key").applyInArrow(lambda group: _across(group, few), "a long, b long, key long"), "pairs_across")
+    # a text takes its root before its entries are laid out, once and not for each of them
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = _members(rooted, mixed, grids)
+    across = materialize(members.groupBy("key").applyInArrow(lambda group: _across(group, few), "a long, b long, key long, root long, words array<long>"), "pairs_across")
     linked = linked.union(_verified(docs, classes, across.where("key < 0"), text_col, shingle))
-    crowd = across.where("key >= 0").select("key", F.col("a").alias("node"))
+    crowd = across.where("key >= 0").select("key", F.col("a").alias("node"), "root", "words")
     if crowd.isEmpty():
         return linked
     held = _sets_of(docs, classes, crowd.select("node"), text_col, shingle)
-    crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(words, "node").join(held, "node")
-    return linked.union(crowd.groupBy("key").applyInArrow(_linked_in_crowd, "a long, b long"))
+    return linked.union(crowd.join(held, "node").groupBy("key").applyInArrow(_linked_in_crowd, "a long, b long"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, few: int = FEW) -> DataFrame:

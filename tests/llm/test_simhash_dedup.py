@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from pitengine.llm import simhash_dedup as S
+from pitengine.llm._shared import materialize
 
 
 def plain_fingerprint(text, shingle=4):
@@ -198,3 +199,24 @@ def test_crowds_give_the_same_as_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plain = {r.doc_id for r in S.drop_near_copies(docs, few=10**6).collect()}
     assert {r.doc_id for r in S.drop_near_copies(docs, few=0).collect()} == plain
+
+
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_second_round_takes_a_text_once_a_value(spark, monkeypatch, hot):
+    """A value's members carry their root and come once; who meets whom is what the first round compares, in grids as well."""
+    monkeypatch.setattr(S, "HOT", hot)
+    rows = []
+    for k, text in enumerate(t for _, t in dense_groups(2, 12, 60, 3, 14)):
+        words, doubtful = S.wide_fingerprint(S.shingle_set(text))
+        rows.append((k, k % 5, words.tolist(), doubtful.reshape(-1).tolist()))
+    classes = spark.createDataFrame(rows, "node long, root long, words array<long>, doubtful array<byte>")
+    entries = classes.select("node", "words", "doubtful").mapInArrow(S._wide_entries, "segment int, value long, probe boolean, fp long, node long")
+    grids = S._grids(entries)
+    assert (grids is not None) == (hot == 3)
+    dealt = S._dealt(entries, grids)
+    keys = materialize(dealt.where("node % 3 = 0").select("key").distinct(), "keys")
+    members = S._members(classes, keys, grids).collect()
+    assert len({(r.key, r.node) for r in members}) == len(members) and all(r.root == r.node % 5 and r.words == rows[r.node][2] for r in members)
+    want = {(r.key, r.probe, r.node) for r in dealt.join(keys, "key", "left_semi").collect()}
+    got = [(r.key, p, r.node) for r in members for p, has in ((False, r.stored), (True, r.probe)) if has]
+    assert len(got) == len(set(got)) and set(got) == want
