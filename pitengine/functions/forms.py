@@ -140,7 +140,7 @@ def channel_id(url: Column) -> Column:
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
     """The day, or NULL if there is none such."""
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
+    return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")  # a NULL is written as such, which is no date
 
 
 def month_number(name: Column) -> Column:
@@ -148,38 +148,44 @@ def month_number(name: Column) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.lower(name), 1, 3)), F.lit(0).cast("long"))
 
 
-def _named_days(text: Column, names: Sequence[str] | None = None) -> Column:
-    """(month, day, year) of each month name with a number of one or two digits behind it; year is NULL where no four digits follow.
+def _named_day(names: str, year: str = r"(?:\s+[0-9]{4}(?!\S))?") -> str:
+    """The pattern of a month name, a number of one or two digits and a year (as it says: optional) as whole words of ``_day_words``."""
+    return rf"(?<!\S)(?:{names})\s+[0-9]{{1,2}}(?!\S){year}"
 
-    The text is read as words; dots and commas are no part of them. names: the names that count (None: by their first three letters).
-    """
-    words = F.filter(F.split(F.translate(F.lower(text), ".,", "  "), r"\s+"), lambda w: w != "")
-    at = lambda k: F.get(words, k)
-    number = lambda w, least, most: F.when(F.length(w).between(least, most) & ~w.rlike("[^0-9]"), w.try_cast("int"))
-    known = lambda w: w.isin(*names) if names else w.isNotNull()
-    month = lambda w: F.when(known(w) & ~w.rlike("[^a-z]"), month_number(w)).cast("int")
-    triple = lambda k: F.struct(month(at(k)).alias("month"), number(at(k + 1), 1, 2).alias("day"), number(at(k + 2), 4, 4).alias("year"))
-    every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), triple)
-    return F.filter(every, lambda t: t["month"].isNotNull() & t["day"].isNotNull())
+
+def _day_words(text: Column) -> Column:
+    """Lower case, without the dots and commas behind words."""
+    return F.translate(F.lower(text), ".,", "  ")
+
+
+def _day_in(found: Column, year_hint: Column) -> Column:
+    """The day of what ``_named_day`` found; NULL for NULL."""
+    part = F.split(found, r"\s+")
+    return day_of(F.coalesce(F.get(part, F.lit(2)).try_cast("int"), year_hint), month_number(F.get(part, F.lit(0))), F.get(part, F.lit(1)).try_cast("int"))
+
+
+#: Words that begin as a month's name does, and month names as they are written.
+_LIKE_MONTHS, _MONTHS = rf"(?:{'|'.join(MONTHS)})[a-z]*", "|".join((*MONTH_NAMES, *MONTHS, "sept"))
 
 
 def single_date(raw: Column, year_hint: Column) -> Column:
-    """The day of a text that holds one date (month, day, year); where no year stands in the text, the hint's. NULL for none or several."""
-    years = F.filter(F.split(raw, "[^0-9]+"), lambda w: (F.length(w) == 4) & F.substring(w, 1, 2).isin("19", "20"))
-    found = _named_days(raw)
-    dated = F.filter(found, lambda t: t["year"].isNotNull())
-    one = F.when(F.size(years) == 0, F.when(F.size(found) == 1, found[0])).when(F.size(dated) == 1, dated[0])
-    return day_of(F.coalesce(one["year"], year_hint), one["month"], one["day"])
+    """The day of a text that holds one date (month, day, year); where no year stands in the text, the hint's. NULL for none or several.
+
+    Each text is searched by patterns as a whole: functions over its words would cut it anew for each of them.
+    """
+    every = lambda pattern: F.regexp_extract_all(_day_words(raw), F.lit(pattern), F.lit(0))
+    has_year = raw.rlike("(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")
+    found = F.when(has_year, every(_named_day(_LIKE_MONTHS, r"\s+[0-9]{4}(?!\S)"))).otherwise(every(_named_day(_LIKE_MONTHS)))
+    return _day_in(F.when(F.size(found) == 1, F.get(found, F.lit(0))), year_hint)
 
 
 def date_phrase(phrase: Column, published: Column) -> Column:
     """Month and day (with a year, else the publication's), an ISO day, or a weekday: the next one after publication, never its own day."""
     low = F.rtrim(F.lower(F.trim(phrase)), F.lit(","))
-    named = F.get(_named_days(low, (*MONTH_NAMES, *MONTHS, "sept")), F.lit(0))
-    date_parts = F.split(low, "-")
-    iso = F.when((F.size(date_parts) == 3) & (F.length(low) == 10) & (F.length(date_parts[0]) == 4) & (F.length(date_parts[1]) == 2), low.try_cast("date"))
+    named = F.nullif(F.regexp_extract(_day_words(low), _named_day(_MONTHS), 0), F.lit(""))
+    iso = F.when(low.rlike(r"\A[^-]{4}-[^-]{2}-[^-]{2}\z"), low.try_cast("date"))
     weekday = F.when(low.isin(*WEEKDAYS), F.call_function("next_day", published, low))
-    return F.coalesce(day_of(F.coalesce(named["year"], F.year(published)), named["month"], named["day"]), iso, weekday)
+    return F.coalesce(_day_in(named, F.year(published)), iso, weekday)
 
 
 def compact_time(c: Column) -> Column:
