@@ -44,6 +44,25 @@ def test_a_page_of_many_lines_streams(spark):
     assert out.count() == 14286 and out.where("headcount = 2 AND shows = 4").count() == 14286
 
 
+def test_pages_that_share_a_task_stay_apart(spark):
+    """Lines go to a parser in Arrow batches: a page ends where the next begins, also a NULL one and in the middle of a record, and odd lines stop nothing."""
+    block = ("May 1, 2024", "A", "B", "C", "$1", "2 (3%)", "4 shows")
+    rows = [(p, k, t) for p in (1, 2, 3) for k, t in enumerate(block[: 7 if p != 2 else 3])] + [(None, k, t) for k, t in enumerate((None, "", *block[:2]))]
+    lines = spark.createDataFrame(rows, "page long, line long, text string").repartition(3)
+    read = R.records(lines, R.Blocks)
+    assert "MapInArrow" in read._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "3"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = {(r.page, r.line, r.name, r.headcount, r.shows, r.reason) for r in R.records(lines, R.Blocks).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == {(1, 0, "A", 2.0, 4, None), (3, 0, "A", 2.0, 4, None), (2, 0, "A", None, None, "INCOMPLETE"), (None, 2, "A", None, None, "INCOMPLETE")}
+    long = spark.createDataFrame([(1, 1, "99999999999) Act")], "page int, line int, text string")
+    assert [(r["rank"], r.name, r.reason) for r in R.records(long, R.PairedLines).collect()] == [(None, "Act", "NO_BODY")]
+
+
 def test_jsonld_walk(spark):
     script = lambda j: f"<script async type=\"application/ld+json\">{j}</script>"
     nested = '[[{"@type":"event","startDate":"2024-01-02T10:00"}],{"@graph":{"@type":"Event","startDate":"2024-02-02"}},{"@graph":[1,"x",{"@type":"Event","@graph":[{"@type":"Event","ticketSaleStart":"2024-03-03"}],"offers":{"price":0,"lowPrice":12}}]}]'
