@@ -1,8 +1,8 @@
 """Dumps of entities: a Spark data source over tar archives of JSON-lines members.
 
-``spark.read.format("entity_dump").option("path", folder)``. The planner reads only the archives' member headers and plans one partition per byte
-range of a member; a task opens its archive, seeks to its range and yields the records that start in it, so a lost task reads its own
-range again and nothing else, and one huge member is read by many tasks. A record is a line; a range begins behind the first line
+``spark.read.format("entity_dump").option("path", folder)``. The planner reads only the archives' member headers and cuts members into byte
+ranges; a task takes neighbouring ranges of an archive (one if they are as large as ``TASK_BYTES``), seeks to each and yields the records that start
+in it as Arrow batches, so a lost task reads its own ranges again and nothing else, and one huge member is read by many tasks. A record is a line; a range begins behind the first line
 break at or before its start, as text splits do. Members that are one JSON array, and compressed archives (.tar.xz, .tar.gz), which can't be
 entered in the middle, are one partition each, streamed.
 
@@ -18,6 +18,7 @@ import os
 import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "archive string, member string, at long, id string, name string, type string, begin string, end string, related array<string>, payload string, problem string"
+ARROW_SCHEMA = pa.schema([(name, {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}[kind]) for name, kind in (f.split() for f in SCHEMA.split(", "))])
 RANGE_BYTES = 64 << 20
+#: Bytes of ranges that are read by one task where they are smaller, and records of an Arrow batch.
+TASK_BYTES, BATCH_RECORDS = 16 << 20, 10_000
 #: Bytes of a member that ``write_dump`` starts a new one after.
 MEMBER_BYTES = 64 << 20
 COMPRESSED = (".tar.xz", ".tar.gz", ".tgz", ".tar.bz2")
@@ -35,7 +39,7 @@ FIELDS = {"id": "id", "name": "name", "type": "type", "begin": "begin-date", "en
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     archive: str
     member: str
     #: First byte of the member in the archive, its size, and the range of it; start is None for a member that is read as one.
@@ -45,6 +49,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges of one archive, which a task reads."""
+
+    ranges: list[Range]
+
+
 def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (pa.fs.LocalFileSystem(), path)
 
@@ -70,13 +81,13 @@ def typed(archive: str, member: str, at: int, payload: str) -> tuple:
         problem = "NO_OBJECT" if not isinstance(record, dict) else None if record.get("id") else "NO_ID"
     record = record if isinstance(record, dict) else {}
     text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
-    return archive, member, at, *(text(record.get(f)) for f in FIELDS.values()), related_ids(record), payload, problem
+    return archive, member, at, *(text(record.get(f)) for f in FIELDS.values()), [*map(text, related_ids(record))], payload, problem
 
 
 def lines_in(stream, offset: int, size: int, start: int, end: int) -> Iterator[tuple[int, str]]:
     """(place, text) of the lines of a member that start in [start, end)."""
     stream.seek(offset + max(start - 1, 0))
-    reader = io.BufferedReader(stream, 1 << 20)
+    reader = io.BufferedReader(stream, min(1 << 20, max(1 << 13, end - start)))  # no more than the range itself
     at = max(start - 1, 0)
     if start:  # up to the break that ends the line before; none is lost if the range starts right behind one
         at += len(reader.readline(size - at))
@@ -104,7 +115,18 @@ class DumpReader(DataSourceReader):
         found = store.get_file_info(pa.fs.FileSelector(path, recursive=True))
         return sorted(f.path for f in found if f.type == pa.fs.FileType.File and f.path.endswith((".tar", *COMPRESSED)))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
+        tasks, size = [], 0
+        for r in self.ranges():
+            last = tasks[-1].ranges[-1] if tasks else None
+            size += r.end - (r.start or 0)
+            if last is None or size > TASK_BYTES or last.archive != r.archive or r.archive.endswith(COMPRESSED):
+                tasks.append(Ranges([]))
+                size = r.end - (r.start or 0)
+            tasks[-1].ranges.append(r)
+        return tasks or [Ranges([])]
+
+    def ranges(self) -> list[Range]:
         store, _ = _store(self.path)
         out = []
         for archive in self.archives():
@@ -118,11 +140,14 @@ class DumpReader(DataSourceReader):
                         out.append(Range(archive, m.name, m.offset_data, m.size, None, m.size))
                     else:
                         out += [Range(archive, m.name, m.offset_data, m.size, at, min(at + self.range_bytes, m.size)) for at in range(0, m.size, self.range_bytes)]
-        return out or [Range("", "", 0, 0, None, 0)]
+        return out
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        if not part.archive:
-            return
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in task.ranges for row in self._records(part))
+        while some := list(islice(rows, BATCH_RECORDS)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for f, v in zip(ARROW_SCHEMA, zip(*some))], schema=ARROW_SCHEMA)
+
+    def _records(self, part: Range) -> Iterator[tuple]:
         store, _ = _store(self.path)
         name = os.path.basename(part.archive)
         if part.archive.endswith(COMPRESSED):

@@ -54,3 +54,23 @@ def test_written_archives_are_read_back(spark, tmp_path):
     back = S.read_dump(spark, str(tmp_path / "d"), 500)
     assert {int(r.id) for r in back.collect()} == set(range(1000)) and back.count() == 1000
     assert back.where("member NOT LIKE 'dump/k%'").count() == 0
+
+
+def test_a_task_reads_neighbouring_ranges(spark, tmp_path, monkeypatch):
+    """Small ranges make no task each: a task takes up to TASK_BYTES of an archive and hands on Arrow batches; each range is read once."""
+    for name in ("a.tar", "b.tar"):
+        archive(tmp_path / name, "w", **{f"m{k}": "\n".join(json.dumps({"id": f"{name}-{k}-{i}", "relations": [{"target-type": "x", "x": {"id": i + 1}}]}) for i in range(100)) for k in range(3)}, arr='[{"id": "z"}]')
+    archive(tmp_path / "c.tar.gz", "w:gz", lines='{"id": "y"}')
+    reader = S.DumpReader({"path": str(tmp_path), "rangebytes": "500"})
+    assert len(reader.ranges()) > 60 and [len(t.ranges) for t in reader.partitions()] == [len(reader.ranges()) // 2] * 2 + [1]
+    monkeypatch.setattr(S, "TASK_BYTES", 2000)
+    tasks = reader.partitions()
+    assert [r for t in tasks for r in t.ranges] == reader.ranges() and 20 < len(tasks) < 40
+    assert all(len({r.archive for r in t.ranges}) == 1 for t in tasks)
+    monkeypatch.setattr(S, "BATCH_RECORDS", 7)
+    batches = [b for t in tasks for b in reader.read(t)]
+    assert all(isinstance(b, S.pa.RecordBatch) and 0 < b.num_rows <= 7 for b in batches)
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert sorted(r["id"] for r in rows) == sorted([f"{n}.tar-{k}-{i}" for n in "ab" for k in range(3) for i in range(100)] + ["z", "z", "y"])
+    assert all(r["related"] == [str(int(r["id"].split("-")[2]) + 1)] for r in rows if "-" in r["id"])
+    assert S.read_dump(spark, str(tmp_path), 500).count() == 603
