@@ -1,8 +1,8 @@
 """Records out of the lines of raw pages: parsers that keep a small state while a page's lines go by.
 
 Spark deals the lines by page and sorts them; a parser sees one page's lines in order and holds no more than the record it is in, so
-pages of any length stream. Lines come and records go as Arrow batches (``mapInArrow``), which a table function that is called row by
-row took several times as long for. What can't be read leaves a row with a ``reason`` instead of vanishing.
+pages of any length stream. Lines come and records go as Arrow batches (``mapInArrow``). What can't be read leaves a row with a
+``reason`` instead of vanishing.
 
 - ``PairedLines``: a head (``3) Name``) and a line of ``Key: value;`` fields; the tiers that a page lists first hold five records each.
 - ``Blocks``: seven lines from a date on: date, name, place, city, gross, headcount, shows.
