@@ -25,11 +25,12 @@ enumerated whole, so its fingerprints are ``WORDS`` * 64 bits of the set, in ``W
 ball is enumerated over its two least certain bits (four probes). Candidates are verified on the shingle sets, in two
 rounds, so that no pair is left out and no task hands on all pairs of a dense group:
 
-- Where a table value's candidates outnumber its nodes by more than ``FEW``, the task hands on a spanning forest of
-  them, nearest pairs first (in steps of ``NEAR_STEP`` bits), and the table value. Verified links give components.
-- Those table values are compared again, between different components only, on all bits of the fingerprints. What is
-  left is verified pair by pair; where it is still dense (many texts a little too far apart), in one task per value on
-  the shingle sets themselves.
+- Tasks hand on a spanning forest of the candidates that they find, nearest pairs first (in steps of ``NEAR_STEP`` bits); where a table value's
+  candidates outnumber its nodes by more than ``FEW``, later ones are held against its forest so far.
+- Of the forests, each text's ``NEAREST`` nearest partners are verified first. Verified links give components.
+- Texts with candidates then meet again under all their table values, on all bits of the fingerprints, and only those of different
+  components are compared; a pair counts in the first segment that it meets in. What is left is verified pair by pair; where it is dense (many texts
+  a little too far apart), in one task per value on the shingle sets themselves.
 
 Defined cases: null and white-space texts have fingerprint zero and link like any other. A very long text is hashed
 whole, block by block. A component without an id has no name. Rows that repeat an id are members of their own, and are
@@ -40,12 +41,12 @@ dropped by id and text. An empty table gives an empty result. Extra columns, wha
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitengine.llm._shared import materialize, shuffle_partitions, table, unused
@@ -59,6 +60,8 @@ WIDE_SEGMENTS, WIDE_FROM = ((0, 32, 2), (32, 32, 1)), 1 << 25
 WORDS, FIRST_DISTANCE, WIDE_DISTANCE, FEW = 6, 18, 90, 4
 #: Distances in one step count as equally near where forests are chosen.
 NEAR_STEP = 6
+#: Candidates of a text that are verified before the others, the nearest.
+NEAREST = 4
 #: Least Jaccard similarity of shingle sets, as a fraction.
 LEAST_SHARED = (4, 5)
 #: Stored fingerprints under one table value that a task compares at a time.
@@ -214,14 +217,14 @@ class _Compare:
             self.key, self.fp, self.node = key[-1], fps[mask], nodes[mask]
         if not found:
             return None
-        a, b, _, of = self.few(*(np.concatenate(x) for x in zip(*found)))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, of)[: len(self.columns)]], list(self.columns))
+        a, b, d, of = self.few(*(np.concatenate(x) for x in zip(*found)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, of, d)[: len(self.columns)]], list(self.columns))
 
 
 class _Candidates(_Compare):
     """Hands on the pairs of a table value with key -1, or their forest with the table value if they are many."""
 
-    radius, columns = FIRST_DISTANCE, ("a", "b", "key")
+    radius, columns = FIRST_DISTANCE, ("a", "b", "key", "d")
 
     def __init__(self, most: int = FEW):
         super().__init__()
@@ -272,7 +275,7 @@ class _Candidates(_Compare):
         if found is None:
             return None
         key = found.column("key").to_numpy()
-        return pa.RecordBatch.from_arrays([found.column("a"), found.column("b"), pa.array(np.where(key < -1, -2 - key, -1))], ["a", "b", "key"])
+        return pa.RecordBatch.from_arrays([found.column("a"), found.column("b"), pa.array(np.where(key < -1, -2 - key, -1)), found.column("d")], list(self.columns))
 
 
 def _links(batches, compare=None):
@@ -285,6 +288,13 @@ def _links(batches, compare=None):
                 yield out
 
 
+def _forests(batches, most: int):
+    """A forest (a, b, d) of each block's candidates, nearest pairs first: whoever has a candidate is in it, with a nearest one."""
+    for found in _links(batches, _Candidates(most)):
+        a, b, d = _nearest(*(found.column(c).to_numpy() for c in ("a", "b", "d")))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], ["a", "b", "d"])
+
+
 def links(classes: DataFrame, segments: Sequence[tuple[int, int, int]] | None = None) -> DataFrame:
     """Links (a, b) between nodes of distinct fingerprints (fp, node) that join all that are near."""
     segments = segments or (SEGMENTS if classes.count() < WIDE_FROM else WIDE_SEGMENTS)
@@ -412,10 +422,14 @@ def _lists(values: np.ndarray, width: int) -> pa.Array:
 def _wide_values(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints of classes (words, doubtful), and for each segment its own value and the three others that are probed, with the segment within."""
     words = part.column("words").flatten().to_numpy().reshape(-1, WORDS)
-    flips = (1 << part.column("doubtful").flatten().to_numpy().astype(np.int64)).reshape(len(words), -1, 2)
     own = words.view(np.uint16).astype(np.int64) + (np.arange(4 * WORDS) << 16)
-    one, two = flips[..., 0], flips[..., 1]
-    return words, np.stack([own, own ^ one, own ^ two, own ^ one ^ two], axis=2)
+    return words, own[..., None] ^ _probed(part.column("doubtful").flatten().to_numpy())
+
+
+def _probed(doubtful: np.ndarray) -> np.ndarray:
+    """For each segment the bits that its four probes flip, the first none."""
+    one, two = np.moveaxis((1 << doubtful.astype(np.int64)).reshape(-1, 4 * WORDS, 2), 2, 0)
+    return np.stack([np.zeros_like(one), one, two, one ^ two], axis=2)
 
 
 def _wide_entries(batches):
@@ -440,15 +454,17 @@ def _wide_members(batches):
             of = pa.array(np.repeat(np.arange(len(words)), each))
             stored = np.broadcast_to(np.arange(4) == 0, value.shape).reshape(-1)
             known = [pa.array(np.zeros(value.size, np.int32)), pa.array(value.reshape(-1)), pa.array(stored), pa.array(np.ones(value.size, bool)), pa.array(np.repeat(words[:, 0], each))]
-            yield pa.RecordBatch.from_arrays([*known, *(part.column(c).take(of) for c in ("node", "root", "words"))], ["segment", "value", "stored", "probe", "fp", "node", "root", "words"])
+            yield pa.RecordBatch.from_arrays([*known, *(part.column(c).take(of) for c in ("node", "root", "words", "doubtful"))], ["segment", "value", "stored", "probe", "fp", "node", "root", "words", "doubtful"])
 
 
-def _members(classes: DataFrame, keys: DataFrame, grids: DataFrame | None) -> DataFrame:
-    """key, stored, probe, node, root, words of the entries under the given table values, a row for each class (node, root, words, doubtful) there."""
-    entries = classes.select("node", "root", "words", "doubtful").mapInArrow(_wide_members, "segment int, value long, stored boolean, probe boolean, fp long, node long, root long, words array<long>")
-    # broadcast, the values pick their entries before these are shuffled
-    keys = F.broadcast(keys) if keys.count() <= MIXED_BROADCAST else keys
-    return _keyed(entries, grids).join(keys, "key", "left_semi").select("key", "stored", "probe", "node", "root", "words")
+def _members(classes: DataFrame, keys: DataFrame | None, grids: DataFrame | None) -> DataFrame:
+    """key, stored, probe, node, root, words, doubtful of the entries (under the given table values, if any), a row for each class (node, root, words, doubtful) there."""
+    entries = classes.select("node", "root", "words", "doubtful").mapInArrow(_wide_members, "segment int, value long, stored boolean, probe boolean, fp long, node long, root long, words array<long>, doubtful array<byte>")
+    entries = _keyed(entries, grids)
+    if keys is not None:
+        # broadcast, the values pick their entries before these are shuffled
+        entries = entries.join(F.broadcast(keys) if keys.count() <= MIXED_BROADCAST else keys, "key", "left_semi")
+    return entries.select("key", "stored", "probe", "node", "root", "words", "doubtful")
 
 
 def _far_apart() -> Column:
@@ -469,11 +485,15 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, text_col: st
     return materialize(texts.select("text").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle_sets")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """The candidates (a, b) whose sets are similar, as a written table."""
+def _near(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose fingerprints are near on all bits."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_far_apart() <= WIDE_DISTANCE).select("a", "b"), "candidates")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_far_apart() <= WIDE_DISTANCE).select("a", "b")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, as a written table."""
+    pairs = materialize(pairs, "candidates")
     held = _sets_of(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), text_col, shingle)
     side = lambda c: held.select(F.col("node").alias(c), F.col("shingles").alias(f"in_{c}"))
     shared = F.size(F.array_intersect("in_a", "in_b"))
@@ -491,28 +511,59 @@ def _far_pairs(words: np.ndarray, other: np.ndarray, most: int):
         yield x + at, y
 
 
-def _across(group: pa.Table, few: int) -> pa.Table:
-    """Candidates between different components under a table value, with key -1; if they are many, their nodes as (node, node) with the key, root and words."""
-    stored, probe, node, root = (group.column(c).to_numpy(zero_copy_only=False) for c in ("stored", "probe", "node", "root"))
+def _across(batches, few: int):
+    """Of the members of table values, in order of these: candidates between different components, with key -1; where a value has many, its nodes as
+    (node, node) with the key, root and words. A pair that meets in several segments counts in the first only."""
+    rest = None
+    for batch in chain(batches, (None,)):
+        part = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            part = pa.concat_tables([rest, part]) if part is not None else rest
+        if part is None or not part.num_rows:
+            continue
+        key = part.column("key").to_numpy()
+        whole = int(np.searchsorted(key, key[-1])) if batch is not None else len(key)  # the last value's members may go on in the next batch
+        rest = part.slice(whole)
+        if whole:
+            yield from _across_values(part.slice(0, whole).combine_chunks(), few).to_batches()
+
+
+def _across_values(group: pa.Table, few: int) -> pa.Table:
+    key, stored, probe, node, root = (group.column(c).to_numpy(zero_copy_only=False) for c in ("key", "stored", "probe", "node", "root"))
     words = pa.concat_arrays(group.column("words").chunks).flatten().to_numpy().reshape(-1, WORDS)
+    flips = _probed(pa.concat_arrays(group.column("doubtful").chunks).flatten().to_numpy()).astype(np.uint16)
+    segment = (key & (1 << 32) - 1) >> 16
+    _, value, rows = np.unique(key, return_inverse=True, return_counts=True)
     own, stored = np.flatnonzero(probe), np.flatnonzero(stored)
-    met, found, n = np.zeros(len(node), bool), [], 0
-    for x, y in _far_pairs(words[own], words[stored], WIDE_DISTANCE):
-        new = root[own[x]] != root[stored[y]]
-        x, y = own[x[new]], stored[y[new]]
+    first, last = np.searchsorted(key[stored], key[own]), np.searchsorted(key[stored], key[own], side="right")
+    total = np.cumsum(last - first)
+    met, n, found, at = np.zeros(len(key), bool), np.zeros(len(rows), np.int64), [], 0
+    while at < len(own):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + BLOCK_PAIRS // 2, side="right")))
+        each = (last - first)[at:to]
+        x = np.repeat(own[at:to], each)
+        y = stored[np.arange(len(x)) - np.repeat(total[at:to] - each - before, each) + np.repeat(first[at:to], each)]
+        new = root[x] != root[y]
+        x, y = x[new], y[new]
+        near = np.bitwise_count((words[x] ^ words[y]).view(np.uint64)).sum(axis=1, dtype=np.int32) <= WIDE_DISTANCE
+        x, y = x[near], y[near]
+        apart = (words.view(np.uint16)[x] ^ words.view(np.uint16)[y])[..., None]
+        here = ((apart == flips[x]) | (apart == flips[y])).any(axis=2).argmax(axis=1) == segment[x]
+        x, y = x[here], y[here]
         met[x] = met[y] = True
-        n += len(x)
+        n += np.bincount(value[x], minlength=len(rows))
         # more than few for each node there is: crowded whatever comes, and the pairs need not be held
-        found = found + [(x, y)] if n <= few * len(node) else []
-    crowd = np.flatnonzero(met)
-    if n > few * len(crowd):
-        a = b = node[crowd]
-        key, root, words = np.full(len(crowd), group.column("key")[0].as_py()), pa.array(root[crowd]), _lists(words[crowd], WORDS)
-    else:
-        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found) if found else ((), ())))
-        a, b, key = node[x], node[y], np.full(len(x), -1)
-        root, words = pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.list_(pa.int64()))
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "key": pa.array(key, pa.int64()), "root": root, "words": words})
+        held = n[value[x]] <= few * rows[value[x]]
+        found.append((x[held], y[held]))
+        at = to
+    crowded = n > few * np.bincount(value[met], minlength=len(rows))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found) if found else ((), ())))
+    x, y = x[~crowded[value[x]]], y[~crowded[value[x]]]
+    pairs = np.unique(np.sort(np.stack([node[x], node[y]], axis=1), axis=1), axis=0)
+    crowd = np.flatnonzero(met & crowded[value])
+    one = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": np.full(len(pairs), -1), "root": pa.nulls(len(pairs), pa.int64()), "words": pa.nulls(len(pairs), pa.list_(pa.int64()))})
+    return pa.concat_tables([one, pa.table({"a": node[crowd], "b": node[crowd], "key": key[crowd], "root": root[crowd], "words": _lists(words[crowd], WORDS)})])
 
 
 def _linked_in_crowd(group: pa.Table) -> pa.Table:
@@ -537,28 +588,28 @@ def _linked_in_crowd(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
+def _nearest_few(found: DataFrame) -> DataFrame:
+    """The ``NEAREST`` nearest partners of each node of the pairs (a, b, d), as pairs (a, b) with a < b, each once."""
+    pairs = found.select("a", "b", "d").distinct()
+    order = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    near = pairs.union(pairs.select("b", "a", "d")).withColumn("nth", order).where(F.col("nth") <= NEAREST)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_sets(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, few: int = FEW) -> DataFrame:
     """Links (a, b) between nodes of rows (node, row, words, doubtful) that join all whose shingle sets are similar."""
     classes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("words").alias("words"), F.first("doubtful").alias("doubtful")), "set_classes")
     entries = classes.select("node", "words", "doubtful").mapInArrow(_wide_entries, "segment int, value long, probe boolean, fp long, node long")
     grids = _grids(entries)
-    found = materialize(_dealt(entries, grids).mapInArrow(lambda batches: _links(batches, _Candidates(few)), "a long, b long, key long"), "pairs")
-    linked = _verified(docs, classes, found, text_col, shingle)
-    forests = found.where("key >= 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key")
-    # a forest spans its value's candidates: only where it has a link between components may there be more to find
-    unproved = materialize(forests.join(linked, ["a", "b"], "left_anti"), "unproved_links")
-    if unproved.isEmpty():
-        return linked
-
+    found = materialize(_dealt(entries, grids).mapInArrow(lambda batches: _forests(batches, few), "a long, b long, d int"), "pairs")
+    linked = _verified(docs, classes, _near(classes, _nearest_few(found)), text_col, shingle)
+    # texts with candidates meet again with the component they are in, whole fingerprints at hand
     roots = components(linked)
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    ends = unproved.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    mixed = materialize(ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct(), "mixed_values")
-    # a text takes its root before its entries are laid out, once and not for each of them
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = _members(rooted, mixed, grids)
-    across = materialize(members.groupBy("key").applyInArrow(lambda group: _across(group, few), "a long, b long, key long, root long, words array<long>"), "pairs_across")
-    linked = linked.union(_verified(docs, classes, across.where("key < 0"), text_col, shingle))
+    texts = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    rooted = classes.join(texts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = _members(rooted, None, grids).repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    across = materialize(members.mapInArrow(lambda batches: _across(batches, few), "a long, b long, key long, root long, words array<long>"), "pairs_across")
+    linked = linked.union(_verified(docs, classes, across.where("key < 0").select("a", "b").distinct(), text_col, shingle))
     crowd = across.where("key >= 0").select("key", F.col("a").alias("node"), "root", "words")
     if crowd.isEmpty():
         return linked

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -220,3 +221,49 @@ def test_second_round_takes_a_text_once_a_value(spark, monkeypatch, hot):
     want = {(r.key, r.probe, r.node) for r in dealt.join(keys, "key", "left_semi").collect()}
     got = [(r.key, p, r.node) for r in members for p, has in ((False, r.stored), (True, r.probe)) if has]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dense_groups_hand_on_few_pairs(spark, monkeypatch):
+    """Candidates that tasks hand on, and links that components are found from, stay few for each text of a dense group."""
+    made, own = {}, S.materialize
+
+    def counted(df, name):
+        out = own(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    rows = dense_groups(1, 400, 150, 3, 15)
+    left = S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert left < 20 and made["pairs"] <= 10 * len(rows) and made["similar_sets"] <= 5 * len(rows), made
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_each_pair_between_components_once(few):
+    """Members cut into batches anywhere: all candidates between different components, a pair once (as two nodes of a value, if crowded)."""
+    rnd = random.Random(16)
+    rows, want = [], set()
+    for k, (_, text) in enumerate(dense_groups(3, 25, 80, 4, 17)):
+        rows.append((k, k % 4, *S.wide_fingerprint(S.shingle_set(text))))
+    classes = pa.record_batch({"node": [k for k, *_ in rows], "root": [r for _, r, *_ in rows], "words": [w.tolist() for *_, w, _ in rows], "doubtful": [d.reshape(-1).tolist() for *_, d in rows]}, schema=pa.schema([("node", pa.int64()), ("root", pa.int64()), ("words", pa.list_(pa.int64())), ("doubtful", pa.list_(pa.int8()))]))
+    members = pa.Table.from_batches(S._wide_members([classes])).rename_columns(["segment", "key", "stored", "probe", "fp", "node", "root", "words", "doubtful"]).sort_by("key")
+    of = {}
+    for key, stored, node in zip(*(members.column(c).to_pylist() for c in ("key", "stored", "node"))):
+        of.setdefault(key, []).append((stored, node))
+    for group in of.values():
+        for stored, a in group:
+            for _, b in group:
+                if stored and a % 4 != b % 4 and sum(int(x).bit_count() for x in (rows[a][2] ^ rows[b][2]).view(np.uint64)) <= S.WIDE_DISTANCE:
+                    want.add((min(a, b), max(a, b)))
+    cuts = [0, *sorted(rnd.sample(range(1, members.num_rows), 60)), members.num_rows]
+    batches = [b for x, y in zip(cuts, cuts[1:]) for b in members.slice(x, y - x).combine_chunks().to_batches()]
+    out = pa.Table.from_batches(S._across(batches, few)).to_pylist()
+    if few:
+        got = [(r["a"], r["b"]) for r in out]
+        assert len(want) > 300 and {r["key"] for r in out} == {-1} and set(got) == want and len(got) < 1.5 * len(want)
+    else:
+        crowds = {}
+        for r in out:
+            assert r["a"] == r["b"] and r["root"] == r["a"] % 4 and r["words"] == rows[r["a"]][2].tolist()
+            crowds.setdefault(r["key"], set()).add(r["a"])
+        assert want <= {(a, b) for c in crowds.values() for a in c for b in c} and sum(map(len, crowds.values())) == len(out)
