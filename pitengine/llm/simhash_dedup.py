@@ -540,7 +540,7 @@ def _across_values(group: pa.Table, few: int) -> pa.Table:
     met, n, found, at = np.zeros(len(key), bool), np.zeros(len(rows), np.int64), [], 0
     while at < len(own):
         before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + BLOCK_PAIRS // 2, side="right")))
+        to = max(at + 1, int(np.searchsorted(total, before + BLOCK_PAIRS // 32, side="right")))  # a pair takes some hundred bytes here
         each = (last - first)[at:to]
         x = np.repeat(own[at:to], each)
         y = stored[np.arange(len(x)) - np.repeat(total[at:to] - each - before, each) + np.repeat(first[at:to], each)]
