@@ -150,3 +150,48 @@ def test_names_of_few_syllables_meet_in_blocks(spark, monkeypatch):
     want = a.crossJoin(b).where(F.levenshtein("a", "b") <= F.floor(0.3 * F.greatest(F.length("a"), F.length("b")) + 1e-9))
     rows = [(r.a, r.b) for r in got.collect()]
     assert used and len(rows) == len(set(rows)) and set(rows) == {(r.a, r.b) for r in want.collect()}
+
+
+def test_names_are_cut_once_and_side_by_side(spark, monkeypatch):
+    """The grams of one table held against itself are made once, by as many tasks as there are shuffle partitions, however few bytes they are."""
+    made = []
+    whole = similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, name: made.append((name, whole(df, name))) or made[-1][1])
+    names = spark.range(3000).select(F.concat_ws(" ", *(F.substring(F.sha2(F.concat("id", F.lit(k)), 256), 1, 5) for k in range(4))).alias("name"))
+    assert similar.similar_pairs(names, names, 0.7).where("a = b").count() == 3000
+    assert [name for name, _ in made] == ["name_grams", "name_prefixes"]
+    assert all(len(df.inputFiles()) >= int(spark.conf.get("spark.sql.shuffle.partitions")) for _, df in made)
+
+
+@pytest.mark.parametrize("kind", ["repeats", "long", "many characters"])
+def test_blocks_hold_all_pairs_of_odd_names(kind):
+    """Two blocks of names, one against itself and against the other: all pairs that are near enough, with their distance or left to be verified."""
+    rnd = random.Random(kind)
+    letters = {"repeats": "ab ", "long": "abcdefgh ", "many characters": [chr(0x4E00 + k) for k in range(400)] + list("aé\U0001f600")}[kind]
+    size = {"repeats": (1, 40), "long": (25, 90), "many characters": (1, 33)}[kind]
+    names = ["".join(rnd.choice(letters) for _ in range(rnd.randint(*size))) for _ in range(60)]
+    for name in names[:60]:
+        for edits in (1, 4, 9):
+            changed = list(name)
+            for _ in range(edits):
+                at = rnd.randrange(len(changed))
+                changed[at : at + 1] = rnd.choice(([], [rnd.choice(letters)], [changed[at], rnd.choice(letters)])) or ["a"]
+            names.append("".join(changed))
+    names = list(dict.fromkeys(names))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for left, right, same in ((names[:130], names[130:], False), (names[:130], names[:130], True)):
+        want = {(i, j): d for i, a in enumerate(left) for j, b in enumerate(right) if (i <= j or not same) and (d := distance(a, b)) <= 0.3 * max(len(a), len(b)) + 1e-9}
+        rows = [tuple(map(int, r)) for part in similar._near_in_blocks(left, right, 0.7, same) for r in zip(*part)]
+        got = {(i, j): d for i, j, d in rows}
+        assert len(got) == len(rows) and set(want) <= set(got) and len(want) > 130 * same + 20
+        assert all(want.get(pair) == d for pair, d in got.items() if d >= 0)
+        if kind == "repeats":
+            assert set(got) == set(want)
