@@ -269,6 +269,21 @@ def test_publication_keeps_three_versions_and_points_to_the_last(spark, tmp_path
     assert warehouse.latest_version(spark, folder).count() == 2
 
 
+def test_nearest_with_an_unknown_identity_go_by_start_where_the_ranking_ends(spark):
+    """A target without a place ranks all rows of three months away or more at 1: the later start decides, not the nearer month."""
+    kind = "id long, entity string, place string, market string, series string, start_date date, pub_date date, value double"
+    target = [(0, "A", None, "M", "S", D(2024, 1, 1), None, None)]
+    nearer = [(k, "B", "P", "N", "T", D(2022, 4, k), D(2022, 5, 1), 1.0) for k in range(1, 6)]
+    later = [(k, "B", "P", "N", "T", D(2023, 7, k), D(2023, 8, 1), 1.0) for k in range(11, 13)]
+    pool = spark.createDataFrame(target + nearer + later, kind)
+    near = comparables.retrieve_global(comparables.distances(comparables.nearest_pairs(pool.where("id = 0"), pool, "value", 2)), 2)
+    assert sorted((r.place, r.c_id, r.ranking) for r in near.collect()) == [(1, 12, 1.0), (2, 11, 1.0)]
+    # a row without a place, seen from a target that has one
+    pool = spark.createDataFrame([(r[0], r[1], None if r[0] else "P", *r[3:]) for r in target + nearer + later], kind)
+    near = comparables.retrieve_global(comparables.distances(comparables.nearest_pairs(pool.where("id = 0"), pool, "value", 2)), 2)
+    assert sorted((r.place, r.c_id, r.ranking) for r in near.collect()) == [(1, 12, 1.0), (2, 11, 1.0)]
+
+
 def test_targets_of_a_cell_and_day_are_asked_once(spark, monkeypatch):
     kind = "id long, entity string, place string, market string, series string, start_date date, pub_date date, value double"
     pool = spark.createDataFrame([(k, f"e{k % 20}", "P", "M", "S", D(2024, 1, 1 + k % 2), D(2024, 1, 1 + k % 2), 1.0 * k) for k in range(400)], kind)
